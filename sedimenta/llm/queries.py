@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from sedimenta.session import table
 
+from .knn import nearest
+from .markov import positioned, similarity_clusters
 from .topn import top_n
 
 #: The BLAST fields besides the query.
@@ -23,8 +25,39 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.col("group_key").alias("q_id"), F.col("item_id").alias("line_no"))
 
 
+#: What makes points alike: distance of vectors, rows and columns on the toroid, and the toroid's size.
+ALIKE = {"radius": 1.0, "window": 8, "rows": 82, "columns": 137}
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs at most 0.03 apart of which one is among the 5 nearest of the other."""
+    near = nearest(table(spark, sf_dir, "training_vectors"), "data_index", "v", 5, radius=0.03)
+    pair = (F.least("data_index", "neighbour").alias("data_index_a"), F.greatest("data_index", "neighbour").alias("data_index_b"))
+    return near.where(F.col("distance") <= 0.03).select(*pair).distinct()
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors, at any distance, of every vector whose index is divisible by 50."""
+    return nearest(table(spark, sf_dir, "training_vectors"), "data_index", "v", 5, is_query=lambda i: i % 50 == 0)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the clusters of at least 5 points, every two alike and none like a point outside."""
+    members, _ = similarity_clusters(positioned(table(spark, sf_dir, "training_vectors"), table(spark, sf_dir, "bestmatches")), **ALIKE)
+    return members.where("complete AND size >= 5").select(F.col("index").alias("data_index"), "cluster_first")
+
+
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cluster with its size and its most typical members."""
+    _, clusters = similarity_clusters(positioned(table(spark, sf_dir, "training_vectors"), table(spark, sf_dir, "bestmatches")), **ALIKE)
+    return clusters
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_clusters": p4_clusters}
+
+
+_VECTORS = "t AS (SELECT data_index, min(v) AS v FROM training_vectors WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x))) = 0 GROUP BY data_index)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -35,4 +68,16 @@ def oracle_sql() -> dict[str, str]:
                 WHERE q_id IS NOT NULL AND bit_score IS NOT NULL AND NOT isnan(bit_score) GROUP BY ALL
             ), ranked AS (SELECT q, line_no, row_number() OVER (PARTITION BY q ORDER BY bit_score DESC, line_no) AS r FROM once)
             SELECT q AS q_id, line_no FROM ranked WHERE r <= 3""",
+        "p3_found": f"""
+            WITH {_VECTORS}, near AS (
+                SELECT a.data_index AS a, b.data_index AS b, list_distance(a.v, b.v) AS d FROM t a JOIN t b ON a.data_index <> b.data_index AND list_distance(a.v, b.v) <= 0.03
+            ), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM near)
+            SELECT DISTINCT least(a, b) AS data_index_a, greatest(a, b) AS data_index_b FROM r WHERE k <= 5""",
+        "p4_found": f"""
+            WITH {_VECTORS}, p AS (SELECT data_index, min({{'r': bm_row, 'c': bm_col}}) AS p FROM bestmatches WHERE bm_row IS NOT NULL AND bm_col IS NOT NULL GROUP BY data_index),
+            u AS (SELECT t.data_index AS i, v, p.p.r AS r, p.p.c AS c FROM t JOIN p USING (data_index)),
+            n AS (SELECT a.i, list_sort(list(b.i)) AS around FROM u a JOIN u b ON list_distance(a.v, b.v) <= 1.0
+                  AND least(abs(a.r - b.r), 82 - abs(a.r - b.r)) <= 8 AND least(abs(a.c - b.c), 137 - abs(a.c - b.c)) <= 8 GROUP BY a.i),
+            whole AS (SELECT around FROM n GROUP BY around HAVING count(*) = len(around) AND count(*) >= 5)
+            SELECT i AS data_index, around[1] AS cluster_first FROM n JOIN whole USING (around)""",
     }
