@@ -11,6 +11,7 @@ from sedimenta.session import table
 
 from .knn import nearest
 from .markov import positioned, similarity_clusters
+from .pii import personal_spans, redact
 from .topn import top_n
 
 #: The BLAST fields besides the query.
@@ -53,8 +54,18 @@ def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of personal information in the documents."""
+    return personal_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "known_names"))
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with typed placeholders in place of personal information."""
+    return redact(table(spark, sf_dir, "documents"), table(spark, sf_dir, "known_names"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_clusters": p4_clusters}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_clusters": p4_clusters, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 
 _VECTORS = "t AS (SELECT data_index, min(v) AS v FROM training_vectors WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x))) = 0 GROUP BY data_index)"
