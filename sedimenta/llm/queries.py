@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.session import table
+from sedimenta.session import cut, table
 
 from .knn import nearest
 from .markov import positioned, similarity_clusters
+from .mixing import mix, rates, shares
+from .packing import fill_report, kinds_of, pack
 from .pii import personal_spans, redact
+from .tokens import token_sizes
 from .topn import top_n
 
 #: The BLAST fields besides the query.
@@ -54,6 +57,33 @@ def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters
 
 
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in containers of every kind."""
+    sizes = cut(token_sizes(table(spark, sf_dir, "documents"), "text", ["doc_id"]))
+    return pack(sizes, kinds_of(table(spark, sf_dir, "containers")))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the containers of each kind are filled."""
+    return fill_report(p7_pack(spark, sf_dir), kinds_of(table(spark, sf_dir, "containers")))
+
+
+def _mixture(spark: SparkSession, sf_dir: str):
+    sizes = cut(token_sizes(table(spark, sf_dir, "documents"), "text", ["doc_id", "source"]))
+    rated = rates(sizes, table(spark, sf_dir, "mix_targets"))
+    return mix(sizes, rated), rated
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of all sources, mixed to the target shares."""
+    return _mixture(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return shares(*_mixture(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place of personal information in the documents."""
     return personal_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "known_names"))
@@ -65,7 +95,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_clusters": p4_clusters, "p9_found": p9_found, "p9_redacted": p9_redacted}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_clusters": p4_clusters, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 
 _VECTORS = "t AS (SELECT data_index, min(v) AS v FROM training_vectors WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x))) = 0 GROUP BY data_index)"
