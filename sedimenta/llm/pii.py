@@ -235,10 +235,10 @@ def find(text: str, auto, cues, given: frozenset, family: frozenset) -> list[tup
             if kind == "digit":
                 if at < run_end:
                     continue
-                lo, hi = at, end
-                while lo > 0 and text[lo - 1] in _RUN and at - lo < 40:
+                lo, hi = at, end  # the whole run of digits and separators, looked at once
+                while lo > 0 and text[lo - 1] in _RUN:
                     lo -= 1
-                while hi < n and text[hi] in _RUN and hi - end < 60:
+                while hi < n and text[hi] in _RUN:
                     hi += 1
                 run_end = hi
                 # the character before the run decides whether a number begins there
