@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,8 +165,6 @@ def principal_components(m: Moments) -> tuple[np.ndarray, np.ndarray]:
 
 def mahalanobis(rows: DataFrame, v: str, keep: list[str], key: str, models: dict[str, Moments]) -> DataFrame:
     """``keep`` with the ``mahalanobis`` distance of each vector to its class's mean under its class's covariance."""
-    import pandas as pd
-
     solvers = {k: (m.mean, _factor(m.cov)) for k, m in models.items() if m.n > 1}
 
     def run(keys: pd.Series, vectors: pd.Series) -> pd.Series:

@@ -43,7 +43,7 @@ def positioned(spark: SparkSession, path: str) -> DataFrame:
 
 def _tab(k: int, kind: str = "string") -> Column:
     c = F.get(F.split("line", "\t"), F.lit(k))
-    return c if kind == "string" else F.trim(c).cast(kind)
+    return c if kind == "string" else F.when(F.trim(c) != "", F.trim(c).cast(kind))
 
 
 # counts ------------------------------------------------------------------------------------------------------------
@@ -69,7 +69,7 @@ def counts_table(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("as many types as names are needed")
     out = []
     for k, (t, name) in enumerate(zip(h.types, h.names)):
-        c = _tab(k, "bigint") if t == 9 else _tab(k) if t == 0 else F.when(F.trim(_tab(k)) != "", _tab(k, "double"))
+        c = _tab(k, "bigint") if t == 9 else _tab(k) if t == 0 else _tab(k, "double")
         out.append(c.alias(name if t == 1 else name.lower(), metadata={"role": {9: "key", 0: "info", 1: "data"}[t]}))
     return lines(spark, path).select(*out)
 

@@ -20,7 +20,7 @@ def project_stream(vectors: DataFrame, vector: str, ids: np.ndarray, w: np.ndarr
 def windowed(events: DataFrame, time: str, value: str, keys: list[str], width: str, late: str, slide: str | None = None) -> DataFrame:
     """Count, sum and extremes of ``value`` per window and key; rows later than ``late`` behind the newest are dropped."""
     w = F.window(time, width, slide) if slide else F.window(time, width)
-    out = events.withWatermark(time, late).groupBy(w, *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.min(value).alias("low"), F.max(value).alias("high"))
+    out = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(w, *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.min(value).alias("low"), F.max(value).alias("high"))
     return out.select(F.col("window.start").alias("beg"), F.col("window.end").alias("end"), *keys, "n", "total", "low", "high")
 
 
