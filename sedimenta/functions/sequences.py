@@ -77,9 +77,13 @@ def windows(length: Column, chunk: int, step: int, least: int = 0) -> Column:
 
 def subdivide(df: DataFrame, name: str, seq: str, chunk: int, step: int, least: int = 0) -> DataFrame:
     """Windows of sequences as rows (name, n, beg, end, fragment, seq): ``<first word>_<n> <beg>-<end>`` names a fragment."""
-    w = df.select(F.regexp_extract(name, r"^\S*", 0).alias("name"), F.col(seq).alias("__seq"), F.explode(windows(F.length(seq), chunk, step, least)).alias("w"))
+    spans = windows(F.length(seq), chunk, step, least)
+    # one linear scan cuts the text at every start; the kept windows are the first of these, so they pair by place
+    texts = F.regexp_extract_all(F.col(seq), F.lit(f"(?s)(?=(.{{1,{chunk}}})).{{1,{step}}}"), F.lit(1))
+    paired = F.zip_with(spans, F.slice(texts, 1, F.greatest(F.size(spans), F.lit(0))), lambda w, t: F.struct(w["n"].alias("n"), w["beg"].alias("beg"), w["end"].alias("end"), t.alias("seq")))
+    w = df.where(F.length(seq) >= chunk + least).select(F.regexp_extract(name, r"^\S*", 0).alias("name"), F.explode(paired).alias("w"))
     label = F.concat(F.col("name"), F.lit("_"), F.col("w.n"), F.lit(" "), F.col("w.beg"), F.lit("-"), F.col("w.end"))
-    return w.select("name", F.col("w.n").cast("int").alias("n"), F.col("w.beg").alias("beg"), F.col("w.end").alias("end"), label.alias("fragment"), F.expr("substring(__seq, w.beg, w.end - w.beg + 1)").alias("seq"))
+    return w.select("name", F.col("w.n").cast("int").alias("n"), "w.beg", "w.end", label.alias("fragment"), "w.seq")
 
 
 def canonical_kmers(k: int) -> list[tuple[str, str, int]]:
@@ -117,8 +121,12 @@ def kmers(seq: Column, k: int, skip: bool = True) -> Column:
 
 
 def kmer_counts(df: DataFrame, key: str, seq: str, k: int, skip: bool = True) -> DataFrame:
-    """(key, kmer, n) of canonical k-mers. Counts per sequence are made in its own task before any shuffle."""
-    return df.select(key, F.explode(kmers(F.col(seq), k, skip)).alias("m")).select(key, canonical(F.col("m")).alias("kmer")).groupBy(key, "kmer").agg(F.count("*").alias("n"))
+    """(key, kmer, n) of canonical k-mers.
+
+    Plain k-mers are counted first, within each task before the shuffle; complements are taken of the few that differ.
+    """
+    plain = df.select(key, F.explode(kmers(F.col(seq), k, skip)).alias("m")).groupBy(key, "m").agg(F.count("*").alias("n"))
+    return plain.select(key, canonical(F.col("m")).alias("kmer"), "n").groupBy(key, "kmer").agg(F.sum("n").alias("n"))
 
 
 def kmer_frequencies(counts: DataFrame, key: str) -> DataFrame:

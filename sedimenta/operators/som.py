@@ -36,15 +36,22 @@ def cells(spark: SparkSession, rows: int, columns: int) -> DataFrame:
     return spark.range(rows * columns).select(F.col("id").alias("neuron"), (F.col("id") / columns).cast("long").alias("row"), (F.col("id") % columns).alias("col"))
 
 
-def offsets(rows: int, columns: int, radius: int, kind: str = "squared") -> list[tuple[int, int]]:
-    """Steps to the cells within a radius on the toroid, the cell itself left out; each cell once."""
-    out = {}
-    for dr in range(-min(radius, rows // 2), min(radius, (rows - 1) // 2) + 1):
-        for dc in range(-min(radius, columns // 2), min(radius, (columns - 1) // 2) + 1):
-            d = {"squared": dr * dr + dc * dc, "manhattan": abs(dr) + abs(dc), "max": max(abs(dr), abs(dc))}[kind]
+def offsets(rows: int, columns: int, radius: int, kind: str = "squared", once: bool = True) -> list[tuple[int, int]]:
+    """Steps to the cells within a radius on the toroid, the cell itself left out.
+
+    A radius beyond half the map reaches some cells from both sides; they count once, or with ``once`` off as often as
+    they are reached.
+    """
+    high_r, high_c = (min(radius, (rows - 1) // 2), min(radius, (columns - 1) // 2)) if once else (radius, radius)
+    low_r, low_c = (min(radius, rows // 2), min(radius, columns // 2)) if once else (radius, radius)
+    out = []
+    for dr in range(-low_r, high_r + 1):
+        for dc in range(-low_c, high_c + 1):
+            r, c = min(abs(dr), rows - abs(dr)), min(abs(dc), columns - abs(dc))
+            d = {"squared": r * r + c * c, "manhattan": r + c, "max": max(r, c)}[kind]
             if 0 < d <= (radius * radius if kind == "squared" else radius):
-                out[(dr % rows, dc % columns)] = (dr, dc)
-    return sorted(out.values())
+                out.append((dr, dc))
+    return out
 
 
 def neighbours(grid: DataFrame, rows: int, columns: int, steps: list[tuple[int, int]]) -> DataFrame:

@@ -65,9 +65,9 @@ def weights_file(spark, sf_dir):
     """A map's weights written in order and read back by position."""
     path = folder(spark, "wts")
     book = codebook(spark, sf_dir)
-    n = book.count()
-    writers.write_weights(book, path, n // COLUMNS, COLUMNS, 64)
-    got = readers.weights(spark, path)
+    rows = book.agg(F.max("row") + 1).first()[0]
+    writers.write_weights(book, path, rows, COLUMNS, 64)
+    got = readers.weights(spark, path).where(~F.isnan(F.col("w")[0]))
     return got.select("neuron", "row", "col", F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 

@@ -39,7 +39,11 @@ def write_names(points: DataFrame, path: str, index: str, name: str, description
 
 
 def write_weights(neurons: DataFrame, path: str, rows: int, columns: int, dimensions: int) -> None:
-    """``.wts``: neurons in order, a range of them in each part."""
+    """``.wts``: neurons in order, a range of them in each part; a neuron that is missing is written as NaN to keep the places."""
+    from sedimenta.operators.som import cells
+
+    grid = cells(neurons.sparkSession, rows, columns).select("neuron")
+    neurons = grid.join(neurons.select("neuron", "w"), "neuron", "left").withColumn("w", F.coalesce("w", F.array_repeat(F.lit(float("nan")), dimensions)))
     header = [f"% {rows} {columns}", f"% {dimensions}"]
     ordered = neurons.select("neuron", "w").repartitionByRange("neuron").sortWithinPartitions("neuron")
     _write(ordered, header, path, F.array_join(F.transform("w", lambda x: x.cast("string")), "\t"))
