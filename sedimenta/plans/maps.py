@@ -165,7 +165,7 @@ def queries():
     return {f"som_{f.__name__}": f for f in fs} | {f"image_{n}": f for n, f in images.items()}
 
 
-_BOOK = f"e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT label::BIGINT AS row, vec_id % {COLUMNS} AS col, unnest(v) AS x, unnest(range(0, len(v))) AS d FROM e), o AS (SELECT row, col, d, avg(x) AS x FROM x GROUP BY ALL), lm AS (SELECT row, d, avg(x) AS x FROM x GROUP BY ALL), m AS (SELECT lm.row, c.col, lm.d, coalesce(o.x, lm.x) AS x FROM lm CROSS JOIN range(0, {COLUMNS}) c(col) LEFT JOIN o ON o.row = lm.row AND o.col = c.col AND o.d = lm.d), k AS (SELECT row * {COLUMNS} + col AS neuron, row, col, list(x ORDER BY d) AS w FROM m GROUP BY row, col)"
+_BOOK = f"e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT label::BIGINT AS row, vec_id % {COLUMNS} AS col, unnest(v) AS x, unnest(range(0, len(v))) AS d FROM e), om AS (SELECT row, col, d, avg(x) AS x FROM x GROUP BY ALL), lm AS (SELECT row, d, avg(x) AS x FROM x GROUP BY ALL), m AS (SELECT lm.row, c.col, lm.d, coalesce(om.x, lm.x) AS x FROM lm CROSS JOIN range(0, {COLUMNS}) c(col) LEFT JOIN om ON om.row = lm.row AND om.col = c.col AND om.d = lm.d), k AS (SELECT row * {COLUMNS} + col AS neuron, row, col, list(x ORDER BY d) AS w FROM m GROUP BY row, col)"
 _BEST = f"{_BOOK}, best AS (SELECT vec_id, label, v, min(struct_pack(d := list_distance(v, w), n := neuron)) AS b FROM e CROSS JOIN k GROUP BY ALL)"
 _PIC = f"n AS (SELECT bm_row AS r, bm_col AS c, count(*) AS n FROM bestmatches WHERE bm_row IS NOT NULL AND bm_col IS NOT NULL GROUP BY ALL), p AS (SELECT r.r::BIGINT AS row, c.c::BIGINT AS col, coalesce(n.n, 0) / (SELECT max(n) FROM n)::DOUBLE AS v FROM range(0, {MAP_ROWS}) r(r) CROSS JOIN range(0, {MAP_COLUMNS}) c(c) LEFT JOIN n ON n.r = r.r AND n.c = c.c)"
 
