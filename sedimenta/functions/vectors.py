@@ -118,34 +118,43 @@ def correlation(a: Column, b: Column) -> Column:
     return F.try_divide(covariance(a, b), F.sqrt(covariance(a, a) * covariance(b, b)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _at(s: Column, phi: float) -> Column:
+    """Quantile of sorted elements."""
+    at = F.lit(phi) * (F.size(s) - 1)
+    lo = F.floor(at).cast("int")
+    low, high = F.get(s, lo), F.get(s, F.least(lo + 1, F.size(s) - 1))
+    return F.when(F.size(s) > 1, low + (at - lo) * (high - low))
+
+
 def quantile(v: Column, phi: float) -> Column:
     """Linear interpolation at phi * (n - 1) of the sorted elements; null for one element."""
-    s = F.array_sort(v)
-    at = F.lit(phi) * (F.size(v) - 1)
-    lo = F.floor(at).cast("int")
-    low, high = F.get(s, lo), F.get(s, F.least(lo + 1, F.size(v) - 1))
-    return F.when(F.size(v) > 1, low + (at - lo) * (high - low))
+    return let(F.sort_array(v), lambda s: _at(s, phi))
 
 
 def trimmed_mean(v: Column, share: float = 0.1) -> Column:
     """Mean of the elements strictly between the quantiles ``share`` and 1 - ``share``; null if there are none."""
-    lo, hi = quantile(v, share), quantile(v, 1 - share)
-    return mean(F.filter(v, lambda x: (x > lo) & (x < hi)))
+    ends = let(F.sort_array(v), lambda s: F.struct(_at(s, share).alias("lo"), _at(s, 1 - share).alias("hi")))
+    return let(ends, lambda e: mean(F.filter(v, lambda x: (x > e["lo"]) & (x < e["hi"]))))
 
 
 def robust_stdev(v: Column) -> Column:
-    return F.least((quantile(v, 0.75) - quantile(v, 0.25)) / 1.349, stdev(v))
+    return F.least(let(F.sort_array(v), lambda s: (_at(s, 0.75) - _at(s, 0.25)) / 1.349), stdev(v))
 
 
 def to_unit(v: Column) -> Column:
     """Elements scaled to 0 .. 1; constant vectors stay."""
-    lo, hi = F.array_min(v), F.array_max(v)
-    return F.when(hi > lo, F.transform(v, lambda x: (x - lo) / (hi - lo))).otherwise(v)
+    ends = F.struct(F.array_min(v).alias("lo"), F.array_max(v).alias("hi"))
+    return let(ends, lambda e: F.when(e["hi"] > e["lo"], F.transform(v, lambda x: (x - e["lo"]) / (e["hi"] - e["lo"]))).otherwise(v))
 
 
 def ztrans(v: Column) -> Column:
-    m, s = mean(v), stdev(v)
-    return F.when(s > 0, F.transform(v, lambda x: (x - m) / s)).otherwise(v)
+    centre = F.struct(mean(v).alias("m"), stdev(v).alias("s"))
+    return let(centre, lambda c: F.when(c["s"] > 0, F.transform(v, lambda x: (x - c["m"]) / c["s"])).otherwise(v))
 
 
 # distances ---------------------------------------------------------------------------------------------------------
