@@ -76,7 +76,9 @@ def _errors(parsed: DataFrame) -> DataFrame:
     # explode into (row, column, value) with the rule of the column; whole-row failures have one cell without column
     cells = checked.select("file_id", "line_no", "row_reason", F.explode_outer(F.when(F.col("row_reason").isNull(), F.arrays_zip("raw", "role", "name"))).alias("cell"))
     cells = cells.select("file_id", "line_no", "row_reason", "cell.raw", "cell.role", "cell.name")
-    ruled = cells.where(F.col("row_reason").isNotNull() | F.col("role").isin(KEY, DATA) | (F.col("name") == "length"))
+    # cells that are plainly right go before any cleaning; what is left (few cells) is trimmed, unquoted and judged
+    plain = F.when(F.col("role") == DATA, F.col("raw").rlike(_NUMBER) | (F.col("raw") == "")).when(F.col("role") == KEY, F.col("raw").rlike(r"^[0-9]++$")).otherwise((F.col("name") != "length") | F.col("raw").rlike(r"^[1-9][0-9]*+$"))
+    ruled = cells.where(F.col("row_reason").isNotNull() | ~F.coalesce(plain, F.lit(False)))
     ruled = ruled.withColumn("value", _value(F.col("raw")))
     reason = (
         F.when(F.col("row_reason").isNotNull(), F.col("row_reason"))
