@@ -14,14 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.session import cut, spread
+from sedimenta.session import cut
 
-from .lists import LIST_ROWS, SAMPLE_ROWS, SEED, fit, matrix, place, squares, usable
-from .topn import fingerprints, top_n
+from .lists import LIST_ROWS, SALTS, SAMPLE_ROWS, SEED, collapse, fit, matrix, place, squares, usable
+from .topn import top_n
 
 #: Dimensions of a column block, strictness of the hypothesis tests, rows of queries and candidates scanned at a time.
 STEP, EPSILON, QUERIES, CANDIDATES = 8, 2.1, 512, 2048
-SALTS = 16
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -106,21 +105,17 @@ def nearest(
     * equal vectors are searched once: groups of copies of any size cost as one vector, and each copy has its k lowest
       fellows at distance 0 first; an empty table gives an empty result; other columns play no part.
     """
-    rows = usable(spread(vectors.select(index, vector)), index, vector)
-    fp1, fp2 = fingerprints(["v"])
-    marked = rows.select("index", "v", F.concat_ws("_", F.hex(fp1), F.hex(fp2)).alias("fp"))
-    # the k + 1 lowest indexes of each group of equal vectors; the first represents it
-    firsts = top_n(marked.withColumn("s", F.lit(0.0)), "fp", "s", "index", k + 1, payload=["v"])
-    groups = cut(firsts.groupBy("group_key").agg(F.min("item_id").alias("index"), F.array_sort(F.collect_list("item_id")).alias("ids"), F.first("v").alias("v")))
-    distinct = groups.select("index", "v")
-    centroids, expected = fit(distinct, distinct.count(), sample_rows, list_rows)
+    distinct, twins, n = collapse(usable(vectors.select(index, vector), index, vector), ["v"])
+    centroids, expected = fit(distinct, n, sample_rows, list_rows)
     if not len(centroids):
-        return marked.sparkSession.createDataFrame([], "data_index long, neighbour long, distance double, neighbour_rank int")
-    copied = groups.where(F.size("ids") > 1).select(F.col("group_key").alias("fp"), "index", "ids")
-    asking = None if is_query is None else is_query(F.col("index"))
+        return vectors.sparkSession.createDataFrame([], "data_index long, neighbour long, distance double, neighbour_rank int")
+    # the k + 1 lowest indexes of each group of equal vectors
+    firsts = top_n(twins.withColumn("s", F.lit(0.0)), "rep", "s", "index", k + 1)
+    copied = cut(firsts.groupBy(F.col("group_key").alias("index")).agg(F.array_sort(F.collect_list("item_id")).alias("ids")))
+    distinct, asking = distinct.drop("copies"), None
     if is_query is not None:  # a group of equal vectors asks if any of its records does
-        askers = marked.where(is_query(F.col("index"))).select("fp").distinct().join(groups.select(F.col("group_key").alias("fp"), "index"), "fp").select("index", F.lit(True).alias("asks"))
-        distinct = distinct.join(askers, "index", "left").select("index", "v", F.coalesce("asks", F.lit(False)).alias("asks"))
+        others = twins.where(is_query(F.col("index"))).select(F.col("rep").alias("index"), F.lit(True).alias("twin_asks")).distinct()
+        distinct = distinct.join(others, "index", "left").select("index", "v", (is_query(F.col("index")) | F.coalesce("twin_asks", F.lit(False))).alias("asks"))
         asking = F.col("asks")
     placed = place(distinct, centroids, expected, radius, nprobe, asking)
     pairs = placed.select("index", "v", "list", "block", "part", "is_candidate", "is_query").groupBy("list", "block", "part").applyInArrow(_scan_list(k, radius, epsilon), "a long, b long, distance double")
@@ -132,12 +127,12 @@ def nearest(
     lists = around.select(F.col("group_key").alias("index"), F.col("item_id").alias("neighbour"), (-F.col("item_score") + 0.0).alias("distance"), F.col("item_rank"))
     single = lists.join(copied.select("index"), "index", "left_anti").select(F.col("index").alias("data_index"), "neighbour", "distance")
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    shared = lists.join(copied.select("fp", "index"), "index").select("fp", "neighbour", "distance", salt)
-    members = marked.select("index", "fp", F.pmod("index", F.lit(SALTS)).cast("int").alias("salt"))
+    shared = lists.join(copied.select("index"), "index", "left_semi").select(F.col("index").alias("rep"), "neighbour", "distance", salt)
+    members = twins.select("index", "rep", F.pmod("index", F.lit(SALTS)).cast("int").alias("salt"))
     if is_query is not None:
         members = members.where(is_query(F.col("index")))
         single = single.where(is_query(F.col("data_index")))
-    each = members.join(shared, ["fp", "salt"]).where(F.col("index") != F.col("neighbour")).select(F.col("index").alias("data_index"), "neighbour", "distance")
+    each = members.join(shared, ["rep", "salt"]).where(F.col("index") != F.col("neighbour")).select(F.col("index").alias("data_index"), "neighbour", "distance")
     # a record brings at most k + 1 rows here, so that the window holds bounded groups
     w = Window.partitionBy("data_index").orderBy("distance", "neighbour")
     return single.unionByName(each).withColumn("neighbour_rank", F.row_number().over(w)).where(F.col("neighbour_rank") <= k)

@@ -14,10 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.session import cut
+
+from .topn import fingerprints
+
 #: Most vectors of the sample that centroids are fitted on; vectors a list should hold; rows of a block of a list.
 SAMPLE_ROWS, LIST_ROWS, BLOCK_ROWS = 40_000, 1_000, 6_000
 #: Sample vectors a centroid needs at least, rounds of the fit, seed.
 PER_CENTROID, ROUNDS, SEED = 10, 6, 20_011
+#: Lines into which the one line of a group of equal rows is multiplied, to spread its rows over tasks.
+SALTS = 16
 
 
 def usable(vectors: DataFrame, index: str, vector: str) -> DataFrame:
@@ -31,6 +37,25 @@ def usable(vectors: DataFrame, index: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (sizes[0]["d"] if sizes else 0)).groupBy("index").agg(F.min("v").alias("v"))
 
 
+def collapse(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame, int]:
+    """(distinct, twins, number of distinct) of ``rows`` (index, ...) that may be equal in ``columns``.
+
+    ``distinct`` keeps, of equal rows, the one with the lowest index, with the number of ``copies``. ``twins`` has every
+    row of a group of more than one: index, rep (that lowest index). Groups are found on fingerprints and indexes alone,
+    so that the columns themselves (vectors) don't move; a group of any size is only aggregated, or joined to its one
+    line through salts.
+    """
+    fp1, fp2 = fingerprints(columns)
+    rows = cut(rows.select("*", fp1.alias("fp1"), fp2.alias("fp2")))
+    key = ["fp1", "fp2"]
+    groups = rows.groupBy(*key).agg(F.min("index").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    twins = cut(rows.select(*key, "index", F.pmod("index", F.lit(SALTS)).cast("int").alias("salt")).join(groups.select(*key, "rep", "copies", salt), [*key, "salt"]).select("index", "rep", "copies"))
+    later = twins.where("index != rep").select("index")
+    distinct = rows.drop(*key).join(later, "index", "left_anti").join(twins.where("index = rep").select("index", "copies"), "index", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    return distinct, twins.select("index", "rep"), rows.count() - later.count()
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """An Arrow list column of equally long vectors as a 2-d array."""
     if isinstance(column, pa.ChunkedArray):

@@ -19,14 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.session import cut, spread
+from sedimenta.session import cut
 
-from .lists import LIST_ROWS, SAMPLE_ROWS, fit, matrix, place, squares, usable
-from .topn import fingerprints
+from .lists import LIST_ROWS, SALTS, SAMPLE_ROWS, collapse, fit, matrix, place, squares, usable
 
 #: Exponent of the inflation, share of its column's largest entry below which an entry goes, tolerance, rounds at most.
 INFLATION, PRUNE, TOLERANCE, ROUNDS = 2.0, 1e-3, 1e-6, 40
-SALTS, CHUNK = 16, 1024
+CHUNK = 1024
 
 
 def _hash(ids: np.ndarray, seed: int) -> np.ndarray:
@@ -102,12 +101,8 @@ def similarity_graph(points: DataFrame, radius: float, window: int, rows: int, c
     ``members``: index, node (the lowest index with the same closed neighbourhood). ``nodes``: node, size, degree (records
     alike, itself included). ``links``: a, b for alike nodes, both directions, each node with itself.
     """
-    keys = fingerprints(["v", "bm_row", "bm_col"])
-    marked = points.select("*", F.concat_ws("_", F.hex(keys[0]), F.hex(keys[1])).alias("fp"))
-    same = marked.groupBy("fp").agg(F.min("index").alias("index"), F.count("*").alias("copies"), F.first("v").alias("v"), F.first("bm_row").alias("bm_row"), F.first("bm_col").alias("bm_col"))
-    distinct = cut(same)
-    search = distinct.select("index", "v", "bm_row", "bm_col", "copies")
-    centroids, expected = fit(search, search.count(), sample_rows, list_rows)
+    search, twins, n = collapse(points.select("index", "v", "bm_row", "bm_col"), ["v", "bm_row", "bm_col"])
+    centroids, expected = fit(search, n, sample_rows, list_rows)
     if not len(centroids):
         empty = points.sparkSession.createDataFrame
         return empty([], "index long, node long"), empty([], "node long, size long, degree long"), empty([], "a long, b long")
@@ -115,13 +110,14 @@ def similarity_graph(points: DataFrame, radius: float, window: int, rows: int, c
     keep = ["index", "v", "bm_row", "bm_col", "copies", "list", "block", "part", "is_candidate", "is_query"]
     parts = place(search, centroids, expected, radius, 1).select(*keep).groupBy("list", "block", "part").applyInArrow(_neighbourhoods(*spec), "index long, degree long, low long, x1 long, x2 long")
     around = parts.groupBy("index").agg(F.sum("degree").alias("degree"), F.min("low").alias("low"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))
-    around = cut(around.join(distinct.select("index", "copies"), "index"))
+    around = cut(around.join(search.select("index", "copies"), "index"))
     same_around = ["degree", "low", "x1", "x2"]
     nodes = cut(around.groupBy(*same_around).agg(F.min("index").alias("node"), F.sum("copies").alias("size")))
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     of = around.withColumn("salt", F.pmod("index", F.lit(SALTS)).cast("int")).join(nodes.select(*same_around, "node", salt), [*same_around, "salt"]).select("index", "node")
-    copies = distinct.select("fp", "index").join(of, "index").select("fp", "node", salt)
-    members = marked.select("index", "fp", F.pmod("index", F.lit(SALTS)).cast("int").alias("salt")).join(copies, ["fp", "salt"]).select("index", "node")
+    of = cut(of)
+    later = twins.where("index != rep").withColumn("salt", F.pmod("index", F.lit(SALTS)).cast("int"))
+    members = of.unionByName(later.join(of.select(F.col("index").alias("rep"), "node", salt), ["rep", "salt"]).select("index", "node"))
     # a node whose size is its degree has no link outward; only the others are searched for links
     open_nodes = search.join(nodes.where(F.col("size") != F.col("degree")).select(F.col("node").alias("index")), "index", "left_semi")
     outward = place(open_nodes, centroids, expected, radius, 1).select(*keep).groupBy("list", "block", "part").applyInArrow(_links(*spec), "a long, b long")
@@ -182,7 +178,7 @@ def positioned(vectors: DataFrame, matches: DataFrame) -> DataFrame:
     """Points (index, v, bm_row, bm_col) that have both a usable vector and a position; one record per index."""
     at = matches.where(F.col("bm_row").isNotNull() & F.col("bm_col").isNotNull() & F.col("data_index").isNotNull())
     at = at.groupBy(F.col("data_index").alias("index")).agg(F.min(F.struct("bm_row", "bm_col")).alias("p")).select("index", F.col("p.bm_row").cast("long").alias("bm_row"), F.col("p.bm_col").cast("long").alias("bm_col"))
-    return usable(spread(vectors.select("data_index", "v")), "data_index", "v").join(at, "index")
+    return usable(vectors.select("data_index", "v"), "data_index", "v").join(at, "index")
 
 
 def similarity_clusters(points: DataFrame, radius: float, window: int, rows: int, columns: int, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS) -> tuple[DataFrame, DataFrame]:
