@@ -157,6 +157,24 @@ def ztrans(v: Column) -> Column:
     return let(centre, lambda c: F.when(c["s"] > 0, F.transform(v, lambda x: (x - c["m"]) / c["s"])).otherwise(v))
 
 
+def aggregate(v: Column, combine: Callable[[Column, Column], Column], f: Callable[[Column], Column] = lambda x: x) -> Column:
+    """f of the elements folded by ``combine`` from the last element down; null for an empty vector."""
+    back = F.reverse(F.transform(v, f))
+    return F.when(F.size(v) > 0, F.aggregate(F.slice(back, 2, F.greatest(F.size(v) - 1, F.lit(0))), F.get(back, F.lit(0)), combine))
+
+
+def aggregate_upto(v: Column, combine: Callable[[Column, Column], Column], threshold: float, f: Callable[[Column], Column] = lambda x: x) -> Column:
+    """As ``aggregate``, but a value above the threshold is kept as it is by the elements that follow."""
+    t = F.lit(float(threshold))
+    return aggregate(v, lambda a, x: F.when(a > t, a).otherwise(combine(a, x)), f)
+
+
+def search(v: Column, value: Column) -> Column:
+    """0-based place of a value in a sorted vector, or -(place where it would go + 1)."""
+    at = F.size(F.filter(v, lambda x: x < value))
+    return F.when(F.array_contains(v, value), at).otherwise(-(at + 1))
+
+
 # distances ---------------------------------------------------------------------------------------------------------
 def minkowski(p: float) -> Callable[[Column, Column], Column]:
     return lambda a, b: F.pow(fold(a, b, lambda x, y: F.pow(F.abs(x - y), F.lit(float(p)))), F.lit(1.0 / p))

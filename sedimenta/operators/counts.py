@@ -110,3 +110,61 @@ def sample_with_replacement(df: DataFrame, key: str, rate: float, seed: int = 0)
         times = times + F.when(u >= cum, 1).otherwise(0)
         p *= rate / k
     return df.withColumn("__n", times).where("__n > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
+
+
+def keep_rows(long: DataFrame, rows: DataFrame, row: str = "row_num") -> DataFrame:
+    """Cells of the rows in ``rows`` (row_num, place), renumbered by their place."""
+    return long.join(rows.select(F.col(row), F.col("place").alias("__place")), row).drop(row).withColumnRenamed("__place", row)
+
+
+def info_values(info: DataFrame, key: str) -> DataFrame:
+    """One metadata key per row; ValueError for a key that the table hasn't."""
+    if key not in info.columns:
+        raise ValueError(f"no metadata {key}")
+    return info.select("row_num", key)
+
+
+def apply(long: DataFrame, f, *by: str) -> DataFrame:
+    """Cells mapped by ``f(value, aggregate)``: a column function of the value and of a function that gives an aggregate
+    of the cell's scope (``by`` row_num, col_num, or nothing for the matrix), as in ``lambda v, agg: v - agg(F.avg)``."""
+    used: dict[str, Column] = {}
+
+    def agg(g) -> Column:
+        name = f"__a{len(used)}"
+        used[name] = g("value").alias(name)
+        return F.col(name)
+
+    mapped = f(F.col("value"), agg)
+    if not used:
+        return long.withColumn("value", mapped)
+    scope = long.groupBy(*by).agg(*used.values())
+    joined = long.join(scope, list(by)) if by else long.crossJoin(F.broadcast(scope))  # one row
+    return joined.withColumn("value", mapped).drop(*used)
+
+
+def add_rows(long: DataFrame, rows: DataFrame) -> DataFrame:
+    """More rows (row_num, col_num, value); numbers that are taken and columns that differ are errors of the caller's data."""
+    return long.select("row_num", "col_num", "value").unionByName(rows.select("row_num", "col_num", "value"))
+
+
+def add_column(long: DataFrame, column: DataFrame, number: int) -> DataFrame:
+    """One more column, from (row_num, value)."""
+    return long.select("row_num", "col_num", "value").unionByName(column.select("row_num", F.lit(number).alias("col_num"), F.col("value").cast("double").alias("value")))
+
+
+def drop_columns(long: DataFrame, numbers: Sequence[int]) -> DataFrame:
+    """Columns left out; the ones behind them move up."""
+    gone = sorted(set(numbers))
+    shift = F.lit(0)
+    for k in gone:
+        shift = shift + F.when(F.col("col_num") > k, 1).otherwise(0)
+    return long.where(~F.col("col_num").isin(gone)).withColumn("col_num", F.col("col_num") - shift)
+
+
+def drop_rows(long: DataFrame, numbers: Sequence[int]) -> DataFrame:
+    """Rows left out; the ones behind them move up."""
+    gone = sorted(set(numbers))
+    shift = F.lit(0)
+    for k in gone:
+        shift = shift + F.when(F.col("row_num") > k, 1).otherwise(0)
+    return long.where(~F.col("row_num").isin(gone)).withColumn("row_num", F.col("row_num") - shift)

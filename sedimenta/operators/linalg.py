@@ -78,6 +78,59 @@ def factory(spark: SparkSession, kind: str, rows: int, columns: int | None = Non
     return at.select("i", "j", value.cast("double").alias("v"))
 
 
+# views of long matrices, renumbered from 0
+def row_of(m: DataFrame, i: int) -> DataFrame:
+    """A row as a vector (i, v)."""
+    return m.where(F.col("i") == i).select(F.col("j").alias("i"), "v")
+
+
+def column_of(m: DataFrame, j: int) -> DataFrame:
+    return m.where(F.col("j") == j).select("i", "v")
+
+
+def diagonal_of(m: DataFrame) -> DataFrame:
+    return m.where("i = j").select("i", "v")
+
+
+def part_of(m: DataFrame, i: int, j: int, rows: int, columns: int) -> DataFrame:
+    """The part of so many rows and columns from (i, j)."""
+    return m.where(F.col("i").between(i, i + rows - 1) & F.col("j").between(j, j + columns - 1)).select((F.col("i") - i).alias("i"), (F.col("j") - j).alias("j"), "v")
+
+
+def selection_of(m: DataFrame, rows: list[int] | None = None, columns: list[int] | None = None) -> DataFrame:
+    """Chosen rows and columns in the given order; a number may stand more than once."""
+
+    def pick(m: DataFrame, name: str, picks: list[int]) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(p).cast("long").alias("old"), F.lit(k).cast("long").alias("new")) for k, p in enumerate(picks)])
+        return m.withColumn("__p", F.explode(F.filter(pairs, lambda s: s["old"] == F.col(name)))).withColumn(name, F.col("__p.new")).drop("__p")
+
+    m = m if rows is None else pick(m, "i", rows)
+    return (m if columns is None else pick(m, "j", columns)).select("i", "j", "v")
+
+
+def dice_of(m: DataFrame, reverse_rows: int | None = None, reverse_columns: int | None = None, row_step: int = 1, column_step: int = 1) -> DataFrame:
+    """Every so-many-th row and column; given the number of rows or columns, in reverse order."""
+    i = F.col("i") if reverse_rows is None else F.lit(reverse_rows - 1) - F.col("i")
+    j = F.col("j") if reverse_columns is None else F.lit(reverse_columns - 1) - F.col("j")
+    return m.select(i.alias("i"), j.alias("j"), "v").where((F.col("i") % row_step == 0) & (F.col("j") % column_step == 0)).select((F.col("i") / row_step).cast("long").alias("i"), (F.col("j") / column_step).cast("long").alias("j"), "v")
+
+
+def swap_rows(m: DataFrame, a: int, b: int) -> DataFrame:
+    return m.withColumn("i", F.when(F.col("i") == a, F.lit(b)).when(F.col("i") == b, F.lit(a)).otherwise(F.col("i")))
+
+
+def combine(a: DataFrame, b: DataFrame, f) -> DataFrame:
+    """f(x, y) for every cell that either matrix has; absent cells are 0."""
+    both = a.select("i", "j", F.col("v").alias("x")).join(b.select("i", "j", F.col("v").alias("y")), ["i", "j"], "full")
+    return both.select("i", "j", f(F.coalesce("x", F.lit(0.0)), F.coalesce("y", F.lit(0.0))).alias("v"))
+
+
+def equals(a: DataFrame, b: DataFrame, tolerance: float = 0.0) -> bool:
+    """Whether all cells are equal within a tolerance; NaN equals NaN."""
+    off = combine(a, b, lambda x, y: F.when(F.isnan(x) & F.isnan(y), 0.0).otherwise(F.abs(x - y)))
+    return off.where(F.isnan("v") | (F.col("v") > tolerance)).limit(1).count() == 0
+
+
 # tall matrices -----------------------------------------------------------------------------------------------------
 @dataclass
 class Moments:
@@ -290,3 +343,49 @@ def symmetric_eigen(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not np.allclose(a, a.T):
         raise ValueError("not symmetric")
     return np.linalg.eigh(a)
+
+
+# dense kernels of small matrices, by their usual names
+def symv(a: np.ndarray, x: np.ndarray, lower: bool = True, alpha: float = 1.0, beta: float = 0.0, y: np.ndarray | None = None) -> np.ndarray:
+    """alpha * A x + beta * y of a symmetric matrix of which only one half is read."""
+    half = np.tril(a) if lower else np.triu(a)
+    full = half + half.T - np.diag(np.diag(a))
+    return alpha * full @ x + (beta * y if y is not None else 0)
+
+
+def trmv(a: np.ndarray, x: np.ndarray, lower: bool = True, transposed: bool = False, unit: bool = False) -> np.ndarray:
+    return _triangle(a, lower, transposed, unit) @ x
+
+
+def trsv(a: np.ndarray, x: np.ndarray, lower: bool = True, transposed: bool = False, unit: bool = False) -> np.ndarray:
+    return triangular_solve(_triangle(a, lower, transposed, unit), x, lower != transposed)
+
+
+def syr(a: np.ndarray, x: np.ndarray, alpha: float = 1.0) -> np.ndarray:
+    return a + alpha * np.outer(x, x)
+
+
+def syr2(a: np.ndarray, x: np.ndarray, y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
+    return a + alpha * (np.outer(x, y) + np.outer(y, x))
+
+
+def syrk(a: np.ndarray, alpha: float = 1.0, beta: float = 0.0, c: np.ndarray | None = None, transposed: bool = False) -> np.ndarray:
+    product = a.T @ a if transposed else a @ a.T
+    return alpha * product + (beta * c if c is not None else 0)
+
+
+def trmm(a: np.ndarray, b: np.ndarray, alpha: float = 1.0, left: bool = True, lower: bool = True, transposed: bool = False, unit: bool = False) -> np.ndarray:
+    t = _triangle(a, lower, transposed, unit)
+    return alpha * (t @ b if left else b @ t)
+
+
+def trsm(a: np.ndarray, b: np.ndarray, alpha: float = 1.0, left: bool = True, lower: bool = True, transposed: bool = False, unit: bool = False) -> np.ndarray:
+    t = _triangle(a, lower, transposed, unit)
+    return triangular_solve(t, alpha * b, lower != transposed) if left else triangular_solve(t.T, alpha * b.T, lower == transposed).T
+
+
+def _triangle(a: np.ndarray, lower: bool, transposed: bool, unit: bool) -> np.ndarray:
+    t = np.tril(a) if lower else np.triu(a)
+    if unit:
+        t = t - np.diag(np.diag(t)) + np.eye(len(t))
+    return t.T if transposed else t
