@@ -30,9 +30,12 @@ def rotation(dim: int) -> np.ndarray:
 
 
 def bounds(dim: int, step: int, epsilon: float) -> list[tuple[int, float]]:
-    """(dimensions seen, factor on the squared threshold) of each test; the last one has all dimensions."""
+    """(dimensions seen, factor on the squared threshold) of each test; the last one has all dimensions.
+
+    A partial distance beyond the threshold itself settles the matter, so no factor exceeds 1.
+    """
     seen = [*range(step, dim, step), dim]
-    return [(d, d / dim * (1 + epsilon / np.sqrt(d)) ** 2 if d < dim else 1.0) for d in seen]
+    return [(d, min(1.0, d / dim * (1 + epsilon / np.sqrt(d)) ** 2) if d < dim else 1.0) for d in seen]
 
 
 def scan(q: np.ndarray, q_id: np.ndarray, c: np.ndarray, c_id: np.ndarray, k: int, radius: float | None, epsilon: float = EPSILON, step: int = STEP):
