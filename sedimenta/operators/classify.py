@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.operators.counts import numbered
+
 
 def class_table(df: DataFrame, name: str, by_size: bool = False, least: int = 1) -> DataFrame:
     """(name, class, n): classes from 1 by name, or by size and then name; those below ``least`` members left out.
 
-    The numbering runs over names, not rows.
+    The numbering is distributed, so that there may be any number of names.
     """
     sizes = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     order = [F.desc("n"), F.asc("name")] if by_size else [F.asc("name")]
-    return sizes.withColumn("class", F.row_number().over(Window.orderBy(*order)))
+    return numbered(sizes, order, "class")
 
 
 def by_first_appearance(df: DataFrame, name: str, order: str) -> DataFrame:
     """(name, class): classes from 1 in the order in which names first appear."""
     first = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.min(order).alias("__first"))
-    return first.select("name", F.row_number().over(Window.orderBy("__first", "name")).alias("class"))
+    return numbered(first, ["__first", "name"], "class").select("name", "class")
 
 
 def by_neuron(matches: DataFrame, mask: DataFrame, neuron: str = "neuron") -> DataFrame:

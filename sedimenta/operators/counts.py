@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimenta.session import cut
+
 
 def to_long(wide: DataFrame, row: str, columns: Sequence[str], value: str = "value") -> DataFrame:
     """Cells (row, col_num, col_name, value) of the data columns of a wide table."""
@@ -32,7 +34,8 @@ def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "row_num"
     """
     n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    placed = df.repartitionByRange(n, *keys).withColumn("__block", F.spark_partition_id())
+    # ranges are drawn by sampling, so the placement is written once and both its uses read the same
+    placed = cut(df.repartitionByRange(n, *keys).withColumn("__block", F.spark_partition_id()))
     within = placed.withColumn("__k", F.row_number().over(Window.partitionBy("__block").orderBy(*keys)))
     sizes = within.groupBy("__block").agg(F.count("*").alias("__n"))
     before = sizes.select("__block", (F.sum("__n").over(Window.orderBy("__block")) - F.col("__n")).alias("__before"))  # one row per block

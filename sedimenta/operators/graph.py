@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.operators.counts import numbered
 from sedimenta.session import cut
 
 ROUNDS_MAX = 60
@@ -61,5 +62,5 @@ def component_stats(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def ranked_by_size(stats: DataFrame) -> DataFrame:
-    """Components numbered from 1 by size, then by their lowest node. For reports: the components' table goes through one sort."""
-    return stats.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_nodes"), "component")))
+    """Components numbered from 1 by size, then by their lowest node."""
+    return numbered(stats, [F.desc("n_nodes"), F.asc("component")], "rank")

@@ -241,6 +241,23 @@ def train_sequential(x: np.ndarray, w: np.ndarray, rows: int, columns: int, sche
     return w
 
 
+def train_in_one_task(vectors: DataFrame, order: str, v: str, w: np.ndarray, rows: int, columns: int, schedule: Schedule, **how) -> DataFrame:
+    """(neuron, row, col, w) of ``train_sequential`` over all vectors in the order of ``order``, in one task of an executor."""
+    n = vectors.count()
+    if n > SEQUENTIAL_MAX:
+        raise ValueError("too many vectors for one task; use batch training")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for b in batches if b.num_rows]
+        if parts:
+            out = train_sequential(np.concatenate(parts), w, rows, columns, schedule, **how)
+            k = np.arange(len(out))
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(k // columns), pa.array(k % columns), pa.array(out.tolist(), pa.list_(pa.float64()))], ["neuron", "row", "col", "w"])
+
+    one = vectors.select(order, F.col(v).cast("array<double>").alias("v")).coalesce(1).sortWithinPartitions(order)
+    return one.mapInArrow(run, "neuron long, row long, col long, w array<double>")
+
+
 # results -----------------------------------------------------------------------------------------------------------
 def to_frame(spark: SparkSession, w: np.ndarray, columns: int) -> DataFrame:
     """(neuron, row, col, w) of a trained map."""

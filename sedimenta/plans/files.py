@@ -12,7 +12,7 @@ from sedimenta.operators import linalg, som
 from sedimenta.plans.maps import COLUMNS, codebook
 from sedimenta.plans.tables import wide_counts
 from sedimenta.plans.vectors import training
-from sedimenta.session import ensure_checkpoint_dir, table
+from sedimenta.session import cut, ensure_checkpoint_dir, table
 from sedimenta.sources import readers, writers
 
 
@@ -121,11 +121,10 @@ def eigen(spark, sf_dir):
 
 def _sequential(**how):
     def query(spark, sf_dir):
-        v = np.array([r["v"] for r in training(spark, sf_dir).orderBy("data_index").select("v").collect()])
-        m = linalg.moments(training(spark, sf_dir), "v")[""]
+        v = training(spark, sf_dir)
         rows, columns = 8, 12
-        w = som.train_sequential(v, som.initial("pca", m, rows, columns), rows, columns, som.Schedule(epochs=2, radius=(4, 1)), **how)
-        return som.u_matrix(som.to_frame(spark, w, columns), rows, columns)
+        start = som.initial("pca", linalg.moments(v, "v")[""], rows, columns)
+        return som.u_matrix(cut(som.train_in_one_task(v, "data_index", "v", start, rows, columns, som.Schedule(epochs=2, radius=(4, 1)), **how)), rows, columns)
 
     query.__doc__ = f"U-matrix of a map of 8 x 12 trained in one task, exactly ({how or 'online'})."
     return query

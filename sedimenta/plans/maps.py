@@ -137,7 +137,7 @@ def palette(spark, sf_dir):
 
 def overlay(spark, sf_dir):
     """Pixels of best matches drawn as squares of three on a map of cells of two."""
-    b = table(spark, sf_dir, "bestmatches").where("bm_row IS NOT NULL AND bm_col IS NOT NULL").select(F.col("bm_row").alias("row"), F.col("bm_col").alias("col"), (F.col("data_index") % 5).alias("class"))
+    b = table(spark, sf_dir, "bestmatches").where("bm_row IS NOT NULL AND bm_col IS NOT NULL").select(F.col("bm_row").cast("long").alias("row"), F.col("bm_col").cast("long").alias("col"), (F.col("data_index") % 5).alias("class"))
     return im.overlay(b, 3, 2)
 
 

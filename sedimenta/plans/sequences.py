@@ -246,7 +246,7 @@ def class_by_hit(spark, sf_dir):
     known = cl.class_table(last, "name", by_size=True).select("name", "class")
     all_seqs = table(spark, sf_dir, "gff").where("seqid IS NOT NULL").select("seqid").distinct()
     got = all_seqs.join(last, "seqid", "left").join(F.broadcast(known), "name", "left")
-    return got.groupBy(F.coalesce("class", F.lit(0)).alias("class")).agg(F.count("*").alias("n"))
+    return got.groupBy(F.coalesce("class", F.lit(0).cast("long")).alias("class")).agg(F.count("*").alias("n"))
 
 
 def majority(spark, sf_dir):
@@ -355,7 +355,7 @@ def oracle_sql():
             round(max(CASE WHEN kind IN ('C', 'D') THEN pct_id END), 4) AS avg_id, round(avg(CASE WHEN kind IN ('H', 'N', 'R') THEN pct_id END), 4) AS mean_pct_id FROM r GROUP BY cluster""",
         "clusters_cluster_samples": f"WITH {records}, m AS (SELECT cluster, sample FROM r WHERE kind IN ('S', 'H', 'N', 'R') AND sample IS NOT NULL) SELECT c.cluster, s.sample, count(m.cluster) AS n FROM (SELECT DISTINCT cluster FROM m) c CROSS JOIN (SELECT DISTINCT sample FROM m) s LEFT JOIN m ON m.cluster = c.cluster AND m.sample = s.sample GROUP BY ALL",
         "clusters_rarefaction": f"""WITH {_HITS}, o AS (SELECT sample, s_id, ceil(line_no / 10000.0)::BIGINT AS block, line_no = min(line_no) OVER (PARTITION BY sample, s_id) AS fresh FROM h WHERE sample IS NOT NULL AND s_id IS NOT NULL), b AS (SELECT sample, block, count(*) AS n, count(CASE WHEN fresh THEN 1 END) AS k FROM o GROUP BY ALL)
-            SELECT sample, block, sum(n) OVER w ::BIGINT AS n_members, sum(k) OVER w ::BIGINT AS n_clusters FROM b WINDOW w AS (PARTITION BY sample ORDER BY block)""".replace("OVER w ::BIGINT", "OVER w"),
+            SELECT sample, block, (sum(n) OVER w)::BIGINT AS n_members, (sum(k) OVER w)::BIGINT AS n_clusters FROM b WINDOW w AS (PARTITION BY sample ORDER BY block)""",
         "classes_table": "SELECT source AS name, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS class FROM documents WHERE source IS NOT NULL GROUP BY source HAVING count(*) >= 5",
         "classes_by_name": f"WITH {_HITS} SELECT sample AS name, count(*) AS n, row_number() OVER (ORDER BY sample) AS class FROM h WHERE sample IS NOT NULL GROUP BY sample",
         "classes_by_source": f"WITH {_HITS} SELECT sample AS name, row_number() OVER (ORDER BY min(line_no)) AS class FROM h WHERE sample IS NOT NULL GROUP BY sample",

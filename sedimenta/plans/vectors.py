@@ -85,9 +85,9 @@ def grid_distances(spark, sf_dir):
 
 def radius_counts(spark, sf_dir):
     """Vectors within a radius of each label's mean vector."""
-    got = centroids(spark, sf_dir).orderBy("label").collect()
-    n = joins.neighbours_within(np.array([r["w"] for r in got]), embeddings(spark, sf_dir), "v", 0.95)
-    labels = spark.createDataFrame([(k, r["label"]) for k, r in enumerate(got)], "centre long, label int")
+    names, w = joins.codebook(centroids(spark, sf_dir), "label", "w")
+    n = joins.neighbours_within(w, embeddings(spark, sf_dir), "v", 0.95)
+    labels = spark.createDataFrame([(k, int(name)) for k, name in enumerate(names)], "centre long, label int")
     return labels.join(n, "centre").select("label", "n")
 
 
