@@ -2,8 +2,9 @@
 
 Header lines become a rule table (file, column, role, rule). Lines meet the rules of their file, are exploded into
 (row, column, value) cells, each cell is validated, errors are aggregated per row, and the clean rows are what an
-anti-join with the errors leaves. The join with the rules moves lines and not cells: rules are packed per file first,
-replicated over a few salts so that one file with a third of all lines spreads over several tasks.
+anti-join with the errors leaves. Rules are packed per file and joined to lines, before these become cells. They are made
+once and measured: rules of a few megabytes are broadcast and no line moves; beyond that both sides meet on (file,
+salt), with the rules replicated over a few salts so that one file with a third of all lines spreads over several tasks.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimenta.session import BROADCAST_MAX_BYTES, cut
+
 SALTS = 16
 #: White space at either end of a value, no-break and other Unicode spaces included; then the same without tab.
 _SPACES = r"\u0085   -     　﻿"
@@ -60,9 +63,14 @@ def header_rules(lines: DataFrame) -> DataFrame:
 def _cells(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """Body lines with their file's rules and parsed cells (null cells where the quoting is broken)."""
     body = lines.where(~F.col("line").startswith("#") & ~F.col("line").startswith("%") & F.col("line").rlike(rf"[^\s ]"))
-    body = body.withColumn("salt", F.pmod(F.xxhash64("line_no"), F.lit(SALTS)).cast("int"))
-    salted = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = body.join(salted, ["file_id", "salt"], "left").drop("salt")
+    rules = cut(rules)
+    size = rules.agg(F.sum(F.length("file_id") + F.length(F.array_join("col_types", " ")) + F.length(F.array_join("row_keys", " ")) + 100)).first()[0] or 0
+    if size * 4 <= BROADCAST_MAX_BYTES:  # with room for how arrays are held in memory
+        joined = body.join(F.broadcast(rules), "file_id", "left")
+    else:
+        body = body.withColumn("salt", F.pmod(F.xxhash64("line_no"), F.lit(SALTS)).cast("int"))
+        salted = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = body.join(salted, ["file_id", "salt"], "left").drop("salt")
     plain = ~F.col("line").contains('"')
     tiles = F.regexp_extract_all(F.concat("line", F.lit("\t")), F.lit(rf"({_FIELD})\t"), F.lit(1))
     fields = F.when(plain, F.split("line", "\t")).when(F.col("line").rlike(_WELL), tiles)

@@ -1,5 +1,6 @@
 import pytest
 
+from sedimenta.operators import rejects
 from sedimenta.operators.rejects import load_counts, rejected_lines
 
 SCHEMA = "file_id string, line_no long, line string, read_at string, key string"
@@ -31,7 +32,9 @@ def rows(file="f", first=5):
     return head + [(file, first + k, line, "t", "clash") for k, (line, _) in enumerate(CASES)]
 
 
-def test_reasons_and_clean_rows(spark):
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_reasons_and_clean_rows(spark, monkeypatch, limit):
+    monkeypatch.setattr(rejects, "BROADCAST_MAX_BYTES", limit)  # at 0 lines meet their rules through salts
     extra = [("f", 90, "# comment", "", ""), ("f", 91, "", "", ""), ("f", 92, "  \t ", "", ""), ("f", 93, None, "", ""), (None, 1, "x", "", ""), ("f", None, "x", "", "")]
     again = [rows()[7], rows()[10], rows()[0]]  # delivered twice
     clean, rejected = load_counts(spark.createDataFrame([*rows(), *extra, *again], SCHEMA).repartition(5))
