@@ -37,7 +37,7 @@ def _hash(ids: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _alike(asks: pa.Table, offers: pa.Table, radius: float, window: int, rows: int, columns: int):
-    """(first query, matrix of who is alike) for blocks of queries against all offers."""
+    """(block of queries, block of offers, who is alike, squared distances) for all blocks."""
     q, c = matrix(asks.column("v")), matrix(offers.column("v"))
     at = {n: (asks.column(n).to_numpy(), offers.column(n).to_numpy()) for n in ("bm_row", "bm_col")}
     limit = radius * radius
@@ -57,7 +57,7 @@ def _alike(asks: pa.Table, offers: pa.Table, radius: float, window: int, rows: i
                 d = np.abs(at[n][0][lo + i] - at[n][1][co + j]) % size
                 out = np.minimum(d, size - d) > window
                 near[i[out], j[out]] = False
-            yield lo, hi, co, ch, near
+            yield lo, hi, co, ch, near, d2
 
 
 def _neighbourhoods(radius: float, window: int, rows: int, columns: int):
@@ -66,16 +66,18 @@ def _neighbourhoods(radius: float, window: int, rows: int, columns: int):
         n = asks.num_rows
         degree, low = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max)
         x1, x2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        close = np.zeros(n)
         if n and offers.num_rows:
             ids, weight = offers.column("index").to_numpy(), offers.column("copies").to_numpy()
             h1, h2 = _hash(ids, 1), _hash(ids, 2)
-            for lo, hi, co, ch, near in _alike(asks, offers, radius, window, rows, columns):
+            for lo, hi, co, ch, near, d2 in _alike(asks, offers, radius, window, rows, columns):
+                close[lo:hi] += np.where(near, radius - np.sqrt(d2), 0.0) @ weight[co:ch]
                 degree[lo:hi] += near @ weight[co:ch]
                 low[lo:hi] = np.minimum(low[lo:hi], np.where(near, ids[co:ch], np.iinfo(np.int64).max).min(1))
                 x1[lo:hi] ^= np.bitwise_xor.reduce(np.where(near, h1[co:ch], np.uint64(0)), axis=1)
                 x2[lo:hi] ^= np.bitwise_xor.reduce(np.where(near, h2[co:ch], np.uint64(0)), axis=1)
         some = pa.array(degree > 0)
-        return pa.table({"index": asks.column("index"), "degree": degree, "low": low, "x1": x1.view(np.int64), "x2": x2.view(np.int64)}).filter(some)
+        return pa.table({"index": asks.column("index"), "degree": degree, "low": low, "x1": x1.view(np.int64), "x2": x2.view(np.int64), "close": close}).filter(some)
 
     return run
 
@@ -86,7 +88,7 @@ def _links(radius: float, window: int, rows: int, columns: int):
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if asks.num_rows and offers.num_rows:
             p, q = asks.column("index").to_numpy(), offers.column("index").to_numpy()
-            for lo, _, co, _, near in _alike(asks, offers, radius, window, rows, columns):
+            for lo, _, co, _, near, _ in _alike(asks, offers, radius, window, rows, columns):
                 i, j = np.nonzero(near)
                 a.append(p[lo + i])
                 b.append(q[co + j])
@@ -98,26 +100,27 @@ def _links(radius: float, window: int, rows: int, columns: int):
 def similarity_graph(points: DataFrame, radius: float, window: int, rows: int, columns: int, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, nodes, links) of the graph of alike points ``(index, v, bm_row, bm_col)``.
 
-    ``members``: index, node (the lowest index with the same closed neighbourhood). ``nodes``: node, size, degree (records
+    ``members``: index, node (the lowest index with the same closed neighbourhood), close (radius minus distance, summed
+    over all that are alike). ``nodes``: node, size, degree (records
     alike, itself included). ``links``: a, b for alike nodes, both directions, each node with itself.
     """
     search, twins, n = collapse(points.select("index", "v", "bm_row", "bm_col"), ["v", "bm_row", "bm_col"])
     centroids, expected = fit(search, n, sample_rows, list_rows)
     if not len(centroids):
         empty = points.sparkSession.createDataFrame
-        return empty([], "index long, node long"), empty([], "node long, size long, degree long"), empty([], "a long, b long")
+        return empty([], "index long, node long, close double"), empty([], "node long, size long, degree long"), empty([], "a long, b long")
     spec = (radius, window, rows, columns)
     keep = ["index", "v", "bm_row", "bm_col", "copies", "list", "block", "part", "is_candidate", "is_query"]
-    parts = place(search, centroids, expected, radius, 1).select(*keep).groupBy("list", "block", "part").applyInArrow(_neighbourhoods(*spec), "index long, degree long, low long, x1 long, x2 long")
-    around = parts.groupBy("index").agg(F.sum("degree").alias("degree"), F.min("low").alias("low"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))
+    parts = place(search, centroids, expected, radius, 1).select(*keep).groupBy("list", "block", "part").applyInArrow(_neighbourhoods(*spec), "index long, degree long, low long, x1 long, x2 long, close double")
+    around = parts.groupBy("index").agg(F.sum("degree").alias("degree"), F.min("low").alias("low"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"), F.round(F.sum("close"), 6).alias("close"))
     around = cut(around.join(search.select("index", "copies"), "index"))
     same_around = ["degree", "low", "x1", "x2"]
     nodes = cut(around.groupBy(*same_around).agg(F.min("index").alias("node"), F.sum("copies").alias("size")))
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    of = around.withColumn("salt", F.pmod("index", F.lit(SALTS)).cast("int")).join(nodes.select(*same_around, "node", salt), [*same_around, "salt"]).select("index", "node")
+    of = around.withColumn("salt", F.pmod("index", F.lit(SALTS)).cast("int")).join(nodes.select(*same_around, "node", salt), [*same_around, "salt"]).select("index", "node", "close")
     of = cut(of)
     later = twins.where("index != rep").withColumn("salt", F.pmod("index", F.lit(SALTS)).cast("int"))
-    members = of.unionByName(later.join(of.select(F.col("index").alias("rep"), "node", salt), ["rep", "salt"]).select("index", "node"))
+    members = of.unionByName(later.join(of.select(F.col("index").alias("rep"), "node", "close", salt), ["rep", "salt"]).select("index", "node", "close"))
     # a node whose size is its degree has no link outward; only the others are searched for links
     open_nodes = search.join(nodes.where(F.col("size") != F.col("degree")).select(F.col("node").alias("index")), "index", "left_semi")
     outward = place(open_nodes, centroids, expected, radius, 1).select(*keep).groupBy("list", "block", "part").applyInArrow(_links(*spec), "a long, b long")
@@ -184,9 +187,10 @@ def positioned(vectors: DataFrame, matches: DataFrame) -> DataFrame:
 def similarity_clusters(points: DataFrame, radius: float, window: int, rows: int, columns: int, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS) -> tuple[DataFrame, DataFrame]:
     """(members, clusters) of points ``(index, v, bm_row, bm_col)``.
 
-    ``members``: index, cluster_first (lowest index of its cluster), flow, complete. ``clusters``: cluster_first, size,
-    complete, typical (indexes of the three members with the strongest flow, lower index first). ``complete``: every
-    two members are alike and none is like a point outside.
+    ``members``: index, cluster_first (lowest index of its cluster), size, flow, close, complete. ``clusters``:
+    cluster_first, size, complete, typical (indexes of the three members with the strongest flow; of equal flow, those
+    closest to all that are like them, then the lower index). ``complete``: every two members are alike and none is like
+    a point outside.
 
     * null, NaN and odd-sized vectors and null positions take no part (``positioned`` leaves them out);
     * equal points cost as one, but count as many; an empty table gives two empty results;
@@ -198,9 +202,8 @@ def similarity_clusters(points: DataFrame, radius: float, window: int, rows: int
     whole = found.groupBy("cluster").agg(F.sum("size").alias("cluster_size"), F.min("node").alias("cluster_first"), F.max("degree").alias("most"), F.count("*").alias("parts"))
     whole = whole.withColumn("complete", (F.col("parts") == 1) & (F.col("most") == F.col("cluster_size")))
     told = found.join(whole, "cluster").select("node", "cluster_first", "cluster_size", "complete", "flow")
-    out = members.join(told, "node").select("index", "cluster_first", F.col("cluster_size").alias("size"), "flow", "complete")
-    # a node stands for equal members, so its lowest index is as typical as any; three nodes or members are enough
-    best = Window.partitionBy("cluster_first").orderBy(F.desc(F.round("flow", 9)), "index")
+    out = members.join(told, "node").select("index", "cluster_first", F.col("cluster_size").alias("size"), "flow", "close", "complete")
+    best = Window.partitionBy("cluster_first").orderBy(F.desc(F.round("flow", 9)), F.desc("close"), "index")
     few = out.withColumn("r", F.row_number().over(best)).where("r <= 3")
     clusters = few.groupBy("cluster_first", "size", "complete").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "index"))), lambda x: x["index"]).alias("typical"))
     return out, clusters

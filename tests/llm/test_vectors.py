@@ -97,6 +97,7 @@ def test_cliques_chains_and_the_toroid(spark):
     assert got[60].cluster_first == 60 and got[61]["size"] == 1
     by = {r.cluster_first: r for r in told.collect()}
     assert by[40]["size"] == 7 and by[40].typical == [40, 41, 42]
+    assert by[0].typical == [2, 3, 1]  # the middle of the row is closest to all others
 
 
 def test_flow_matches_dense_markov_clustering(spark):
