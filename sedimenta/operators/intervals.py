@@ -36,13 +36,13 @@ def unite(t: pa.Table) -> pa.Table:
     # running maximum of the end within a bitmap: bitmaps are lifted apart, so that one accumulate serves all
     lift = np.cumsum(fresh) - 1
     low = beg.min()
-    span = int(end.max() - low) + 2
+    span = int(end.max()) - int(low) + 2
     if span * (int(lift[-1]) + 1) < (1 << 62):
         reach = np.maximum.accumulate(end - low + lift * span) - lift * span + low
     else:
         reach = np.concatenate([np.maximum.accumulate(x) for x in np.split(end, np.flatnonzero(fresh)[1:])])
     first = fresh.copy()
-    first[1:] |= beg[1:] > reach[:-1] + 1
+    first[1:] |= (beg[1:] > reach[:-1]) & (beg[1:] - 1 > reach[:-1])  # safe at the ends of the number range
     at = np.flatnonzero(first)
     last = np.r_[at[1:], len(code)] - 1
     out = t.select(["origin", "entity", "shard"]).take(pa.array(order[at]))
@@ -137,15 +137,15 @@ def periods_and_gaps(df: DataFrame, shard: int = SHARD) -> DataFrame:
     """
     whole = F.col("origin").isNotNull() & F.col("entity").isNotNull() & F.col("beg").isNotNull() & F.col("end").isNotNull()
     spans = df.where(whole).select("origin", "entity", F.least("beg", "end").cast("long").alias("beg"), F.greatest("beg", "end").cast("long").alias("end"))
-    longest = spans.agg(F.max(F.col("end") - F.col("beg"))).first()[0] or 0
+    longest = spans.agg(F.max(F.col("end").cast("double") - F.col("beg").cast("double"))).first()[0] or 0
     while longest // shard > REACH:
         shard *= 2
     at = lambda c: F.expr(f"{c} div {shard} - if({c} % {shard} < 0, 1, 0)")
     placed = spans.withColumns({"s0": at("beg"), "s1": at("end")}).select("origin", "entity", "beg", "end", F.explode(F.sequence("s0", "s1")).alias("shard"))
     runs = placed.select(
         "origin", "entity", F.col("shard").cast("long").alias("shard"),
-        F.greatest(F.col("beg"), F.col("shard") * F.lit(shard)).alias("beg"),
-        F.least(F.col("end"), (F.col("shard") + 1) * F.lit(shard) - 1).alias("end"),
+        F.greatest(F.col("beg"), F.try_multiply(F.col("shard"), F.lit(shard))).alias("beg"),  # null beyond the number range, which greatest passes over
+        F.least(F.col("end"), F.try_subtract(F.try_multiply(F.col("shard") + 1, F.lit(shard)), F.lit(1))).alias("end"),
     )
     united = runs.mapInArrow(_before, _RUNS).repartition("origin", "entity", "shard").sortWithinPartitions("origin", "entity", "shard")
     final = united.mapInArrow(_after, _FINAL)
@@ -155,8 +155,8 @@ def periods_and_gaps(df: DataFrame, shard: int = SHARD) -> DataFrame:
     joined = edges.withColumns({
         "before": F.lag("end2").over(w), "after": F.lead("beg").over(w),
     }).withColumns({
-        "goes_on": F.coalesce(F.col("before") + 1 == F.col("beg"), F.lit(False)),
-        "stays_open": F.coalesce(F.col("end2") + 1 == F.col("after"), F.lit(False)),
+        "goes_on": F.coalesce(F.try_add("before", F.lit(1)) == F.col("beg"), F.lit(False)),
+        "stays_open": F.coalesce(F.try_add("end2", F.lit(1)) == F.col("after"), F.lit(False)),
         "single": F.col("beg") == F.col("beg2"),
     })
     # begin of the period that is open at the right edge of a shard, carried over shards that it fills

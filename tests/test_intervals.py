@@ -52,6 +52,12 @@ def test_long_intervals_touching_shards_and_far_positions(spark):
     assert got(spark.createDataFrame(far, SCHEMA)) == brute(far)
 
 
+def test_ends_of_the_number_range(spark):
+    top, low = (1 << 63) - 1, -(1 << 63)
+    rows = [("o", "e", top - 2, top, ""), ("o", "e", low, low + 1, ""), ("o", "e", 0, 5, ""), ("o", "f", low, top, ""), ("o", "g", top, top, ""), ("o", "g", top - 1, top - 1, "")]
+    assert got(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+
+
 def test_small_buffers(spark, monkeypatch):
     import pyarrow as pa
 
