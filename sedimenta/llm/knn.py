@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.session import cut
 
-from .lists import LIST_ROWS, SALTS, SAMPLE_ROWS, SEED, collapse, fit, matrix, place, squares, usable
+from .lists import LIST_ROWS, SALTS, SEED, collapse, fit, matrix, place, squares, usable
 from .topn import top_n
 
 #: Dimensions of a column block, strictness of the hypothesis tests, rows of queries and candidates scanned at a time.
@@ -96,7 +96,7 @@ def _scan_list(k: int, radius: float | None, epsilon: float):
 
 def nearest(
     vectors: DataFrame, index: str, vector: str, k: int, radius: float | None = None, is_query=None, nprobe: int = 12,
-    epsilon: float = EPSILON, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS,
+    epsilon: float = EPSILON, sample_rows: int | None = None, list_rows: int = LIST_ROWS,
 ) -> DataFrame:
     """The ``k`` nearest vectors (Euclid) of every vector: ``data_index``, ``neighbour``, ``distance``, ``neighbour_rank``.
 

@@ -18,8 +18,10 @@ from sedimenta.session import cut
 
 from .topn import fingerprints
 
-#: Most vectors of the sample that centroids are fitted on; vectors a list should hold; rows of a block of a list.
-SAMPLE_ROWS, LIST_ROWS, BLOCK_ROWS = 40_000, 1_000, 6_000
+#: Vectors of the sample that centroids are fitted on: a fiftieth of all, but at least and at most so many.
+SAMPLE_SHARE, SAMPLE_LEAST, SAMPLE_MOST = 50, 40_000, 200_000
+#: Vectors a list should hold; rows of a block of a list; numbers that one matrix of distances may have.
+LIST_ROWS, BLOCK_ROWS, MATRIX_NUMBERS = 1_000, 6_000, 4_000_000
 #: Sample vectors a centroid needs at least, rounds of the fit, seed.
 PER_CENTROID, ROUNDS, SEED = 10, 6, 20_011
 #: Lines into which the one line of a group of equal rows is multiplied, to spread its rows over tasks.
@@ -69,8 +71,19 @@ def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T), 0)
 
 
-def fit(vectors: DataFrame, rows: int, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(centroids, estimated vectors of each list) from at most about ``sample_rows`` vectors, chosen by a hash of their index."""
+def nearest_of(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Nearest centroid of each row, by blocks of bounded size."""
+    step = max(64, MATRIX_NUMBERS // max(len(c), 1))
+    return np.concatenate([squares(x[i : i + step], c).argmin(1) for i in range(0, len(x), step)])
+
+
+def fit(vectors: DataFrame, rows: int, sample_rows: int | None = None, list_rows: int = LIST_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, estimated vectors of each list) from about ``sample_rows`` vectors, chosen by a hash of their index.
+
+    By default the sample is a fiftieth of the vectors, between 40,000 and 200,000. Lists then hold about ``list_rows``
+    vectors each in collections of up to 20 million; in larger ones they grow unless the sample is made larger.
+    """
+    sample_rows = sample_rows or int(np.clip(rows // SAMPLE_SHARE, SAMPLE_LEAST, SAMPLE_MOST))
     share = min(1.0, sample_rows / max(rows, 1))
     sample = vectors if share == 1 else vectors.where(F.pmod(F.xxhash64(F.lit(SEED), "index"), F.lit(1 << 30)) < int(share * (1 << 30)))
     got = sample.select("index", "v").toArrow()
@@ -81,7 +94,7 @@ def fit(vectors: DataFrame, rows: int, sample_rows: int = SAMPLE_ROWS, list_rows
     rng = np.random.default_rng(SEED)
     c = x[rng.choice(len(x), lists, replace=False)]
     for k in range(ROUNDS):
-        own = np.concatenate([squares(x[i : i + 4096], c).argmin(1) for i in range(0, len(x), 4096)])
+        own = nearest_of(x, c)
         count = np.bincount(own, minlength=lists)
         total = np.zeros_like(c)
         np.add.at(total, own, x)
@@ -89,7 +102,7 @@ def fit(vectors: DataFrame, rows: int, sample_rows: int = SAMPLE_ROWS, list_rows
         if k < ROUNDS - 1:  # an empty list moves into the fullest one
             for e, f in zip(np.flatnonzero(count == 0), np.argsort(-count, kind="stable")):
                 c[e] = x[own == f][-1]
-    own = np.concatenate([squares(x[i : i + 4096], c).argmin(1) for i in range(0, len(x), 4096)])
+    own = nearest_of(x, c)
     return c, np.bincount(own, minlength=lists) / len(x) * rows
 
 
@@ -100,7 +113,7 @@ def place(vectors: DataFrame, centroids: np.ndarray, expected: np.ndarray, radiu
     queries), ``is_candidate`` and ``is_query``. The cut follows the list's expected size; a wrong guess costs time only.
     """
     blocks = np.maximum(1, np.ceil(expected / block_rows)).astype(np.int64)
-    between = np.sqrt(squares(centroids, centroids))
+    step = int(np.clip(MATRIX_NUMBERS // max(len(centroids), 1), 64, 2048))
     vectors = vectors.withColumn("__q", F.lit(True) if is_query is None else is_query)
     schema = vectors.drop("__q").schema
     text = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", list int, block int, part int, is_candidate boolean, is_query boolean"
@@ -109,8 +122,8 @@ def place(vectors: DataFrame, centroids: np.ndarray, expected: np.ndarray, radiu
         for whole in batches:
             if not whole.num_rows:
                 continue
-            for lo in range(0, whole.num_rows, 2048):
-                batch = whole.slice(lo, 2048)
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
                 x = matrix(batch.column("v"))
                 asks = batch.column("__q").to_numpy(zero_copy_only=False).astype(bool)
                 d2 = squares(x, centroids)
@@ -121,9 +134,9 @@ def place(vectors: DataFrame, centroids: np.ndarray, expected: np.ndarray, radiu
                     k = min(nprobe, d2.shape[1])
                     near[me[:, None], np.argpartition(d2, k - 1, axis=1)[:, :k]] = True
                 else:  # distance to the plane between the two centroids, with room for rounding
-                    gap = (d2 - d2[me, own][:, None]) / np.maximum(2 * between[own], 1e-300)
-                    near = gap <= radius * (1 + 1e-9) + 1e-9
-                    near |= between[own] == 0
+                    there, which = np.unique(own, return_inverse=True)
+                    between = np.sqrt(squares(centroids[there], centroids))[which]
+                    near = d2 - d2[me, own][:, None] <= 2 * between * (radius * (1 + 1e-9) + 1e-9) + 1e-9
                 near[~asks] = False
                 near[me, own] = True
                 at, to = np.nonzero(near)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.session import cut
 
-from .lists import LIST_ROWS, SALTS, SAMPLE_ROWS, collapse, fit, matrix, place, squares, usable
+from .lists import LIST_ROWS, SALTS, collapse, fit, matrix, place, squares, usable
 
 #: Exponent of the inflation, share of its column's largest entry below which an entry goes, tolerance, rounds at most.
 INFLATION, PRUNE, TOLERANCE, ROUNDS = 2.0, 1e-3, 1e-6, 40
@@ -97,7 +97,7 @@ def _links(radius: float, window: int, rows: int, columns: int):
     return run
 
 
-def similarity_graph(points: DataFrame, radius: float, window: int, rows: int, columns: int, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similarity_graph(points: DataFrame, radius: float, window: int, rows: int, columns: int, sample_rows: int | None = None, list_rows: int = LIST_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, nodes, links) of the graph of alike points ``(index, v, bm_row, bm_col)``.
 
     ``members``: index, node (the lowest index with the same closed neighbourhood), close (radius minus distance, summed
@@ -184,7 +184,7 @@ def positioned(vectors: DataFrame, matches: DataFrame) -> DataFrame:
     return usable(vectors.select("data_index", "v"), "data_index", "v").join(at, "index")
 
 
-def similarity_clusters(points: DataFrame, radius: float, window: int, rows: int, columns: int, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS) -> tuple[DataFrame, DataFrame]:
+def similarity_clusters(points: DataFrame, radius: float, window: int, rows: int, columns: int, sample_rows: int | None = None, list_rows: int = LIST_ROWS) -> tuple[DataFrame, DataFrame]:
     """(members, clusters) of points ``(index, v, bm_row, bm_col)``.
 
     ``members``: index, cluster_first (lowest index of its cluster), size, flow, close, complete. ``clusters``:
