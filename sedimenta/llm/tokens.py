@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,9 +15,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@lru_cache(maxsize=4)
 def encoder(ranks: str = RANKS, pattern: str = PATTERN):
-    """The tokenizer of a rank file; one per Python worker."""
+    """The tokenizer of a rank file; made once per task."""
     import tiktoken
 
     with open(ranks, "rb") as f:
