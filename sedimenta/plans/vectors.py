@@ -179,14 +179,9 @@ def stratified_sizes(spark, sf_dir):
 
 
 def pareto_radius(spark, sf_dir):
-    """Radius at which the median of a hash-drawn sample of vectors has a fifth of it around, and the density there."""
-    t = training(spark, sf_dir)
-    n = t.count()
-    sample = t.where(F.pmod(F.xxhash64(F.lit(5), "data_index"), F.lit(1 << 20)) < int(min(1.0, 2000 / max(n, 1)) * (1 << 20))).select("v").collect()
-    x = np.array([r["v"] for r in sample])
-    r = density.pareto_radius(x)
-    count = joins.neighbours_within(x, t, "v", r)
-    return count.select("centre", F.col("n"), F.lit(round(r, 6)).alias("radius"))
+    """Pareto radius of all usable vectors, and the density at each: how many others it has within the radius."""
+    r, n = density.pareto_densities(training(spark, sf_dir), "data_index", "v")
+    return n.select(F.col("index").alias("centre"), "n", F.lit(round(r, 6)).alias("radius"))
 
 
 def queries():
