@@ -91,13 +91,22 @@ def gff_file(spark, sf_dir):
 
 
 def hits_file(spark, sf_dir):
-    """Hits written by the text sink and read back with the tabular schema."""
+    """Hits with a plain query name, a place and a score, written and read back; ``io_hits_whole`` takes every hit."""
     path = folder(spark, "blast")
     h = table(spark, sf_dir, "hits").where("q_id IS NOT NULL AND NOT q_id RLIKE '\\\\s' AND s_id IS NOT NULL AND NOT isnan(bit_score) AND bit_score IS NOT NULL AND q_beg IS NOT NULL")
-    h.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in ("q_id", "s_id", "pct_id", "aln_len", "mistmatches", "gap_open", "q_beg", "q_end", "s_beg", "s_end", "eval", "bit_score")]).alias("value")).write.text(path)
+    writers.write_hits(h, path)
     return readers.blast(spark, path).groupBy("s_id").agg(F.count("*").alias("n"), F.max("bit_score").alias("best"), F.min("q_beg").alias("first"))
 
 
+def hits_whole_file(spark, sf_dir):
+    """Every hit written and read back, with empty fields for nulls and queries cut to their names."""
+    path = folder(spark, "blast")
+    writers.write_hits(table(spark, sf_dir, "hits"), path)
+    got = readers.blast(spark, path).withColumn("s_id", F.nullif("s_id", F.lit("")))
+    queries = F.count_distinct(F.nullif("q_id", F.lit(""))).alias("queries")
+    return got.groupBy("s_id").agg(F.count("*").alias("n"), queries, F.count("bit_score").alias("scored"), F.max("bit_score").alias("best"), F.count("q_beg").alias("placed"), F.min("q_beg").alias("first"))
+
+
 def solve(spark, sf_dir):
     """Systems with closed-form solutions, solved by three factorisations: largest error and properties."""
     rows = []
@@ -164,7 +173,7 @@ def stream_projection(spark, sf_dir):
 
 
 def queries():
-    io = (counts, training_file, names_file, best_match_file, class_file, weights_file, fasta_file, gff_file, hits_file)
+    io = (counts, training_file, names_file, best_match_file, class_file, weights_file, fasta_file, gff_file, hits_file, hits_whole_file)
     return {f"io_{f.__name__.removesuffix('_file')}": f for f in io} | {"linalg_solve": solve, "linalg_eigen": eigen, "som_train_k_batch": _sequential(k_batch=0.15), "som_train_local": _sequential(local=3), "stream_windows": stream_windows, "stream_projection": stream_projection}
 
 
@@ -183,6 +192,7 @@ def oracle_sql():
         "io_fasta": f"WITH {sequences._DNA} SELECT 'doc' || doc_id AS name, length(seq)::INT AS length, md5(seq) AS md5 FROM dna",
         "io_gff": "SELECT feature_no, seqid, feature_type AS type, gff_end - gff_start + 1 AS length, score FROM gff WHERE seqid IS NOT NULL AND gff_start IS NOT NULL AND gff_end IS NOT NULL",
         "io_hits": r"SELECT s_id, count(*) AS n, max(bit_score) AS best, min(q_beg) AS first FROM hits WHERE q_id IS NOT NULL AND NOT regexp_matches(q_id, '\s') AND s_id IS NOT NULL AND bit_score IS NOT NULL AND NOT isnan(bit_score) AND q_beg IS NOT NULL GROUP BY s_id",
+        "io_hits_whole": r"SELECT s_id, count(*) AS n, count(DISTINCT nullif(regexp_extract(q_id, '^\S*'), '')) AS queries, count(bit_score) AS scored, max(bit_score) AS best, count(q_beg) AS placed, min(q_beg) AS first FROM hits GROUP BY s_id",
         "linalg_solve": "SELECT kind, n::INT AS n, method, true AS is_solved, true AS is_regular, n::INT AS n_rank, true AS is_inverted FROM (VALUES ('hilbert'), ('vandermonde')) k(kind) CROSS JOIN (VALUES (2), (3), (4), (6)) s(n) CROSS JOIN (VALUES ('lu'), ('qr'), ('cholesky')) m(method) WHERE kind = 'hilbert' OR method <> 'cholesky'",
         "stream_windows": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS beg, event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high FROM events WHERE ts IS NOT NULL GROUP BY ALL",
         "stream_projection": f"WITH {maps._BEST} SELECT b.n AS neuron, count(*) AS n FROM best GROUP BY 1",

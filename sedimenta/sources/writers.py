@@ -65,6 +65,12 @@ def write_classes(points: DataFrame, path: str, classes: list[tuple[int, str, in
     _write(points, header, path, F.concat_ws("\t", _text(F.col("index")), _text(F.col("class"))))
 
 
+def write_hits(hits: DataFrame, path: str) -> None:
+    """Tabular search hits, all of them: 12 fields, nulls empty, queries by their name (what stands before white space)."""
+    rest = ("s_id", "pct_id", "aln_len", "mistmatches", "gap_open", "q_beg", "q_end", "s_beg", "s_end", "eval", "bit_score")
+    _write(hits, [], path, F.concat_ws("\t", _text(F.regexp_extract("q_id", r"^\S*", 0)), *[_text(F.col(c)) for c in rest]))
+
+
 def write_gff(features: DataFrame, path: str) -> None:
     """Features with a version line; ``attributes`` is text."""
     columns = ("seqid", "source", "type", "start", "end", "score", "strand", "frame", "attributes")

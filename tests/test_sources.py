@@ -31,6 +31,23 @@ def test_training_matrix_and_class_files(spark, tmp_path):
     assert [tuple(r) for r in readers.colours(spark, put(tmp_path, "a.rgb", "  0 128 255\n255   0   0\n")).orderBy("at").collect()] == [(0, 0, 128, 255), (1, 255, 0, 0)]
 
 
+def test_every_hit_comes_back(spark, tmp_path):
+    from sedimenta.plans import files
+    from sedimenta.sources import writers
+
+    types = "q_id string, s_id string, pct_id double, aln_len int, mistmatches int, gap_open int, q_beg int, q_end int, s_beg int, s_end int, eval double, bit_score double"
+    rest = (90.5, 10, 1, 0, 3, 12, 4, 13, 1e-5)
+    hits = [("a", "x", *rest, 50.0), ("b\tgc=0.2", "x", *rest, 60.0), ("c  [partial]", "x", *rest, None), (None, "x", *rest[:4], None, *rest[5:], 70.0), ("d", "y", *[None] * 9, float("nan")), ("e", None, *rest, 1.0)]
+    df = spark.createDataFrame(hits, types)
+    writers.write_hits(df, f"{tmp_path}/blast")
+    got = {r.q_id: tuple(r)[1:] for r in readers.blast(spark, f"{tmp_path}/blast").collect()}
+    assert set(got) == {"a", "b", "c", "", "d", "e"} and got["b"] == hits[1][1:] and got["c"] == hits[2][1:] and got[""] == hits[3][1:]
+    assert got["d"][:10] == hits[4][1:11] and got["d"][10] != got["d"][10] and got["e"] == ("", *rest, 1.0)
+    df.write.parquet(f"{tmp_path}/hits.parquet")
+    told = {r.s_id: tuple(r)[1:] for r in files.hits_whole_file(spark, str(tmp_path)).collect()}
+    assert told["x"] == (4, 3, 3, 70.0, 3, 3) and told[None] == (1, 1, 1, 1.0, 1, 3) and told["y"][0] == 1 and set(told) == {"x", "y", None}
+
+
 def test_sequence_files(spark, tmp_path):
     fa = put(tmp_path, "s.fa", ">a first\nACGT\nAC\n>b\n\nGG\r\nTT\n")
     assert {(r.name, r.seq, r.length) for r in readers.fasta(spark, fa).collect()} == {("a", "ACGTAC", 6), ("b", "GGTT", 4)}
