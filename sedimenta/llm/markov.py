@@ -131,6 +131,8 @@ def similarity_graph(points: DataFrame, radius: float, window: int, rows: int, c
 def markov_clusters(nodes: DataFrame, links: DataFrame, inflation: float = INFLATION, prune: float = PRUNE, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     """Clusters of sized nodes: ``node``, ``cluster`` (lowest node of its attractors), ``flow`` (what the node gets), ``settled``.
 
+    ``settled`` is false where flow still moved after the last round. A node that flows to no attractor is its own cluster.
+
     An entry (row, col, s, m) of the flow matrix is what each record of node ``col`` sends to each of the s records of
     node ``row``; the entries of a column, times their sizes, add up to 1.
     """
@@ -164,7 +166,9 @@ def markov_clusters(nodes: DataFrame, links: DataFrame, inflation: float = INFLA
     # attractors keep flow on their diagonal; those that a common column flows to form one system, named by its lowest
     attractors = limit.where("row = col").select(F.col("row").alias("row"))
     kept = limit.join(attractors, "row", "left_semi")
-    named = kept.groupBy("col").agg(F.min_by("row", F.struct(-F.col("m"), F.col("row"))).alias("best"), F.min("settled").alias("settled"))
+    best = kept.groupBy("col").agg(F.min_by("row", F.struct(-F.col("m"), F.col("row"))).alias("best"))
+    # a column that no attractor has a row in is a cluster of its own
+    named = limit.groupBy("col").agg(F.min("settled").alias("settled")).join(best, "col", "left").withColumn("best", F.coalesce("best", "col"))
     of_best = kept.join(attractors.select(F.col("row").alias("col")), "col", "left_semi").groupBy("col").agg(F.min("row").alias("cluster")).select(F.col("col").alias("best"), "cluster")
     got = limit.join(degree.join(sized.select(F.col("row").alias("col"), F.col("s").alias("sc")), "col"), "col").groupBy("row").agg(F.sum(F.col("m") * F.col("sc")).alias("flow")).select(F.col("row").alias("col"), "flow")
     return named.join(of_best, "best", "left").join(got, "col", "left").select(F.col("col").alias("node"), F.coalesce("cluster", "best").alias("cluster"), F.coalesce("flow", F.lit(0.0)).alias("flow"), "settled")
@@ -184,26 +188,26 @@ def positioned(vectors: DataFrame, matches: DataFrame) -> DataFrame:
     return usable(vectors.select("data_index", "v"), "data_index", "v").join(at, "index")
 
 
-def similarity_clusters(points: DataFrame, radius: float, window: int, rows: int, columns: int, sample_rows: int | None = None, list_rows: int = LIST_ROWS) -> tuple[DataFrame, DataFrame]:
+def similarity_clusters(points: DataFrame, radius: float, window: int, rows: int, columns: int, sample_rows: int | None = None, list_rows: int = LIST_ROWS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(members, clusters) of points ``(index, v, bm_row, bm_col)``.
 
-    ``members``: index, cluster_first (lowest index of its cluster), size, flow, close, complete. ``clusters``:
-    cluster_first, size, complete, typical (indexes of the three members with the strongest flow; of equal flow, those
+    ``members``: index, cluster_first (lowest index of its cluster), size, flow, close, complete, settled. ``clusters``:
+    cluster_first, size, complete, settled, typical (indexes of the three members with the strongest flow; of equal flow, those
     closest to all that are like them, then the lower index). ``complete``: every two members are alike and none is like
-    a point outside.
+    a point outside. ``settled``: the flow of all its members stood still before the rounds were over.
 
     * null, NaN and odd-sized vectors and null positions take no part (``positioned`` leaves them out);
     * equal points cost as one, but count as many; an empty table gives two empty results;
     * a point that is like no other is a cluster of one.
     """
     members, nodes, links = similarity_graph(points, radius, window, rows, columns, sample_rows, list_rows)
-    found = cut(markov_clusters(nodes, links).join(nodes, "node"))
+    found = cut(markov_clusters(nodes, links, rounds=rounds).join(nodes, "node"))
     # the exact check: a cluster of one node, whose records have as many fellows as the cluster has members
-    whole = found.groupBy("cluster").agg(F.sum("size").alias("cluster_size"), F.min("node").alias("cluster_first"), F.max("degree").alias("most"), F.count("*").alias("parts"))
+    whole = found.groupBy("cluster").agg(F.sum("size").alias("cluster_size"), F.min("node").alias("cluster_first"), F.max("degree").alias("most"), F.count("*").alias("parts"), F.min("settled").alias("all_settled"))
     whole = whole.withColumn("complete", (F.col("parts") == 1) & (F.col("most") == F.col("cluster_size")))
-    told = found.join(whole, "cluster").select("node", "cluster_first", "cluster_size", "complete", "flow")
-    out = members.join(told, "node").select("index", "cluster_first", F.col("cluster_size").alias("size"), "flow", "close", "complete")
+    told = found.join(whole, "cluster").select("node", "cluster_first", "cluster_size", "complete", "flow", F.col("all_settled").alias("settled"))
+    out = members.join(told, "node").select("index", "cluster_first", F.col("cluster_size").alias("size"), "flow", "close", "complete", "settled")
     best = Window.partitionBy("cluster_first").orderBy(F.desc(F.round("flow", 9)), F.desc("close"), "index")
     few = out.withColumn("r", F.row_number().over(best)).where("r <= 3")
-    clusters = few.groupBy("cluster_first", "size", "complete").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "index"))), lambda x: x["index"]).alias("typical"))
+    clusters = few.groupBy("cluster_first", "size", "complete", "settled").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "index"))), lambda x: x["index"]).alias("typical"))
     return out, clusters

@@ -52,7 +52,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cluster with its size and its most typical members."""
+    """Every cluster with its size, its most typical members and whether its flow had settled."""
     _, clusters = similarity_clusters(positioned(table(spark, sf_dir, "training_vectors"), table(spark, sf_dir, "bestmatches")), **ALIKE)
     return clusters
 

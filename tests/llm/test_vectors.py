@@ -138,6 +138,22 @@ def test_sized_nodes_flow_like_their_records(spark):
     assert {k: plain[k] for k in (0, 3, 4)} == lumped
 
 
+def test_clusters_tell_whether_they_settled(spark):
+    rows = [(k, [0.1 * k, 0.0], 1, 1) for k in range(4)] + [(20 + k, [50.0 + 0.8 * k, 0.0], 5, 5) for k in range(6)]
+    members, told = markov.similarity_clusters(points(spark, rows), 1.0, 2, 10, 10, rounds=1)
+    assert {r["index"]: r.settled for r in members.collect()} == {k: k < 20 for k, *_ in rows}
+    assert all(r.settled == (r.cluster_first < 20) for r in told.collect())
+    _, told = markov.similarity_clusters(points(spark, rows), 1.0, 2, 10, 10)
+    assert all(r.settled for r in told.collect())
+
+
+def test_nodes_without_attractor_stay(spark):
+    nodes = spark.createDataFrame([(k, 1, 1) for k in range(4)], "node long, size long, degree long")
+    links = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (3, 3)], "a long, b long")  # flow runs in a ring
+    got = {r.node: (r.cluster, r.settled) for r in markov.markov_clusters(nodes, links, rounds=3).collect()}
+    assert got == {0: (0, False), 1: (1, False), 2: (2, False), 3: (3, True)}
+
+
 @pytest.mark.parametrize("rows", [5, 40])
 def test_bounds_end_with_the_whole_distance(rows):
     tests = knn.bounds(rows, 8, 2.1)
