@@ -58,7 +58,7 @@ def class_file(spark, sf_dir):
     path = folder(spark, "cls")
     b = table(spark, sf_dir, "bestmatches").where("distance IS NOT NULL").groupBy("data_index").agg(F.min("distance").alias("d")).select(F.col("data_index").alias("index"), F.least(F.lit(31), F.floor(F.col("d") * 10)).cast("int").alias("class"))
     writers.write_classes(b, path, writers.ramp(32))
-    return readers.classes(spark, path).join(F.broadcast(readers.class_names(spark, path)), "class").select("index", "class", "name")
+    return readers.classes(spark, path).join(readers.class_names(spark, path), "class").select("index", "class", "name")
 
 
 def weights_file(spark, sf_dir):

@@ -23,8 +23,10 @@ def lines(spark: SparkSession, path: str, ignore: str = r"^#|^\s*$", header: str
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
-    """Header lines of one file, in order, without their sign. Only ``%`` lines reach the driver, a bounded number."""
-    got = spark.read.text(path).where(F.col("value").startswith("%")).limit(HEADER_MAX).collect()
+    """Header lines of one file, in order, without their sign. Only ``%`` lines reach the driver; more than HEADER_MAX are refused."""
+    got = spark.read.text(path).where(F.col("value").startswith("%")).limit(HEADER_MAX + 1).collect()
+    if len(got) > HEADER_MAX:
+        raise ValueError(f"a header has at most {HEADER_MAX} lines")
     return [r[0].rstrip("\r")[1:].strip(" ") for r in got]
 
 
@@ -109,10 +111,9 @@ def classes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def class_names(spark: SparkSession, path: str) -> DataFrame:
-    """Classes named in the header: (class, name, r, g, b)."""
-    rows = [h.split("\t") for h in header(spark, path)]
-    rows = [(int(r[0]), r[1], int(r[2]), int(r[3]), int(r[4])) for r in rows if len(r) >= 5]
-    return spark.createDataFrame(rows, "class int, name string, r int, g int, b int")
+    """Classes named in the header, however many: (class, name, r, g, b)."""
+    head = spark.read.text(path).where(F.col("value").startswith("%")).select(F.trim(F.regexp_replace("value", r"^%|\r+$", "")).alias("line"))
+    return head.where(F.size(F.split("line", "\t")) >= 5).select(_tab(0, "int").alias("class"), _tab(1).alias("name"), *[_tab(k, "int").alias(c) for k, c in enumerate("rgb", 2)])
 
 
 def names(spark: SparkSession, path: str) -> DataFrame:

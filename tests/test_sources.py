@@ -31,6 +31,16 @@ def test_training_matrix_and_class_files(spark, tmp_path):
     assert [tuple(r) for r in readers.colours(spark, put(tmp_path, "a.rgb", "  0 128 255\n255   0   0\n")).orderBy("at").collect()] == [(0, 0, 128, 255), (1, 255, 0, 0)]
 
 
+def test_more_classes_than_a_header_has_lines(spark, tmp_path):
+    n = readers.HEADER_MAX + 50
+    cls = put(tmp_path, "many.cls", f"%{n}\n" + "".join(f"%{k}\tclass {k}\t1\t2\t{k % 256}\r\n" for k in range(n)) + "".join(f"{k}\t{k}\n" for k in range(n)))
+    assert {tuple(r) for r in readers.class_names(spark, cls).collect()} == {(k, f"class {k}", 1, 2, k % 256) for k in range(n)}
+    assert readers.classes(spark, cls).join(readers.class_names(spark, cls), "class").count() == n - 1
+    assert len(readers.header(spark, put(tmp_path, "full", "% x\n" * readers.HEADER_MAX))) == readers.HEADER_MAX
+    with pytest.raises(ValueError):
+        readers.header(spark, put(tmp_path, "over", "% x\n" * (readers.HEADER_MAX + 1)))
+
+
 def test_every_hit_comes_back(spark, tmp_path):
     from sedimenta.plans import files
     from sedimenta.sources import writers
