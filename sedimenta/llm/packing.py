@@ -79,7 +79,7 @@ def pack(sized: DataFrame, kinds: Sequence[tuple[str, int]], score: str = "resid
 
     Result: ``container_kind``, ``container_id``, ``place`` (from 0), ``doc_id``, ``piece_no`` (from 0), ``token_beg``,
     ``token_end`` (exclusive). ``max_texts`` and ``max_attention`` hold for a container of each kind; by default they
-    are capacity / 8 texts and the cost of one text that fills it.
+    are capacity / 8 texts and the cost of one text that fills it, which no texts within the capacity exceed.
 
     * texts up to the capacity are never cut; longer ones give full containers and one rest;
     * null ids or sizes take no part; texts of 0 tokens are packed as they are and take a place;

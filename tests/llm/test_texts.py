@@ -38,6 +38,22 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.pack(sized.limit(0), KINDS).collect() == []
 
 
+def test_tight_limits_hold_in_packed_containers(spark):
+    sizes = {k: int(n) for k, n in enumerate(np.random.default_rng(7).integers(1, 30, 600))}
+    sized = spark.createDataFrame([*sizes.items()], "doc_id long, n_tokens long")
+    loose = packing.pack(sized, [("big", 100)], shard_items=200).collect()
+    tight = packing.pack(sized, [("big", 100)], max_texts=4, max_attention=1200.0, shard_items=200).collect()
+    check_containers(tight, sizes, [("big", 100)], max_texts=4)
+
+    def costs(rows):
+        out = {}
+        for r in rows:
+            out.setdefault(r.container_id, []).append((r.token_end - r.token_beg) ** 2)
+        return [sum(c) for c in out.values()]
+
+    assert max(costs(tight)) <= 1200 < max(costs(loose)) <= 100**2  # by default the cost never binds
+
+
 @pytest.mark.parametrize("score", ["residual", "dot"])
 def test_every_constraint_holds(score):
     sizes = np.sort(np.random.default_rng(2).integers(1, 50, 400))[::-1]
