@@ -54,7 +54,9 @@ def collapse(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame,
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     twins = cut(rows.select(*key, "index", F.pmod("index", F.lit(SALTS)).cast("int").alias("salt")).join(groups.select(*key, "rep", "copies", salt), [*key, "salt"]).select("index", "rep", "copies"))
     later = twins.where("index != rep").select("index")
-    distinct = rows.drop(*key).join(later, "index", "left_anti").join(twins.where("index = rep").select("index", "copies"), "index", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    # one join tells both: rows that stand for others have copies, the others of a group have 0 and go
+    marks = twins.select("index", F.when(F.col("index") == F.col("rep"), F.col("copies")).otherwise(0).alias("copies"))
+    distinct = cut(rows.drop(*key).join(marks, "index", "left").withColumn("copies", F.coalesce("copies", F.lit(1))).where("copies > 0"))
     return distinct, twins.select("index", "rep"), rows.count() - later.count()
 
 

@@ -23,9 +23,11 @@ from sedimenta.session import cut
 
 from .lists import LIST_ROWS, SALTS, collapse, fit, matrix, place, squares, usable
 
-#: Exponent of the inflation, share of its column's largest entry below which an entry goes, tolerance, rounds at most.
-INFLATION, PRUNE, TOLERANCE, ROUNDS = 2.0, 1e-3, 1e-6, 40
-CHUNK = 1024
+#: Exponent of the inflation, share of its column's largest entry below which an entry goes, tolerance. The iteration
+#: ends when all columns have settled (8 to 15 rounds as a rule); one that hasn't by ROUNDS comes out marked.
+INFLATION, PRUNE, TOLERANCE, ROUNDS = 2.0, 1e-3, 1e-6, 200
+#: Decimals that flows are rounded to, products of one middle node beyond which it is split, rows of a block of distances.
+DIGITS, HUB_PAIRS, CHUNK = 12, 1_000_000, 1024
 
 
 def _hash(ids: np.ndarray, seed: int) -> np.ndarray:
@@ -39,13 +41,15 @@ def _hash(ids: np.ndarray, seed: int) -> np.ndarray:
 def _alike(asks: pa.Table, offers: pa.Table, radius: float, window: int, rows: int, columns: int):
     """(block of queries, block of offers, who is alike, squared distances) for all blocks."""
     q, c = matrix(asks.column("v")), matrix(offers.column("v"))
+    middle = c.mean(0)
+    near_q, near_c = q - middle, c - middle  # distances by products lose fewer digits near the origin
     at = {n: (asks.column(n).to_numpy(), offers.column(n).to_numpy()) for n in ("bm_row", "bm_col")}
     limit = radius * radius
     for lo in range(0, len(q), CHUNK):
         hi = min(lo + CHUNK, len(q))
         for co in range(0, len(c), CHUNK):
             ch = min(co + CHUNK, len(c))
-            d2 = squares(q[lo:hi], c[co:ch])
+            d2 = squares(near_q[lo:hi], near_c[co:ch])
             near = d2 <= limit
             edge = np.abs(d2 - limit) < 1e-6 * max(1.0, limit)
             if edge.any():  # where rounding could decide, the distance is taken again without cancellation
@@ -128,59 +132,77 @@ def similarity_graph(points: DataFrame, radius: float, window: int, rows: int, c
     return members, nodes.select("node", "size", "degree"), links
 
 
+def _square(flow: DataFrame, middle: DataFrame) -> DataFrame:
+    """(col, row, s, m) of the flow's next step: every column goes on through the columns of the rows that it reaches.
+
+    Entries meet on the middle node. A middle node that would give more than HUB_PAIRS products is split: the columns
+    that reach it by a hash, its own column replicated over the parts.
+    """
+    left = middle.select("row", F.col("col").alias("k"), "s", F.col("m").alias("m1"))
+    right = flow.select(F.col("row").alias("k"), "col", F.col("s").alias("sk"), F.col("m").alias("m2"))
+    load = left.groupBy("k").agg(F.count("*").alias("a")).join(right.groupBy("k").agg(F.count("*").alias("b")), "k")
+    hubs = cut(load.select("k", F.ceil(F.col("a") * F.col("b") / F.lit(HUB_PAIRS)).cast("int").alias("parts")).where("parts > 1"))
+    key = ["k"]
+    if not hubs.isEmpty():
+        key = ["k", "part"]
+        left = left.join(hubs, "k", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        right = right.join(hubs, "k", "left").withColumn("part", F.pmod(F.xxhash64("col"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    return left.join(right, key).groupBy("col", "row").agg(F.first("s").alias("s"), F.sum(F.col("sk") * F.col("m1") * F.col("m2")).alias("m"))
+
+
+def _inflate(squared: DataFrame, inflation: float, prune: float) -> DataFrame:
+    """(col, row, s, m): powers of the entries, without small ones, scaled to columns that add up to 1.
+
+    Per column only a maximum and a sum are aggregated; flows are rounded, so that the order of additions decides no tie.
+    """
+    powers = squared.withColumn("m", F.pow("m", F.lit(inflation)))
+    strong = powers.join(powers.groupBy("col").agg(F.max("m").alias("top")), "col").where(F.col("m") >= F.col("top") * prune).drop("top")
+    scaled = strong.join(strong.groupBy("col").agg(F.sum(F.col("m") * F.col("s")).alias("total")), "col")
+    return scaled.select("col", "row", "s", (F.round(F.col("m") * F.col("s") / F.col("total"), DIGITS) / F.col("s")).alias("m"))
+
+
 def markov_clusters(nodes: DataFrame, links: DataFrame, inflation: float = INFLATION, prune: float = PRUNE, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     """Clusters of sized nodes: ``node``, ``cluster`` (lowest node of its attractors), ``flow`` (what the node gets), ``settled``.
 
     ``settled`` is false where flow still moved after the last round. A node that flows to no attractor is its own cluster.
 
     An entry (row, col, s, m) of the flow matrix is what each record of node ``col`` sends to each of the s records of
-    node ``row``; the entries of a column, times their sizes, add up to 1.
+    node ``row``; the entries of a column, times their sizes, add up to 1. A node whose only link is the one to itself
+    is a 1 x 1 matrix, which settles in the first round.
     """
     sized = nodes.select(F.col("node").alias("row"), F.col("size").alias("s"))
     degree = nodes.select(F.col("node").alias("col"), F.col("degree").alias("d"))
     flow = links.select(F.col("a").alias("col"), F.col("b").alias("row")).join(degree, "col").join(sized, "row").select("row", "col", F.col("s").cast("double").alias("s"), (F.lit(1.0) / F.col("d")).alias("m"))
     flow = cut(flow)
-    done: list[DataFrame] = []
-    for k in range(rounds):
+    done: DataFrame | None = None
+    for _ in range(rounds):
         # columns flow on through the columns of the rows they reach, settled ones included
-        middle = flow if not done else flow.unionByName(_all(done))
-        left = middle.select("row", F.col("col").alias("k"), "s", F.col("m").alias("m1"))
-        right = flow.select(F.col("row").alias("k"), "col", F.col("s").alias("sk"), F.col("m").alias("m2"))
-        squared = left.join(right, "k").repartition("col").groupBy("col", "row").agg(F.first("s").alias("s"), F.sum(F.col("sk") * F.col("m1") * F.col("m2")).alias("m"))
-        w = Window.partitionBy("col")
-        strong = squared.withColumn("m", F.pow("m", F.lit(inflation))).withColumn("top", F.max("m").over(w)).where(F.col("m") >= F.col("top") * prune)
-        fresh = strong.withColumn("m", F.col("m") / F.sum(F.col("m") * F.col("s")).over(w)).select("row", "col", "s", "m")
-        both = fresh.withColumn("old", F.lit(0.0)).unionByName(flow.select("row", "col", "s", F.lit(0.0).alias("m"), F.col("m").alias("old")))
-        moved = both.groupBy("col", "row").agg(F.first("s").alias("s"), F.sum("m").alias("m"), F.sum("old").alias("old"))
-        moved = cut(moved.withColumn("change", F.max(F.abs(F.col("m") - F.col("old")) * F.col("s")).over(Window.partitionBy("col"))))
+        squared = cut(_square(flow, flow if done is None else flow.unionByName(done)))
+        fresh = _inflate(squared, inflation, prune)
+        both = fresh.withColumn("old", F.lit(0.0)).unionByName(flow.select("col", "row", "s", F.lit(0.0).alias("m"), F.col("m").alias("old")))
+        moved = cut(both.groupBy("col", "row").agg(F.first("s").alias("s"), F.sum("m").alias("m"), F.sum("old").alias("old")))
         # a column has settled once it and every unsettled column that it flows into stand still
-        restless = moved.where(F.col("change") > tolerance).select(F.col("col").alias("row")).distinct()
-        flow = moved.where("m > 0").select("row", "col", "s", "m")
-        waiting = flow.join(restless, "row", "left_semi").select("col").distinct().unionByName(restless.select(F.col("row").alias("col"))).distinct()
-        rest = cut(flow.join(waiting, "col", "left_semi"))
-        done.append(cut(flow.join(waiting, "col", "left_anti").withColumn("settled", F.lit(True)).drop("settled")))
-        flow = rest
+        restless = moved.groupBy("col").agg(F.max(F.abs(F.col("m") - F.col("old")) * F.col("s")).alias("change")).where(F.col("change") > tolerance).select("col")
+        now = moved.where("m > 0").select("row", "col", "s", "m")
+        waiting = now.join(restless.select(F.col("col").alias("row")), "row", "left_semi").select("col").unionByName(restless).distinct().withColumn("open", F.lit(True))
+        state = cut(now.join(waiting, "col", "left").withColumn("open", F.coalesce("open", F.lit(False))))
+        flow, still = state.where("open").drop("open"), state.where("NOT open").drop("open")
+        done = still if done is None else done.unionByName(still)
         if flow.isEmpty():
             break
-    limit = _all(done).withColumn("settled", F.lit(True)).unionByName(flow.withColumn("settled", F.lit(False)))
+    limit = flow.withColumn("settled", F.lit(False)) if done is None else done.withColumn("settled", F.lit(True)).unionByName(flow.withColumn("settled", F.lit(False)))
     # attractors keep flow on their diagonal; those that a common column flows to form one system, named by its lowest
-    attractors = limit.where("row = col").select(F.col("row").alias("row"))
-    kept = limit.join(attractors, "row", "left_semi")
-    best = kept.groupBy("col").agg(F.min_by("row", F.struct(-F.col("m"), F.col("row"))).alias("best"))
+    attractors = limit.where("row = col").select("row")
+    kept = cut(limit.join(attractors, "row", "left_semi"))
+    share = F.round(F.col("m") / F.col("top"), 6)
+    best = kept.join(kept.groupBy("col").agg(F.max("m").alias("top")), "col").groupBy("col").agg(F.min_by("row", F.struct(-share, F.col("row"))).alias("best"))
     # a column that no attractor has a row in is a cluster of its own
     named = limit.groupBy("col").agg(F.min("settled").alias("settled")).join(best, "col", "left").withColumn("best", F.coalesce("best", "col"))
     of_best = kept.join(attractors.select(F.col("row").alias("col")), "col", "left_semi").groupBy("col").agg(F.min("row").alias("cluster")).select(F.col("col").alias("best"), "cluster")
-    got = limit.join(degree.join(sized.select(F.col("row").alias("col"), F.col("s").alias("sc")), "col"), "col").groupBy("row").agg(F.sum(F.col("m") * F.col("sc")).alias("flow")).select(F.col("row").alias("col"), "flow")
+    got = limit.join(nodes.select(F.col("node").alias("col"), F.col("size").alias("sc")), "col").groupBy("row").agg(F.sum(F.col("m") * F.col("sc")).alias("flow")).select(F.col("row").alias("col"), "flow")
     return named.join(of_best, "best", "left").join(got, "col", "left").select(F.col("col").alias("node"), F.coalesce("cluster", "best").alias("cluster"), F.coalesce("flow", F.lit(0.0)).alias("flow"), "settled")
 
 
-def _all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 def positioned(vectors: DataFrame, matches: DataFrame) -> DataFrame:
     """Points (index, v, bm_row, bm_col) that have both a usable vector and a position; one record per index."""
     at = matches.where(F.col("bm_row").isNotNull() & F.col("bm_col").isNotNull() & F.col("data_index").isNotNull())

@@ -2,7 +2,7 @@
 
 Tokens are added up per source (partial sums before the shuffle, so that a source with most of the rows is no hot key).
 A source's rate is its share of the target size over its tokens. Each record is emitted floor(rate) times, and once
-more if a hash of its id, as a number in [0, 1), lies below the rate's fraction. The rates are a few numbers, joined by
+more if the first 52 bits of the MD5 of ``seed:id``, as a number in [0, 1), lie below the rate's fraction. The rates are a few numbers, joined by
 a broadcast whose size is checked; the pass that emits has no shuffle.
 """
 
@@ -43,7 +43,7 @@ def mix(sized: DataFrame, rated: list[tuple], seed: int = 0) -> DataFrame:
     """
     spark = sized.sparkSession
     table = F.broadcast(spark.createDataFrame(rated, _SCHEMA).select("source", "rate"))
-    chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    chance = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "doc_id")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     rows = sized.select("doc_id", "source", "n_tokens").where("doc_id IS NOT NULL AND n_tokens IS NOT NULL").join(table, "source")
     copies = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
     rows = rows.withColumn("copies", copies).where("copies > 0")

@@ -74,18 +74,25 @@ def kinds_of(containers: DataFrame) -> list[tuple[str, int]]:
     return sorted((r[0], r[1]) for r in rows)
 
 
-def pack(sized: DataFrame, kinds: Sequence[tuple[str, int]], score: str = "residual", max_texts: int | None = None, max_attention: float | None = None, weights: Sequence[float] = WEIGHTS, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def limits(kinds: Sequence[tuple[str, int]], max_texts=None, max_attention=None) -> dict[str, tuple[int, int, float]]:
+    """(tokens, texts, attention) that a container of each kind takes at most; limits are numbers or functions of the capacity."""
+    of = lambda given, cap, default: default if given is None else given(cap) if callable(given) else given
+    return {k: (cap, int(of(max_texts, cap, max(1, cap // TOKENS_PER_TEXT))), float(of(max_attention, cap, float(cap) * cap))) for k, cap in kinds}
+
+
+def pack(sized: DataFrame, kinds: Sequence[tuple[str, int]], score: str = "residual", max_texts=None, max_attention=None, weights: Sequence[float] = WEIGHTS, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """Containers of every kind filled with all texts of ``sized`` (doc_id, n_tokens): one row per text or piece of one.
 
     Result: ``container_kind``, ``container_id``, ``place`` (from 0), ``doc_id``, ``piece_no`` (from 0), ``token_beg``,
-    ``token_end`` (exclusive). ``max_texts`` and ``max_attention`` hold for a container of each kind; by default they
-    are capacity / 8 texts and the cost of one text that fills it, which no texts within the capacity exceed.
+    ``token_end`` (exclusive). ``max_texts`` and ``max_attention`` (numbers, or functions of the capacity) hold for a
+    container of each kind; by default they are capacity / 8 texts and the cost of one text that fills it, which no texts
+    within the capacity exceed.
 
     * texts up to the capacity are never cut; longer ones give full containers and one rest;
     * null ids or sizes take no part; texts of 0 tokens are packed as they are and take a place;
     * repeated rows are packed repeatedly; an empty table gives an empty result; other columns play no part.
     """
-    spec = {kind: (cap, max_texts or max(1, cap // TOKENS_PER_TEXT), max_attention or float(cap) * cap) for kind, cap in kinds}
+    spec = limits(kinds, max_texts, max_attention)
     items = sized.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("n")).where("doc_id IS NOT NULL AND n >= 0")
     shards = max(1, -(-items.count() // shard_items))
     every = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("long").alias("cap")) for k, c in kinds]) if kinds else F.array().cast("array<struct<container_kind:string,cap:bigint>>")
@@ -115,3 +122,22 @@ def fill_report(packed: DataFrame, kinds: Sequence[tuple[str, int]]) -> DataFram
     boxes = packed.groupBy("container_kind", "container_id").agg(F.sum(F.col("token_end") - F.col("token_beg")).alias("used"), F.count("*").alias("pieces"))
     told = boxes.groupBy("container_kind").agg(F.count("*").alias("n_containers"), F.sum("pieces").alias("n_pieces"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"))
     return told.withColumn("capacity_tokens", capacity[F.col("container_kind")]).withColumn("unused_share", F.lit(1.0) - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")))
+
+
+def pack_check(packed: DataFrame, sized: DataFrame, kinds: Sequence[tuple[str, int]], max_texts=None, max_attention=None) -> DataFrame:
+    """What must hold of a packing, per kind: how many texts there are, and how often each rule is broken.
+
+    ``n_texts`` placed; ``n_torn`` texts whose pieces don't follow each other from the first token to the last, or that are
+    cut although they would fit; ``n_over`` containers over a limit that hold more than one piece (one piece may break the
+    limit of texts or attention alone, but never that of tokens); ``n_gaps`` containers whose places aren't 0, 1, 2 ...
+    """
+    spec = packed.sparkSession.createDataFrame([(k, *v) for k, v in limits(kinds, max_texts, max_attention).items()], "container_kind string, cap long, most long, cost double")
+    size = (F.col("token_end") - F.col("token_beg")).alias("size")
+    rows = packed.select("*", size).join(F.broadcast(spec), "container_kind")
+    used = rows.groupBy("container_kind", "container_id", "cap", "most", "cost").agg(F.sum("size").alias("used"), F.count("*").alias("n"), F.sum(F.col("size").cast("double") * F.col("size")).alias("paid"), F.max("place").alias("last"), F.countDistinct("place").alias("places"))
+    over = (F.col("used") > F.col("cap")) | (F.col("n") > 1) & ((F.col("n") > F.col("most")) | (F.col("paid") > F.col("cost")))
+    boxes = used.groupBy("container_kind").agg(F.count_if(over).alias("n_over"), F.count_if((F.col("last") != F.col("n") - 1) | (F.col("places") != F.col("n"))).alias("n_gaps"))
+    pieces = rows.groupBy("container_kind", "doc_id", "cap").agg(F.count("*").alias("n"), F.min("token_beg").alias("b"), F.max("token_end").alias("e"), F.sum("size").alias("size"))
+    whole = pieces.join(sized.select("doc_id", "n_tokens"), "doc_id")
+    torn = (F.col("b") != 0) | (F.col("e") != F.col("n_tokens")) | (F.col("size") != F.col("n_tokens")) | (F.col("n") != F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("cap"))))
+    return whole.groupBy("container_kind").agg(F.count("*").alias("n_texts"), F.count_if(torn).alias("n_torn")).join(boxes, "container_kind")

@@ -12,7 +12,7 @@ from sedimenta.session import cut, table
 from .knn import nearest
 from .markov import positioned, similarity_clusters
 from .mixing import mix, rates, shares
-from .packing import fill_report, kinds_of, pack
+from .packing import fill_report, kinds_of, pack, pack_check
 from .pii import personal_spans, redact
 from .tokens import token_sizes
 from .topn import top_n
@@ -42,7 +42,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest vectors, at any distance, of every vector whose index is divisible by 50."""
-    return nearest(table(spark, sf_dir, "training_vectors"), "data_index", "v", 5, is_query=lambda i: i % 50 == 0)
+    near = nearest(table(spark, sf_dir, "training_vectors"), "data_index", "v", 5, is_query=lambda i: i % 50 == 0)
+    return near.withColumn("distance", F.round("distance", 6))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +58,16 @@ def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters
 
 
+#: Tighter positions: groups of p4_found fall apart into overlapping ones, linked by chains.
+CLOSE = {**ALIKE, "window": 2}
+
+
+def p4_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every point where best matches must be within 2 rows and columns, and its size."""
+    members, _ = similarity_clusters(positioned(table(spark, sf_dir, "training_vectors"), table(spark, sf_dir, "bestmatches")), **CLOSE)
+    return members.select(F.col("index").alias("data_index"), "cluster_first", "size", "settled")
+
+
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in containers of every kind."""
     sizes = cut(token_sizes(table(spark, sf_dir, "documents"), "text", ["doc_id"]))
@@ -68,6 +79,27 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p7_pack(spark, sf_dir), kinds_of(table(spark, sf_dir, "containers")))
 
 
+#: Limits that bind: at most one text to 128 tokens of the capacity, and half of the attention cost of one text that fills it.
+BOUNDED = {"max_texts": lambda cap: cap // 128, "max_attention": lambda cap: cap * cap / 2}
+
+
+def _bounded(spark: SparkSession, sf_dir: str):
+    sizes = cut(token_sizes(table(spark, sf_dir, "documents"), "text", ["doc_id"]))
+    kinds = kinds_of(table(spark, sf_dir, "containers"))
+    return pack(sizes, kinds, **BOUNDED), sizes, kinds
+
+
+def p7_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in containers that are also limited in texts and attention cost."""
+    return _bounded(spark, sf_dir)[0]
+
+
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of each kind's containers, and how often a rule of the bounded packing is broken."""
+    packed, sizes, kinds = _bounded(spark, sf_dir)
+    return pack_check(cut(packed), sizes, kinds, **BOUNDED)
+
+
 def _mixture(spark: SparkSession, sf_dir: str):
     sizes = cut(token_sizes(table(spark, sf_dir, "documents"), "text", ["doc_id", "source"]))
     rated = rates(sizes, table(spark, sf_dir, "mix_targets"))
@@ -84,6 +116,23 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(*_mixture(spark, sf_dir))
 
 
+def _by_characters(spark: SparkSession, sf_dir: str):
+    sizes = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "source", F.length("text").cast("long").alias("n_tokens"))
+    rated = rates(sizes, table(spark, sf_dir, "mix_targets"))
+    return mix(sizes, rated), rated
+
+
+def p8_by_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture with sizes in characters instead of tokens."""
+    return _by_characters(spark, sf_dir)[0].select("doc_id", "source", "copy_no", F.col("n_tokens").alias("n_chars"))
+
+
+def p8_shares_by_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source, in characters."""
+    told = shares(*_by_characters(spark, sf_dir))
+    return told.select("source", "n_records", F.col("mixed_tokens").alias("mixed_chars"), "most_copies", *[F.round(c, 9).alias(c) for c in ("rate", "actual_share", "off_target")])
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place of personal information in the documents."""
     return personal_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "known_names"))
@@ -95,12 +144,52 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_clusters": p4_clusters, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_redacted": p9_redacted}
+    return {
+        "p1_found": p1_found, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_clusters": p4_clusters, "p4_close": p4_close,
+        "p7_pack": p7_pack, "p7_fill": p7_fill, "p7_bounded": p7_bounded, "p7_checks": p7_checks,
+        "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_by_characters": p8_by_characters, "p8_shares_by_characters": p8_shares_by_characters,
+        "p9_found": p9_found, "p9_redacted": p9_redacted,
+    }
 
 
 _VECTORS = "t AS (SELECT data_index, min(v) AS v FROM training_vectors WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x))) = 0 GROUP BY data_index)"
 
 
+_POINTS = f"""{_VECTORS}, p AS (SELECT data_index, min({{'r': bm_row, 'c': bm_col}}) AS p FROM bestmatches WHERE bm_row IS NOT NULL AND bm_col IS NOT NULL GROUP BY data_index),
+            u AS (SELECT t.data_index AS i, v, p.p.r AS r, p.p.c AS c FROM t JOIN p USING (data_index))"""
+
+
+def _alike(window: int) -> str:
+    return f"list_distance(a.v, b.v) <= 1.0 AND least(abs(a.r - b.r), 82 - abs(a.r - b.r)) <= {window} AND least(abs(a.c - b.c), 137 - abs(a.c - b.c)) <= {window}"
+
+
+def _markov(window: int, rounds: int = 24) -> str:
+    """Markov clustering record by record, as so many rounds of a recursion; ``named`` has each record's cluster."""
+    return f"""
+            WITH RECURSIVE {_POINTS}, link AS (SELECT a.i AS a, b.i AS b, list_distance(a.v, b.v) AS d FROM u a JOIN u b ON {_alike(window)}),
+            flow(k, r, c, m) AS (
+                SELECT 0, b, a, 1.0::DOUBLE / count(*) OVER (PARTITION BY a) FROM link
+                UNION ALL
+                SELECT k + 1, r, c, round(m / sum(m) OVER (PARTITION BY k, c), 12) FROM (
+                    SELECT *, max(m) OVER (PARTITION BY k, c) AS top FROM (
+                        SELECT x.k AS k, x.r AS r, y.c AS c, pow(sum(x.m * y.m), 2) AS m FROM flow x JOIN flow y ON x.c = y.r WHERE x.k < {rounds} GROUP BY x.k, x.r, y.c))
+                WHERE m >= top * 0.001),
+            last AS (SELECT r, c, m FROM flow WHERE k = {rounds} AND m > 0),
+            kept AS (SELECT r, c, round(m / max(m) OVER (PARTITION BY c), 6) AS share FROM last WHERE r IN (SELECT r FROM last WHERE r = c)),
+            best AS (SELECT c, r FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY share DESC, r) AS n FROM kept) WHERE n = 1),
+            grp AS (SELECT best.c AS i, min(kept.r) AS g FROM best JOIN kept ON kept.c = best.r WHERE kept.r IN (SELECT r FROM last WHERE r = c) GROUP BY best.c),
+            named AS (SELECT i, min(i) OVER (PARTITION BY g) AS cluster_first, count(*) OVER (PARTITION BY g) AS size FROM grp)"""
+
+
+_MIX = """
+            WITH s AS (SELECT doc_id, source, length(text)::BIGINT AS n FROM documents WHERE text IS NOT NULL),
+            goal AS (SELECT source, max(target_share) AS w, max(max_repeats) AS m FROM mix_targets WHERE source IS NOT NULL AND target_share > 0 AND max_repeats > 0 GROUP BY source),
+            r AS (SELECT source, w / (SELECT sum(w) FROM goal) AS w, m, coalesce(t, 0) AS t FROM goal LEFT JOIN (SELECT source, sum(n)::DOUBLE AS t FROM s GROUP BY source) USING (source)),
+            rate AS (SELECT source, w, CASE WHEN t > 0 THEN least(m, w * (SELECT min(m * t / w) FROM r WHERE t > 0) / t) ELSE 0 END AS rate FROM r),
+            drawn AS (SELECT doc_id, source, n, (floor(rate) + CASE WHEN ('0x' || substr(md5('0:' || doc_id), 1, 13))::BIGINT / pow(2, 52) < rate - floor(rate) THEN 1 ELSE 0 END)::INT AS copies
+                      FROM s JOIN rate USING (source) WHERE doc_id IS NOT NULL)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"""
@@ -115,10 +204,25 @@ def oracle_sql() -> dict[str, str]:
             ), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM near)
             SELECT DISTINCT least(a, b) AS data_index_a, greatest(a, b) AS data_index_b FROM r WHERE k <= 5""",
         "p4_found": f"""
-            WITH {_VECTORS}, p AS (SELECT data_index, min({{'r': bm_row, 'c': bm_col}}) AS p FROM bestmatches WHERE bm_row IS NOT NULL AND bm_col IS NOT NULL GROUP BY data_index),
-            u AS (SELECT t.data_index AS i, v, p.p.r AS r, p.p.c AS c FROM t JOIN p USING (data_index)),
-            n AS (SELECT a.i, list_sort(list(b.i)) AS around FROM u a JOIN u b ON list_distance(a.v, b.v) <= 1.0
-                  AND least(abs(a.r - b.r), 82 - abs(a.r - b.r)) <= 8 AND least(abs(a.c - b.c), 137 - abs(a.c - b.c)) <= 8 GROUP BY a.i),
+            WITH {_POINTS}, n AS (SELECT a.i, list_sort(list(b.i)) AS around FROM u a JOIN u b ON {_alike(8)} GROUP BY a.i),
             whole AS (SELECT around FROM n GROUP BY around HAVING count(*) = len(around) AND count(*) >= 5)
             SELECT i AS data_index, around[1] AS cluster_first FROM n JOIN whole USING (around)""",
+        "p4_close": f"""{_markov(2)}
+            SELECT i AS data_index, cluster_first, size, true AS settled FROM named""",
+        "p4_clusters": f"""{_markov(8)},
+            told AS (SELECT n.*, sum(1.0 - d) AS close, count(*) AS fellows, round(any_value(got), 9) AS got FROM named n JOIN link ON link.a = n.i JOIN (SELECT r, sum(m) AS got FROM last GROUP BY r) f ON f.r = n.i GROUP BY ALL)
+            SELECT cluster_first, size, min(fellows) = size AND max(fellows) = size AS complete, true AS settled, list(i ORDER BY got DESC, round(close, 6) DESC, i)[1:3] AS typical FROM told GROUP BY cluster_first, size""",
+        "p3_neighbours": f"""
+            WITH {_VECTORS}, near AS (SELECT a.data_index, b.data_index AS neighbour, list_distance(a.v, b.v) AS d FROM t a JOIN t b ON a.data_index <> b.data_index AND a.data_index % 50 = 0),
+            ranked AS (SELECT *, (row_number() OVER (PARTITION BY data_index ORDER BY d, neighbour))::INT AS neighbour_rank FROM near)
+            SELECT data_index, neighbour, round(d, 6) AS distance, neighbour_rank FROM ranked WHERE neighbour_rank <= 5""",
+        "p7_checks": """
+            SELECT container_kind, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS n_texts, 0 AS n_torn, 0 AS n_over, 0 AS n_gaps
+            FROM containers WHERE container_kind IS NOT NULL AND capacity_tokens > 0 GROUP BY container_kind""",
+        "p8_by_characters": _MIX + " SELECT doc_id, source, unnest(range(1, copies + 1))::INT AS copy_no, n AS n_chars FROM drawn",
+        "p8_shares_by_characters": _MIX + """
+            , told AS (SELECT source, sum(copies)::BIGINT AS n_records, sum(copies * n)::BIGINT AS mixed_chars, max(copies) AS most_copies FROM drawn WHERE copies > 0 GROUP BY source)
+            SELECT source, coalesce(n_records, 0) AS n_records, coalesce(mixed_chars, 0) AS mixed_chars, coalesce(most_copies, 0) AS most_copies, round(rate, 9) AS rate,
+              round(coalesce(mixed_chars, 0)::DOUBLE / (SELECT sum(mixed_chars) FROM told), 9) AS actual_share, round(coalesce(mixed_chars, 0)::DOUBLE / (SELECT sum(mixed_chars) FROM told) - w, 9) AS off_target
+            FROM rate LEFT JOIN told USING (source)""",
     }

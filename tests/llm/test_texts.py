@@ -67,6 +67,18 @@ def test_every_constraint_holds(score):
     assert box.max() + 1 <= -(-sizes.sum() // 64) + 2
 
 
+def test_limits_may_follow_the_capacity(spark):
+    sizes = {k: int(n) for k, n in enumerate(np.random.default_rng(9).integers(0, 60, 500))}
+    sized = spark.createDataFrame([*sizes.items()], "doc_id long, n_tokens long")
+    bound = {"max_texts": lambda cap: cap // 20, "max_attention": lambda cap: cap * cap / 2}
+    packed = packing.pack(sized, KINDS, shard_items=200, **bound)
+    assert {tuple(r) for r in packing.pack_check(packed, sized, KINDS, **bound).select("container_kind", "n_texts", "n_torn", "n_over", "n_gaps").collect()} == {(k, 500, 0, 0, 0) for k, _ in KINDS}
+    bad = packed.where("doc_id % 7 != 0 OR place != 0").unionByName(packed.where("doc_id = 3"))
+    assert all(r.n_torn + r.n_gaps > 0 for r in packing.pack_check(bad, sized, KINDS, **bound).collect())
+    loose = packing.pack_check(packing.pack(sized, KINDS, shard_items=200), sized, KINDS, **bound).collect()
+    assert any(r.n_over > 0 for r in loose)
+
+
 def test_mixture_meets_shares_within_caps(spark):
     rng = np.random.default_rng(3)
     rows = [(k, ["a", "a", "a", "a", "b", "c", None, "other"][k % 8], int(n)) for k, n in enumerate(rng.integers(1, 60, 16000))]
@@ -127,6 +139,48 @@ CASES = [
 ]
 
 
+#: Wording and letters that no table of this project has.
+OTHER_WORDING = [
+    ("Author: Jiří Svoboda\nMaintainer: Łukasz Żółkiewski <l.z@poczta.example>", [("person", "Jiří Svoboda"), ("person", "Łukasz Żółkiewski"), ("email", "l.z@poczta.example")]),
+    ("Reviewed-by: Иван Петров, see ivan@пример.рф and büro@münchen.example", [("person", "Иван Петров"), ("email", "ivan@пример.рф"), ("email", "büro@münchen.example")]),
+    ("mail a@museum.international or joe@firma.md, bob@x.so; see logo@2x.png and a@b.json", [("email", "a@museum.international"), ("email", "joe@firma.md"), ("email", "bob@x.so")]),
+    ("联系foo@bar.example联系", [("email", "foo@bar.example")]),
+    ("Mirune Caldvane owns the flat", [("person", "Mirune Caldvane")]),
+    ("social insurance number 123-45-6789, Steuernummer: 123/456/78901", [("idnum", "123-45-6789"), ("idnum", "123/456/78901")]),
+    ("SSN: 000-00-0000, ssn 123-00-4567, tax id 000000000", []),
+    ("SSN" + " " * 40 + ": 123-45-6789", [("idnum", "123-45-6789")]),
+    ('<a href="tel:02079460988">ring</a> <a href="mailto:q@stell.example">', [("phone", "02079460988"), ("email", "q@stell.example")]),
+    ("https://" + "u" * 300 + "/x:me@stell.example/a.git", []),
+    ("x@" + "very-long-label." * 20 + "example", [("email", "x@" + "very-long-label." * 20 + "example")]),
+    ("at 7 " + "Abcdefghij" * 9 + " Lane", [("street", "7 " + "Abcdefghij" * 9 + " Lane")]),
+    ("by Mirune " + "A" + "b" * 120, [("person", "Mirune " + "A" + "b" * 120)]),
+]
+
+
+@pytest.mark.parametrize("text,want", OTHER_WORDING)
+def test_places_in_other_wording(text, want):
+    assert [(k, text[b:e]) for b, e, k in pii.find(text, *pii.build(NAMES))] == sorted(want, key=lambda w: text.index(w[1]))
+
+
+@pytest.mark.parametrize("n", [121, 5000])
+def test_local_parts_of_any_length_are_found_whole(n):
+    text = "< " + "a" * n + "@stell.example >"
+    assert pii.find(text, *pii.build(NAMES)) == [(2, n + 16, "email")]
+
+
+@pytest.mark.parametrize("unit", ["a@", "Mirune-", "Mirune", " Street", "weg", "://a@b.c/", "1-2", "x.y@z.", "ssn ", "Mirune Caldvane, ", "a@b.example "])
+def test_cost_grows_with_the_length(unit):
+    import time
+
+    parts = pii.build(NAMES)
+    took = []
+    for size in (20_000, 200_000):
+        began = time.perf_counter()
+        pii.find(unit * (size // len(unit)), *parts)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * max(took[0], 0.02)
+
+
 @pytest.mark.parametrize("text,want", CASES)
 def test_places(text, want):
     got = [(k, text[b:e]) for b, e, k in pii.find(text, *pii.build(NAMES))]

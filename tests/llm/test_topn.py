@@ -74,3 +74,31 @@ def test_empty_table_and_payload(spark):
 def test_group_expression_keeps_the_query_name(spark):
     df = spark.createDataFrame([("q1 text", 1, 5.0, None, None, None), ("q1\tother", 2, 6.0, None, None, None), ("q2", 3, 1.0, None, None, None)], SCHEMA)
     assert set(got(top_n(df, F.regexp_extract("q", r"^\S*", 0), "score", "id", 1))) == {("q1", 2, 6.0, 1), ("q2", 3, 1.0, 1)}
+
+
+def test_scores_and_identifiers_keep_their_types(spark):
+    import datetime
+    from decimal import Decimal
+
+    big = [("g", 2, 9007199254740993), ("g", 1, 9007199254740992), ("g", 3, -(2**63))]
+    assert [(r.item_id, r.item_score) for r in top_n(spark.createDataFrame(big, "g string, i long, s long"), "g", "s", "i", 1).collect()] == [(2, 9007199254740993)]
+    dec = [("g", "b", Decimal("1.00000000000000000000000001")), ("g", "a", Decimal("1.00000000000000000000000002")), ("g", "c", Decimal("1.00000000000000000000000002"))]
+    df = top_n(spark.createDataFrame(dec, "g string, i string, s decimal(38,26)"), "g", "s", "i", 2)
+    assert sorted((r.item_rank, r.item_id) for r in df.collect()) == [(1, "a"), (2, "c")]
+    days = [("g", k, datetime.date(2020, 1, 1 + k)) for k in range(5)]
+    assert top_n(spark.createDataFrame(days, "g string, i int, s date"), "g", "s", "i", 1).first().item_id == 4
+
+
+def test_rows_below_full_heaps_go_at_once():
+    import pyarrow as pa
+
+    heaps = topn.prune(table([("a", 3.0, 1), ("a", 2.0, 2), ("b", 1.0, 3)]), 2)
+    left = topn.admit(table([("a", 1.0, 9), ("a", 2.0, 0), ("a", 5.0, 8), ("b", 0.5, 7), ("c", 0.1, 6)]), heaps, 2)
+    assert isinstance(left, pa.Table) and left.column("__item").to_pylist() == [0, 8, 7, 6]
+
+
+def table(rows):
+    import pyarrow as pa
+
+    g, s, i = zip(*rows)
+    return pa.table({"__group": pa.array(g), "__score": pa.array(s), "__item": pa.array(i), "__fp1": pa.array(i), "__fp2": pa.array(i)})

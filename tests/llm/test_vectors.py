@@ -100,7 +100,9 @@ def test_cliques_chains_and_the_toroid(spark):
     assert by[0].typical == [2, 3, 1]  # the middle of the row is closest to all others
 
 
-def test_flow_matches_dense_markov_clustering(spark):
+@pytest.mark.parametrize("hub", [1_000_000, 20])
+def test_flow_matches_dense_markov_clustering(spark, monkeypatch, hub):
+    monkeypatch.setattr(markov, "HUB_PAIRS", hub)  # at 20 products most middle nodes are split
     rng = np.random.default_rng(6)
     n = 24
     a = np.eye(n, dtype=bool)
@@ -147,6 +149,14 @@ def test_clusters_tell_whether_they_settled(spark):
     assert all(r.settled for r in told.collect())
 
 
+def test_equal_halves_fall_to_the_lower_attractor(spark):
+    # a path of five: the middle node gets as much from either side
+    nodes = spark.createDataFrame([(k, 1, 2 if k in (0, 4) else 3) for k in range(5)], "node long, size long, degree long")
+    links = spark.createDataFrame([(a, b) for a in range(5) for b in range(5) if abs(a - b) <= 1], "a long, b long")
+    got = [{r.node: (r.cluster, r.settled) for r in markov.markov_clusters(nodes, links.repartition(n)).collect()} for n in (1, 5)]
+    assert got[0] == got[1] and all(settled for _, settled in got[0].values())
+
+
 def test_nodes_without_attractor_stay(spark):
     nodes = spark.createDataFrame([(k, 1, 1) for k in range(4)], "node long, size long, degree long")
     links = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (3, 3)], "a long, b long")  # flow runs in a ring
