@@ -141,9 +141,9 @@ def _square(flow: DataFrame, middle: DataFrame) -> DataFrame:
     left = middle.select("row", F.col("col").alias("k"), "s", F.col("m").alias("m1"))
     right = flow.select(F.col("row").alias("k"), "col", F.col("s").alias("sk"), F.col("m").alias("m2"))
     load = left.groupBy("k").agg(F.count("*").alias("a")).join(right.groupBy("k").agg(F.count("*").alias("b")), "k")
-    hubs = cut(load.select("k", F.ceil(F.col("a") * F.col("b") / F.lit(HUB_PAIRS)).cast("int").alias("parts")).where("parts > 1"))
     key = ["k"]
-    if not hubs.isEmpty():
+    if (load.agg(F.max(F.col("a") * F.col("b"))).first()[0] or 0) > HUB_PAIRS:
+        hubs = cut(load.select("k", F.ceil(F.col("a") * F.col("b") / F.lit(HUB_PAIRS)).cast("int").alias("parts")).where("parts > 1"))
         key = ["k", "part"]
         left = left.join(hubs, "k", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
         right = right.join(hubs, "k", "left").withColumn("part", F.pmod(F.xxhash64("col"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
@@ -187,8 +187,10 @@ def markov_clusters(nodes: DataFrame, links: DataFrame, inflation: float = INFLA
         waiting = now.join(restless.select(F.col("col").alias("row")), "row", "left_semi").select("col").unionByName(restless).distinct().withColumn("open", F.lit(True))
         state = cut(now.join(waiting, "col", "left").withColumn("open", F.coalesce("open", F.lit(False))))
         flow, still = state.where("open").drop("open"), state.where("NOT open").drop("open")
-        done = still if done is None else done.unionByName(still)
-        if flow.isEmpty():
+        n_open, n_still = state.agg(F.count_if("open"), F.count_if(~F.col("open"))).first()
+        if n_still:
+            done = still if done is None else done.unionByName(still)
+        if not n_open:
             break
     limit = flow.withColumn("settled", F.lit(False)) if done is None else done.withColumn("settled", F.lit(True)).unionByName(flow.withColumn("settled", F.lit(False)))
     # attractors keep flow on their diagonal; those that a common column flows to form one system, named by its lowest

@@ -100,9 +100,20 @@ def test_cliques_chains_and_the_toroid(spark):
     assert by[0].typical == [2, 3, 1]  # the middle of the row is closest to all others
 
 
-@pytest.mark.parametrize("hub", [1_000_000, 20])
-def test_flow_matches_dense_markov_clustering(spark, monkeypatch, hub):
-    monkeypatch.setattr(markov, "HUB_PAIRS", hub)  # at 20 products most middle nodes are split
+def test_split_hubs_give_the_same_square(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    m = np.where(rng.random((12, 12)) < 0.6, rng.random((12, 12)), 0)
+    m[:, 3] = m[3] = 0.5  # a hub
+    flow = spark.createDataFrame([(int(i), int(j), 2.0, float(m[i, j])) for i, j in zip(*np.nonzero(m))], "row long, col long, s double, m double")
+    for pairs in (1_000_000, 20):
+        monkeypatch.setattr(markov, "HUB_PAIRS", pairs)
+        got = np.zeros((12, 12))
+        for r in markov._square(flow, flow).collect():
+            got[r.row, r.col] += r.m
+        assert np.allclose(got, 2 * m @ m)
+
+
+def test_flow_matches_dense_markov_clustering(spark):
     rng = np.random.default_rng(6)
     n = 24
     a = np.eye(n, dtype=bool)
