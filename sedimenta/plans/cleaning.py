@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from sedimenta.operators.intervals import periods_and_gaps
 from sedimenta.operators.packed_fields import split_packed
 from sedimenta.operators.rejects import load_counts, rejected_lines
-from sedimenta.session import spread, table
+from sedimenta.session import table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Body lines of the raw counts tables that fail."""
-    return rejected_lines(table(spark, sf_dir, "counts_raw")).select("file_id", "line_no")
+    return rejected_lines(table(spark, sf_dir, "counts_raw"), conflicts=False).select("file_id", "line_no")
 
 
 def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per packed attribute of each feature."""
-    return split_packed(spread(table(spark, sf_dir, "gff").select("feature_no", "attributes")), "attributes", ["feature_no"])
+    return split_packed(table(spark, sf_dir, "gff").select("feature_no", "attributes"), "attributes", ["feature_no"])
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,7 @@ def queries():
 _P2 = r"""
     WITH raw AS (SELECT file_id, line_no, regexp_replace(min(line), '[\r\n]+$', '') AS line FROM counts_raw
                  WHERE file_id IS NOT NULL AND line_no IS NOT NULL AND line IS NOT NULL GROUP BY file_id, line_no),
+    torn AS (SELECT file_id, line_no FROM counts_raw WHERE line IS NOT NULL GROUP BY file_id, line_no HAVING count(DISTINCT regexp_replace(line, '[\r\n]+$', '')) > 1),
     sign AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS k FROM raw WHERE line LIKE '\%%' ESCAPE '\'),
     rules AS (SELECT file_id,
                 string_split(max(CASE WHEN k = 3 THEN regexp_replace(line, '^%[ \t]?', '') END), chr(9)) AS types,
@@ -66,6 +67,8 @@ _P2 = r"""
           FROM body WHERE types IS NULL OR NOT well OR len(cells) <> len(types)
         UNION SELECT file_id, line_no, 'bad_number' FROM cell WHERE role = '1' AND v <> '' AND NOT regexp_full_match(v, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?')
         UNION SELECT file_id, line_no, 'bad_key' FROM cell WHERE role = '9' AND NOT regexp_full_match(v, '[0-9]+')
+        UNION SELECT file_id, line_no, 'stray_header' FROM sign WHERE k > 4
+        UNION SELECT file_id, line_no, 'conflicting_texts' FROM torn JOIN body USING (file_id, line_no)
         UNION SELECT file_id, line_no, 'bad_length' FROM cell WHERE role = '0' AND name = 'length' AND v <> '' AND NOT regexp_full_match(v, '\+?0*[1-9][0-9]*'))
 """
 

@@ -71,3 +71,39 @@ def test_damaged_names_keep_rows(spark, names):
     assert rejected.collect() == []
     if "A.x" in names:
         assert clean.first()["data"] == {"a.x": 1.0, "a.x#5": 2.0}
+
+
+def test_every_body_line_is_loaded_or_rejected(spark):
+    from pyspark.sql import functions as F
+
+    base = rows()[:4]
+    lines = [
+        (5, "99999999999999999999\tn\t5\t1\t2"), (6, "1\tn\t5\t1e999\t-1e999"), (7, "3\ta\t1\t1\t1"), (7, "3\tb\t9\t1\t1"),
+        (8, "% late\tn\t5\t1\t2"), (9, "4\tn\tx\t1\t1"), (9, "4\tn\ty\t1\t1"), (10, "5\tn\t5\t1\t1"), (10, "5\tn\t5\t1\t1\r"),
+    ]
+    df = spark.createDataFrame([*base, *[("f", n, t, "", "") for n, t in lines]], SCHEMA)
+    clean, rejected = load_counts(df)
+    ok = {r.line_no: r for r in clean.collect()}
+    assert {r.line_no: r.reasons for r in rejected.collect()} == {7: ["conflicting_texts"], 8: ["stray_header"], 9: ["bad_length", "conflicting_texts"]}
+    assert set(ok) == {5, 6, 10}
+    assert ok[5].key is None and ok[5].beyond == {"key": "99999999999999999999"}
+    assert ok[6]["data"] == {"a.x": None, "b.x": None} and ok[6].beyond == {"a.x": "1e999", "b.x": "-1e999"}
+    assert {r.line_no for r in rejected_lines(df, conflicts=False).collect()} == {8, 9}
+    assert rejected_lines(df).count() == 3 and clean.where(F.size("beyond") == 0).count() == 1
+
+
+def test_unknown_roles_are_metadata(spark):
+    df = spark.createDataFrame([("g", 3, "% 9\t5\t1", "", ""), ("g", 1, "%1", "", ""), ("g", 2, "%1", "", ""), ("g", 4, "% k\todd\tv", "", ""), ("g", 5, "1\tzzz\t2", "", "")], SCHEMA)
+    clean, rejected = load_counts(df)
+    assert rejected.collect() == [] and clean.first()["info"] == {"odd": "zzz"}
+
+
+def test_random_dirt(spark):
+    import random
+
+    rng = random.Random(4)
+    cell = lambda: rng.choice(["1", "-2", "", '"q\t1"', '"', "x", "5.5e3", "9" * 30, "\u00a07\u00a0", '"a" b', "NaN"])
+    lines = [("f", 5 + k, "\t".join(cell() for _ in range(rng.choice([4, 5, 5, 5, 5, 6]))), "", "") for k in range(400)]
+    clean, rejected = load_counts(spark.createDataFrame([*rows()[:4], *lines], SCHEMA))
+    a, b = {r.line_no for r in clean.select("line_no").collect()}, {r.line_no for r in rejected.collect()}
+    assert not a & b and a | b == {n for _, n, text, _, _ in lines if text.strip()} and b
