@@ -5,6 +5,10 @@ of consecutive positions. Bitmaps are run-length containers (sorted, disjoint se
 before the shuffle and again per (entity, shard) after it, so that an entity with most of the rows spreads over its
 shards and a run costs the same whatever its length. Set runs and clear runs inside a shard are final; only the runs
 at the edges of shards, one narrow row per shard, are joined up per entity.
+
+A long interval leaves runs in the shards of its two ends only. The whole shards between are an interval of shard
+numbers; these intervals are united by the same operator, one level up, so that one interval of any length costs a few
+rows and changes nothing for the others.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Positions of a shard, and shards that the longest interval may reach over before shards are made wider.
+#: Positions of a shard, and whole shards that an interval may reach over before they are kept as one interval of shards.
 SHARD, REACH = 1 << 16, 64
 BUFFER_ROWS, STATE_ROWS = 200_000, 1_000_000
 _RUNS = "origin string, entity string, shard long, beg long, end long"
@@ -133,15 +137,15 @@ def periods_and_gaps(df: DataFrame, shard: int = SHARD) -> DataFrame:
 
     * rows with null origin, entity, begin or end don't count; repeated and nested intervals change nothing;
     * an entity with one period has no gap; an empty table gives an empty result; other columns play no part;
-    * shards grow in width where the longest interval would reach over more than REACH of them.
+    * intervals of any length, up to the ends of the number range, cost alike.
     """
     whole = F.col("origin").isNotNull() & F.col("entity").isNotNull() & F.col("beg").isNotNull() & F.col("end").isNotNull()
     spans = df.where(whole).select("origin", "entity", F.least("beg", "end").cast("long").alias("beg"), F.greatest("beg", "end").cast("long").alias("end"))
     longest = spans.agg(F.max(F.col("end").cast("double") - F.col("beg").cast("double"))).first()[0] or 0
-    while longest // shard > REACH:
-        shard *= 2
     at = lambda c: F.expr(f"{c} div {shard} - if({c} % {shard} < 0, 1, 0)")
-    placed = spans.withColumns({"s0": at("beg"), "s1": at("end")}).select("origin", "entity", "beg", "end", F.explode(F.sequence("s0", "s1")).alias("shard"))
+    spans = spans.withColumns({"s0": at("beg"), "s1": at("end")})
+    is_long = F.col("s1") - F.col("s0") > REACH + 1
+    placed = spans.select("origin", "entity", "beg", "end", F.explode(F.when(is_long, F.array("s0", "s1")).otherwise(F.sequence("s0", F.when(is_long, F.col("s0")).otherwise(F.col("s1"))))).alias("shard"))
     runs = placed.select(
         "origin", "entity", F.col("shard").cast("long").alias("shard"),
         F.greatest(F.col("beg"), F.try_multiply(F.col("shard"), F.lit(shard))).alias("beg"),  # null beyond the number range, which greatest passes over
@@ -151,6 +155,9 @@ def periods_and_gaps(df: DataFrame, shard: int = SHARD) -> DataFrame:
     final = united.mapInArrow(_after, _FINAL)
 
     edges = final.where("kind = 'edge'")
+    inner = final.where("kind != 'edge'")
+    if longest >= float(shard) * REACH:
+        edges, inner = _under_long(spans.where(is_long), edges, inner, shard)
     w = Window.partitionBy("origin", "entity").orderBy("shard")
     joined = edges.withColumns({
         "before": F.lag("end2").over(w), "after": F.lead("beg").over(w),
@@ -169,5 +176,16 @@ def periods_and_gaps(df: DataFrame, shard: int = SHARD) -> DataFrame:
         F.when(~F.col("stays_open"), seg("period", F.when(F.col("single"), start).otherwise(F.col("beg2")), F.col("end2"))),
         F.when(F.col("before").isNotNull() & ~F.col("goes_on"), seg("gap", F.col("before") + 1, F.col("beg") - 1)),
     ))).alias("s")).select("origin", "entity", "s.kind", "s.seg_beg", "s.seg_end")
-    inner = final.where("kind != 'edge'").select("origin", "entity", "kind", F.col("beg").alias("seg_beg"), F.col("end").alias("seg_end"))
-    return inner.unionByName(outer)
+    return inner.select("origin", "entity", "kind", F.col("beg").alias("seg_beg"), F.col("end").alias("seg_end")).unionByName(outer)
+
+
+def _under_long(long: DataFrame, edges: DataFrame, inner: DataFrame, shard: int) -> tuple[DataFrame, DataFrame]:
+    """Edges and inner runs with the whole shards under long intervals: these shards' own runs go, one row stands for them all."""
+    full = periods_and_gaps(long.select("origin", "entity", (F.col("s0") + 1).alias("beg"), (F.col("s1") - 1).alias("end")), SHARD).where("kind = 'period'")
+    beg, end = F.col("seg_beg") * shard, (F.col("seg_end") + 1) * shard - 1
+    rows = full.select("origin", "entity", F.col("seg_beg").alias("shard"), F.lit("full").alias("kind"), beg.alias("beg"), end.alias("end"), beg.alias("beg2"), end.alias("end2"), F.col("seg_end").alias("covers"))
+    w = Window.partitionBy("origin", "entity").orderBy("shard", F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)  # full rows before edges
+    all_rows = edges.withColumn("covers", F.lit(None).cast("long")).unionByName(rows).withColumn("reach", F.max("covers").over(w))
+    covered = (F.col("kind") == "edge") & F.coalesce(F.col("reach") >= F.col("shard"), F.lit(False))
+    gone = all_rows.where(covered).select("origin", "entity", "shard")
+    return all_rows.where(~covered).drop("covers", "reach"), inner.join(gone, ["origin", "entity", "shard"], "left_anti")

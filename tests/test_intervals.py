@@ -80,3 +80,22 @@ def rows_of(rows):
 def test_nothing(spark):
     assert got(spark.createDataFrame([], SCHEMA)) == []
     assert got(spark.createDataFrame([("o", "e", None, 5, ""), (None, "e", 1, 5, "")], SCHEMA)) == []
+
+
+def test_long_intervals_leave_other_shards_alone(spark):
+    rng = random.Random(8)
+    rows = [("o", "hot", p, p + rng.randrange(4), "") for p in (rng.randrange(-3000, 3000) for _ in range(800))]
+    rows += [("o", "hot", -700, -90, ""), ("o", "hot", 1003, 2500, ""), ("o", "hot", 10**12, 5, ""), ("o", "cold", 3, 10**12, ""), ("o", "cold", 10**12 + 5, 10**12 + 9, ""), ("o", "cold", -90, 1, "")]
+    rows += [("p", f"e{k}", k * 100, k * 100 + 100 * rng.randrange(1, 30), "") for k in range(20)] + [("p", "e3", k * 40, k * 40 + 5, "") for k in range(100)]
+    for reach in (1, 3):
+        monkey = intervals.REACH
+        try:
+            intervals.REACH = reach
+            assert got(spark.createDataFrame(rows, SCHEMA).repartition(3), shard=8) == brute(rows)
+        finally:
+            intervals.REACH = monkey
+
+
+def test_a_hot_entity_keeps_its_shards_beside_one_long_interval(spark):
+    rows = [("o", "hot", k << 16, (k << 16) + 9, "") for k in range(1000)] + [("o", "other", 0, 10**12, "")]
+    assert got(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
