@@ -1,13 +1,20 @@
-"""Nucleotide sequences as string columns: composition, complements, windows and k-mers, without UDFs."""
+"""Nucleotide sequences as string columns: composition, complements, windows and k-mers.
+
+Composition and names are column expressions. Windows and k-mers would need an array of a text's pieces there, so they
+scan Arrow buffers instead: k-mers are rolling base-4 codes counted per text, and only counts leave the scan; windows are
+slices of the buffer. A text of any length is one pass in pieces of bounded size.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from sedimenta.functions.vectors import let
+from pyspark.sql import types as T
 
 
 def reverse_complement(s: Column) -> Column:
@@ -45,8 +52,8 @@ def n_share(s: Column) -> Column:
 
 
 def non_dna(s: Column) -> Column:
-    """Characters outside the IUPAC nucleotide letters."""
-    return F.length(F.regexp_replace(s, "(?i)[ACGTUMRWSYKVHDBNX.-]", ""))
+    """Characters that stand for no nucleotide: other than A, C, G, T, R, Y, S, W, K, M, B, D, H, V, N, dot and dash."""
+    return F.length(F.regexp_replace(s, "[AaCcGgTtRrYySsWwKkMmBbDdHhVvNn.-]", ""))
 
 
 #: Codes of the 2-bit form.
@@ -68,32 +75,62 @@ def unpack_2bit(packed: Column) -> Column:
     return F.substring(letters, F.lit(1), n)
 
 
-def windows(length: Column, chunk: int, step: int, least: int = 0) -> Column:
-    """1-based inclusive windows of a sequence: full ones, and cut ones while more than ``least`` is left.
+def reverse_complement_2bit(packed: Column) -> Column:
+    """The packed form of the reverse complement: codes in reverse order, each one's bits turned over (T 0 and A 3, C 1 and G 2)."""
+    return pack_2bit(reverse_complement(unpack_2bit(packed)))
+
+
+def spans(size: int, chunk: int, step: int, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """0-based begins and exclusive ends of a sequence's windows: full ones, and cut ones while more than ``least`` is left.
 
     Sequences shorter than ``chunk + least`` have none.
     """
     if chunk <= 2:
         raise ValueError("a window needs more than 2 letters")
-
-    def spans(size: Column) -> Column:  # the length is bound once, not computed again for every window
-        starts = F.sequence(F.lit(0), size - 1, F.lit(step))
-        kept = F.filter(starts, lambda b: (b + chunk <= size) | (size - b > least))
-        all_spans = F.transform(kept, lambda b, k: F.struct((k + 1).alias("n"), (b + 1).alias("beg"), F.least(b + chunk, size).alias("end")))
-        return F.when(size >= chunk + least, all_spans).otherwise(F.array().cast("array<struct<n:int,beg:int,end:int>>"))
-
-    return let(length, spans)
+    if size < chunk + least:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    beg = np.arange(0, size, step)
+    beg = beg[(beg + chunk <= size) | (size - beg > least)]
+    return beg, np.minimum(beg + chunk, size)
+
+
+#: Bytes of windows that one batch of rows holds.
+WINDOW_BYTES = 16 << 20
+
+
+def _cut(batches: Iterator[pa.RecordBatch], chunk: int, step: int, least: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = batch.column(0)
+        for k in range(batch.num_rows):
+            body = np.frombuffer(batch.column(1)[k].as_buffer(), np.uint8)
+            first = np.flatnonzero((body & 0xC0) != 0x80) if (body & 0x80).any() else None  # bytes that begin a letter
+            size = len(body) if first is None else len(first)
+            beg, end = spans(size, chunk, step, least)
+            rows = max(1, WINDOW_BYTES // (4 * chunk))
+            for lo in range(0, len(beg), rows):
+                b, e = beg[lo : lo + rows], end[lo : lo + rows]
+                if first is not None:
+                    edge = np.r_[first, len(body)]
+                    x, y = edge[b], edge[e]
+                else:
+                    x, y = b, e
+                at = np.r_[0, np.cumsum(y - x)].astype(np.int32)
+                take = np.repeat(x - at[:-1], y - x) + np.arange(at[-1])
+                text = pa.StringArray.from_buffers(len(b), pa.py_buffer(at), pa.py_buffer(body[take]))
+                n = np.arange(lo + 1, lo + 1 + len(b), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([names[k].as_py()] * len(b), pa.string()), pa.array(n), pa.array(b + 1), pa.array(e), text], ["name", "n", "beg", "end", "seq"])
 
 
 def subdivide(df: DataFrame, name: str, seq: str, chunk: int, step: int, least: int = 0) -> DataFrame:
-    """Windows of sequences as rows (name, n, beg, end, fragment, seq): ``<first word>_<n> <beg>-<end>`` names a fragment."""
-    spans = windows(F.length(seq), chunk, step, least)
-    # one linear scan cuts the text at every start; the kept windows are the first of these, so they pair by place
-    texts = F.regexp_extract_all(F.col(seq), F.lit(f"(?s)(?=(.{{1,{chunk}}})).{{1,{step}}}"), F.lit(1))
-    paired = F.zip_with(spans, texts, lambda w, t: F.struct(w["n"].alias("n"), w["beg"].alias("beg"), w["end"].alias("end"), t.alias("seq")))
-    w = df.where(F.length(seq) >= chunk + least).select(F.regexp_extract(name, r"^\S*", 0).alias("name"), F.explode(F.filter(paired, lambda w: w["n"].isNotNull())).alias("w"))
-    label = F.concat(F.col("name"), F.lit("_"), F.col("w.n"), F.lit(" "), F.col("w.beg"), F.lit("-"), F.col("w.end"))
-    return w.select("name", F.col("w.n").cast("int").alias("n"), "w.beg", "w.end", label.alias("fragment"), "w.seq")
+    """Windows of sequences as rows (name, n, beg, end, fragment, seq): ``<first word>_<n> <beg>-<end>`` names a fragment.
+
+    Begin and end count letters from 1, both included. Null sequences and those too short have no window.
+    """
+    spans(0, chunk, step, least)
+    narrow = df.where(F.length(seq) >= chunk + least).select(F.regexp_extract(name, r"^\S*", 0).alias("name"), F.col(seq).cast("string").alias("seq"))
+    w = narrow.mapInArrow(lambda it: _cut(it, chunk, step, least), "name string, n int, beg long, end long, seq string")
+    label = F.concat(F.col("name"), F.lit("_"), F.col("n"), F.lit(" "), F.col("beg"), F.lit("-"), F.col("end"))
+    return w.select("name", "n", F.col("beg").cast("int").alias("beg"), F.col("end").cast("int").alias("end"), label.alias("fragment"), "seq")
 
 
 def canonical_kmers(k: int) -> list[tuple[str, str, int]]:
@@ -117,26 +154,154 @@ def canonical(mer: Column) -> Column:
     return F.when(order(back) < order(mer), back).otherwise(mer)
 
 
-def kmers(seq: Column, k: int, skip: bool = True) -> Column:
-    """Legal (upper-case A, C, G, T) k-mers of a sequence, in order.
+#: Letters that a scan looks at together, and codes of the letters in A, T, C, G order (4: no legal letter).
+SCAN_LETTERS = 1 << 18
+_CODES = np.full(256, 4, np.uint8)
+_CODES[[65, 84, 67, 71]] = [0, 1, 2, 3]
 
-    With ``skip``, an illegal k-mer moves the scan on by k, so that legal ones overlapping it are lost; without, every
-    legal k-mer counts. Both agree on sequences of legal letters. Either is one linear pass over the text.
+
+def _visited(legal: np.ndarray, ends: np.ndarray, entries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(marks, entries beyond) of the places that scans beginning at ``entries`` come to.
+
+    A scan moves on by one behind a legal k-mer and by k behind an illegal one, not beyond its text's end (``ends`` per
+    place). All scans run at once, by doubling their jumps. Entries beyond: where they leave this stretch of the text.
     """
+    n = len(legal)
+    hop = np.empty(n + k, np.int64)
+    hop[:n] = np.minimum(np.arange(n) + np.where(legal, 1, k), np.maximum(ends, np.arange(n) + 1))
+    hop[n:] = np.arange(n, n + k)  # places beyond stay where they are
+    hops = [hop]
+    while len(hops) < n.bit_length() + 1:
+        hops.append(hops[-1][hops[-1]])
+    out = hops[-1][entries]
+    seen = np.zeros(n + k, bool)
+    seen[entries] = True
+    front = entries
+    for jump in reversed(hops[:-1]):
+        front = np.r_[front, jump[front]]
+        front = front[front < n]
+        fresh = front[~seen[front]]
+        seen[fresh] = True
+        front = np.unique(front) if len(front) > n else front
+    return seen[:n], out
+
+
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a string column."""
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    body = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return body, at - at[0]
+
+
+def count_kmers(column: pa.Array, k: int, skip: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, canonical code, count) of the legal k-mers of a string column's texts, by stretches of bounded length."""
+    body, at = _texts(column)
+    # one place per letter: the bytes behind a letter's first go, all are illegal alike
+    lead = (body & 0xC0) != 0x80
+    if not lead.all():
+        at = np.r_[0, np.cumsum(lead)][at]
+        body = body[lead]
+    owner_end = at[1:]
+    entry = np.zeros(0, np.int64)
+    for lo in range(0, len(body), SCAN_LETTERS):
+        hi = min(lo + SCAN_LETTERS, len(body))
+        code = _CODES[body[lo : min(hi + k - 1, len(body))]].astype(np.int64)
+        n = hi - lo
+        text = np.searchsorted(owner_end, np.arange(lo, hi), side="right")
+        ends = owner_end[text] - lo
+        legal = np.arange(n) + k <= np.minimum(ends, len(code))
+        forward, back, bad = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+        for j in range(k):
+            c = np.full(n, 4, np.int64)
+            part = code[j : j + n]
+            c[: len(part)] = part
+            bad |= c > 3
+            forward = forward * 4 + (c & 3)
+            back += ((c & 3) ^ 1) << (2 * j)
+        legal &= ~bad
+        if skip:
+            begins = at[:-1][(at[:-1] >= lo) & (at[:-1] < hi) & (at[1:] > at[:-1])] - lo
+            marks, out = _visited(legal, ends, np.r_[entry, begins], k)
+            entry = np.unique(out[(out >= n) & (out + lo < len(body))]) - n
+            # a scan that left its own text has ended; the next text begins its own
+            if len(entry) and hi < len(body):
+                begun = at[:-1][np.searchsorted(owner_end, hi, side="right")]
+                entry = entry[:1] if begun < hi else entry[:0]
+            legal &= marks
+        hit = np.flatnonzero(legal)
+        canon = np.minimum(forward[hit], back[hit])
+        if k <= 5:
+            size = 4**k
+            low = int(text[hit[0]]) if len(hit) else 0
+            n_of = np.bincount((text[hit] - low) * size + canon, minlength=0)
+            where = np.flatnonzero(n_of)
+            yield where // size + low, where % size, n_of[where]
+        else:
+            order = np.lexsort((canon, text[hit]))
+            t, c = text[hit][order], canon[order]
+            first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])]) if len(t) else np.zeros(0, np.int64)
+            yield t[first], c[first], np.diff(np.r_[first, len(t)])
+
+
+def _spelled(codes: np.ndarray, k: int) -> pa.Array:
+    letters = np.frombuffer(b"ATCG", np.uint8)[(codes[:, None] >> (2 * np.arange(k - 1, -1, -1))[None]) & 3]
+    return pa.StringArray.from_buffers(len(codes), pa.py_buffer((np.arange(len(codes) + 1) * k).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(letters)))
+
+
+def kmers(seq: Column, k: int, skip: bool = True) -> Column:
+    """Legal k-mers of a short sequence as an array, in order; whole texts are counted by ``kmer_counts``."""
     legal = f"[ACGT]{{{k}}}"
     if not skip:
         return F.regexp_extract_all(seq, F.lit(f"(?=({legal}))"), F.lit(1))
-    # one scan: behind a legal k-mer it moves on by one letter, else it eats k letters and leaves an empty match
+    # behind a legal k-mer the scan moves on by one letter, else it eats k letters and leaves an empty match
     return F.filter(F.regexp_extract_all(seq, F.lit(f"(?s)(?=({legal})).|.{{{k}}}"), F.lit(1)), lambda m: m != "")
 
 
 def kmer_counts(df: DataFrame, key: str, seq: str, k: int, skip: bool = True) -> DataFrame:
-    """(key, kmer, n) of canonical k-mers.
+    """(key, kmer, n) of canonical k-mers (k up to 31) of upper-case A, C, G, T; null keys and sequences have none.
+
+    With ``skip``, an illegal k-mer moves the scan on by k, so that legal ones overlapping it are lost; without, every
+    legal k-mer counts. Both agree on sequences of legal letters. Counts per text leave the scan; they are added per key.
+    """
+    if not 1 <= k <= 31:
+        raise ValueError("k is from 1 to 31")
+    narrow = df.select(F.col(key), F.col(seq).cast("string").alias("__seq")).where(F.col(key).isNotNull() & F.col("__seq").isNotNull())
+    schema = T.StructType([narrow.schema.fields[0], T.StructField("kmer", T.StringType()), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, code, n in count_kmers(batch.column(1), k, skip):
+                for lo in range(0, len(text), 100_000):
+                    part = slice(lo, lo + 100_000)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[part])), _spelled(code[part], k), pa.array(n[part].astype(np.int64))], schema.names)
+
+    return narrow.mapInArrow(run, schema).groupBy(key, "kmer").agg(F.sum("n").alias("n"))
+
+
+def kmer_table(df: DataFrame, keep: list[str], seq: str, k: int, skip: bool = True) -> DataFrame:
+    """The counts table of k-mers: one row per sequence or window, with its ``keep`` columns and a column for every canonical
+    k-mer (k up to 5, in the order of ``canonical_kmers``), 0 where it has none.
 
-    Plain k-mers are counted first, within each task before the shuffle; complements are taken of the few that differ.
+    Rows come straight from the scan, without a shuffle; null sequences have a row of zeros.
     """
-    plain = df.select(key, F.explode(kmers(F.col(seq), k, skip)).alias("m")).groupBy(key, "m").agg(F.count("*").alias("n"))
-    return plain.select(key, canonical(F.col("m")).alias("kmer"), "n").groupBy(key, "kmer").agg(F.sum("n").alias("n"))
+    if not 1 <= k <= 5:
+        raise ValueError("the table is for k from 1 to 5")
+    mers = [m for m, canon, _ in canonical_kmers(k) if m == canon]
+    place = np.full(4**k, -1)
+    place[[int("".join(str("ATCG".index(c)) for c in m), 4) for m in mers]] = np.arange(len(mers))
+    narrow = df.select(*keep, F.coalesce(F.col(seq).cast("string"), F.lit("")).alias("__seq"))
+    schema = T.StructType([*narrow.schema.fields[:-1], *[T.StructField(m, T.LongType()) for m in mers]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = np.zeros((batch.num_rows, len(mers)), np.int64)
+            for text, code, n in count_kmers(batch.column(len(keep)), k, skip):
+                np.add.at(table, (text, place[code]), n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(c) for c in table.T]], schema.names)
+
+    return narrow.mapInArrow(run, schema)
 
 
 def kmer_frequencies(counts: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions.sequences import sample_name
+from sedimenta.operators.counts import numbered
 
 
 # hits --------------------------------------------------------------------------------------------------------------
@@ -37,14 +38,21 @@ def hmm_target(line: Column, domains: bool = False) -> Column:
 
 # genes -------------------------------------------------------------------------------------------------------------
 def gene_map(features: DataFrame, seqid: str, beg: str, end: str) -> DataFrame:
-    """(seqid, n_genes, genes): the genes of each sequence in order of position."""
-    return features.where(F.col(seqid).isNotNull() & F.col(beg).isNotNull() & F.col(end).isNotNull()).groupBy(seqid).agg(F.count("*").alias("n_genes"), F.array_sort(F.collect_list(F.struct(F.least(beg, end).alias("beg"), F.greatest(beg, end).alias("end")))).alias("genes"))
+    """(seqid, n_genes, first, last): how many genes each sequence has and the positions that they span; ``number_features`` lists them in order."""
+    usable = features.where(F.col(seqid).isNotNull() & F.col(beg).isNotNull() & F.col(end).isNotNull())
+    return usable.groupBy(seqid).agg(F.count("*").alias("n_genes"), F.min(F.least(beg, end)).alias("first"), F.max(F.greatest(beg, end)).alias("last"))
 
 
 def number_features(features: DataFrame, seqid: str, order: list[str]) -> DataFrame:
-    """Features numbered from 1 within their sequence, with ``name`` <seqid>_<n>."""
-    n = F.row_number().over(Window.partitionBy(seqid).orderBy(*order))
-    return features.where(F.col(seqid).isNotNull()).withColumn("n", n).withColumn("name", F.concat_ws("_", seqid, "n"))
+    """Features numbered from 1 within their sequence, with ``name`` <seqid>_<n>.
+
+    All features are put in one distributed order and numbered by it; a sequence's numbers are these less its lowest, so
+    that no task holds a whole sequence.
+    """
+    every = numbered(features.where(F.col(seqid).isNotNull()), [F.col(seqid), *[F.col(c) for c in order]], "__at")
+    least = every.groupBy(seqid).agg((F.min("__at") - 1).alias("__before"))
+    out = every.join(least, seqid).withColumn("n", F.col("__at") - F.col("__before")).drop("__at", "__before")
+    return out.withColumn("name", F.concat_ws("_", seqid, "n"))
 
 
 def to_nucleotides(hits: DataFrame, genes: DataFrame, gene: str = "gene") -> DataFrame:
@@ -97,6 +105,50 @@ def cluster_of(records: DataFrame) -> DataFrame:
     return records.where(F.col("kind").isin("S", "H", "N", "R")).select("label", "cluster")
 
 
+#: Samples that a table has columns for, at most; beyond, ``members`` grouped by cluster and sample is the table in long form.
+SAMPLES_MAX = 10_000
+
+
+def sample_names(members: DataFrame) -> list[str]:
+    """Samples of the members, in order; ValueError beyond SAMPLES_MAX."""
+    got = members.select(sample_name(F.col("label")).alias("s")).where("s IS NOT NULL").distinct().limit(SAMPLES_MAX + 1).collect()
+    if len(got) > SAMPLES_MAX:
+        raise ValueError(f"more than {SAMPLES_MAX} samples")
+    return sorted(r[0] for r in got)
+
+
+def cluster_lines(records: DataFrame, order: str, least: int = 1) -> DataFrame:
+    """(rank, cluster, n_members, line): clusters with at least ``least`` members, largest first, then lowest number; ``line``
+    has the seed, the size and the average identity, by tabs."""
+    c = cluster_index(records).where(F.col("n_members") >= least)
+    text = F.concat_ws("\t", "cluster", F.coalesce("seed", F.lit("")), "n_members", F.coalesce(F.format_string("%.1f", "avg_id"), F.lit("*")))
+    by = {"size": [F.desc("n_members"), F.asc("cluster")], "identity": [F.desc_nulls_last("avg_id"), F.asc("cluster")], "seed": [F.asc_nulls_last("seed"), F.asc("cluster")]}[order]
+    return numbered(c.withColumn("line", text), by, "rank").select("rank", "cluster", "n_members", "line")
+
+
+def window_coverage(depth: DataFrame, windows: DataFrame, threshold: float = 0.0, width: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """(counts, any): depth sums per window and sample, and the share of each window's positions that any sample covers.
+
+    ``depth``: seqid, sample, pos, depth. ``windows``: window, seqid, beg, end. A sample counts 0 in a window, and adds
+    nothing to its covered positions, where it covers less than ``threshold`` of them.
+    """
+    from sedimenta.operators.joins import points_in_intervals
+
+    size = windows.select("window", (F.col("end") - F.col("beg") + 1).alias("size"))
+    inside = points_in_intervals(depth.where("depth > 0"), windows, "seqid", "pos", "beg", "end", width).groupBy("window", "sample", "pos").agg(F.sum("depth").alias("depth"))
+    per = inside.groupBy("window", "sample").agg(F.sum("depth").alias("bases"), F.count("*").alias("n")).join(size, "window")
+    per = per.withColumn("passes", F.col("n") / F.col("size") >= threshold)
+    seen = inside.join(per.where("passes").select("window", "sample"), ["window", "sample"], "left_semi").select("window", "pos").distinct().groupBy("window").agg(F.count("*").alias("n"))
+    share = size.join(seen, "window", "left").select("window", (F.coalesce("n", F.lit(0)) / F.col("size")).alias("share"))
+    return per.select("window", "sample", F.when(F.col("passes"), F.col("bases")).otherwise(0).alias("bases")), share
+
+
+def sample_table(counts: DataFrame, rows: DataFrame, row: str, samples: list[str], value: str = "bases") -> DataFrame:
+    """``rows`` with a column for each sample, 0 where ``counts`` (row, sample, value) has nothing."""
+    wide = counts.groupBy(row).agg(*[F.sum(F.when(F.col("sample") == s, F.col(value))).alias(s) for s in samples])
+    return rows.join(wide, row, "left").fillna(0, samples)
+
+
 def count_samples(members: DataFrame, samples: list[str] | None = None) -> DataFrame:
     """Members per cluster and sample (what stands before ``_scaffold`` or ``_contig``), one column each, 0 where none."""
     named = members.withColumn("sample", sample_name(F.col("label"))).where("sample IS NOT NULL")
@@ -117,8 +169,3 @@ def rarefaction(members: DataFrame, order: str, step: int, group: str = "sample"
     w = Window.partitionBy(group).orderBy("block")
     return seen.join(new, [group, "block"], "left").select(group, "block", F.sum("n").over(w).alias("n_members"), F.sum(F.coalesce("k", F.lit(0))).over(w).alias("n_clusters"))
 
-
-def mate_names(line: Column) -> Column:
-    """Cluster and members of a map line (cluster, then members, by tabs)."""
-    f = F.split(line, "\t")
-    return F.struct(F.get(f, F.lit(0)).alias("cluster"), F.slice(f, 2, F.greatest(F.size(f) - 1, F.lit(0))).alias("members"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed values of the filters: Gaussian 5 x 5 with its divisor, gradient 5 x 5 across columns, Laplacian 3 x 3.
-GAUSSIAN = ([[1, 4, 7, 4, 1], [4, 16, 26, 16, 4], [7, 26, 41, 26, 7], [4, 16, 26, 16, 4], [1, 4, 7, 4, 1]], 273.0)
-SOBEL = ([[-1, -2, 0, 2, 1], [-4, -8, 0, 8, 4], [-6, -12, 0, 12, 6], [-4, -8, 0, 8, 4], [-1, -2, 0, 2, 1]], 1.0)
-EDGES = ([[-1, -1, -1], [-1, 9, -1], [-1, -1, -1]], 1.0)
+#: Fixed values of the filters, with their divisor: Gaussian 5 x 5 (its fourth row has 14 where symmetry would have 16),
+#: gradient 5 x 5 along columns (transposed: along rows), edges 3 x 3.
+GAUSSIAN = ([[1, 4, 7, 4, 1], [4, 16, 26, 16, 4], [7, 26, 41, 26, 7], [4, 14, 26, 16, 4], [1, 4, 7, 4, 1]], 273.0)
+GRADIENT = ([[2, 3, 0, -3, -2], [3, 4, 0, -4, -3], [6, 6, 0, -6, -6], [3, 4, 0, -4, -3], [2, 3, 0, -3, -2]], 1.0)
+EDGES = ([[0.5, 1, 0.5], [1, -6, 1], [0.5, 1, 0.5]], 1.0)
 
 
 def convolve(image: DataFrame, kernel: tuple[list[list[float]], float], rows: int, columns: int, transposed: bool = False) -> DataFrame:
@@ -23,8 +24,8 @@ def convolve(image: DataFrame, kernel: tuple[list[list[float]], float], rows: in
 
 def gradient(image: DataFrame, rows: int, columns: int) -> DataFrame:
     """Magnitude of the gradient across and along."""
-    x = convolve(image, SOBEL, rows, columns).withColumnRenamed("v", "gx")
-    y = convolve(image, SOBEL, rows, columns, transposed=True).withColumnRenamed("v", "gy")
+    x = convolve(image, GRADIENT, rows, columns).withColumnRenamed("v", "gx")
+    y = convolve(image, GRADIENT, rows, columns, transposed=True).withColumnRenamed("v", "gy")
     return x.join(y, ["row", "col"]).select("row", "col", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("v"))
 
 

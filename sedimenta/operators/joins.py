@@ -34,16 +34,19 @@ def best_of(x: np.ndarray, ids: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     """(neuron, squared distance) nearest to each row; ties to the lowest neuron. Exact distances decide near ties."""
     out, best = np.zeros(len(x), np.int64), np.zeros(len(x))
     ww = (w * w).sum(1)
+    top = np.abs(ww).max(initial=0)
     for lo in range(0, len(x), 256):
         block = x[lo : lo + 256]
         d2 = ww[None] - 2 * block @ w.T
-        low = d2.min(1)
-        slack = 1e-9 * (1 + np.abs(ww).max() + (block * block).sum(1))
-        for r, row in enumerate(d2):
-            near = np.flatnonzero(row <= low[r] + slack[r])
-            exact = ((w[near] - block[r]) ** 2).sum(1)
-            at = near[exact.argmin()]
-            out[lo + r], best[lo + r] = ids[at], exact.min()
+        at = d2.argmin(1)
+        slack = 1e-9 * (1 + top + (block * block).sum(1))
+        near = d2 <= (d2[np.arange(len(block)), at] + slack)[:, None]
+        # rows in which others come as near as rounding could decide are solved again; there are few
+        for r in np.flatnonzero(near.sum(1) > 1):
+            some = np.flatnonzero(near[r])
+            at[r] = some[((w[some] - block[r]) ** 2).sum(1).argmin()]
+        out[lo : lo + 256] = ids[at]
+        best[lo : lo + 256] = ((w[at] - block) ** 2).sum(1)
     return out, best
 
 

@@ -146,14 +146,46 @@ def _sums(v: str, w: np.ndarray):
     ids = np.arange(len(w))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, count = np.zeros_like(w), np.zeros(len(w), np.int64)
+        total, count, off = np.zeros_like(w), np.zeros(len(w), np.int64), np.zeros(len(w))
         for b in batches:
             x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            n, _ = best_of(x, ids, w)
-            np.add.at(total, n, x)
+            n, d2 = best_of(x, ids, w)
+            order = np.argsort(n, kind="stable")
+            hit, first = np.unique(n[order], return_index=True)
+            if len(hit):
+                total[hit] += np.add.reduceat(x[order], first, axis=0)
             count += np.bincount(n, minlength=len(w))
+            off += np.bincount(n, np.sqrt(d2), minlength=len(w))
         hit = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(count[hit]), pa.array(total[hit].tolist(), pa.list_(pa.float64()))], ["neuron", "n", "total"])
+        yield from _models(hit, count[hit], off[hit], total[hit])
+
+    return run
+
+
+_SUMS = "neuron long, n long, off double, total array<double>"
+
+
+def _models(neuron: np.ndarray, n: np.ndarray, off: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sums per neuron as batches of bounded size."""
+    step = max(1, 500_000 // max(total.shape[1], 1))
+    for lo in range(0, len(neuron), step):
+        part = np.ascontiguousarray(total[lo : lo + step])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]), pa.array(part.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(neuron[lo : lo + step]), pa.array(n[lo : lo + step]), pa.array(off[lo : lo + step]), lists], ["neuron", "n", "off", "total"])
+
+
+def _added(size: int, dims: int):
+    """Sums of all tasks for the neurons of one partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count, off = np.zeros((size, dims)), np.zeros(size, np.int64), np.zeros(size)
+        for b in batches:
+            at = b.column(0).to_numpy()
+            np.add.at(total, at, b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+            np.add.at(count, at, b.column(1).to_numpy())
+            np.add.at(off, at, b.column(2).to_numpy())
+        hit = np.flatnonzero(count)
+        yield from _models(hit, count[hit], off[hit], total[hit])
 
     return run
 
@@ -165,15 +197,29 @@ def smooth(total: np.ndarray, rows: int, columns: int, k: np.ndarray) -> np.ndar
     return np.fft.irfft2(np.fft.rfft2(x, axes=(0, 1)) * f[:, :, None], s=(rows, columns), axes=(0, 1)).reshape(total.shape)
 
 
-def batch_epoch(vectors: DataFrame, v: str, w: np.ndarray, rows: int, columns: int, radius: float, rate: float, kind: str) -> np.ndarray:
-    """One batch epoch: each neuron moves by ``rate`` to the kernel-weighted mean of the vectors around it."""
+def _gathered(vectors: DataFrame, v: str, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(sums, counts) of the vectors per best matching neuron, and their mean distance to it.
+
+    A task sends one row of sums per neuron that it met; these rows meet per neuron and are added there.
+    """
     usable = vectors.select(F.col(v).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
-    merged = usable.mapInArrow(_sums("v", w), "neuron long, n long, total array<double>").select("neuron", "n", F.posexplode("total").alias("d", "t"))
-    merged = merged.groupBy("neuron", "d").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).toArrow()  # neurons x dimensions numbers
+    merged = usable.mapInArrow(_sums("v", w), _SUMS).repartition("neuron").mapInArrow(_added(*w.shape), _SUMS).toArrow()  # neurons x dimensions numbers
     total, count = np.zeros_like(w), np.zeros(len(w))
-    at, d = merged.column("neuron").to_numpy(), merged.column("d").to_numpy()
-    total[at, d] = merged.column("t").to_numpy()
-    count[at] = merged.column("n").to_numpy()
+    at = merged.column("neuron").to_numpy()
+    if len(at):
+        total[at] = merged.column("total").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+        count[at] = merged.column("n").to_numpy()
+    n = count.sum()
+    return total, count, float(merged.column("off").to_numpy().sum() / n) if n else 0.0
+
+
+def batch_epoch(vectors: DataFrame, v: str, w: np.ndarray, rows: int, columns: int, radius: float, rate: float, kind: str) -> np.ndarray:
+    """One batch epoch: each neuron moves by ``rate`` to the kernel-weighted mean of the vectors around it."""
+    total, count, _ = _gathered(vectors, v, w)
+    return _moved(total, count, w, rows, columns, radius, rate, kind)
+
+
+def _moved(total: np.ndarray, count: np.ndarray, w: np.ndarray, rows: int, columns: int, radius: float, rate: float, kind: str) -> np.ndarray:
     k = weights_of(kind, rows, columns, radius)
     mass = smooth(count[:, None], rows, columns, k)[:, 0]
     lead = smooth(total, rows, columns, k)
@@ -183,11 +229,18 @@ def batch_epoch(vectors: DataFrame, v: str, w: np.ndarray, rows: int, columns: i
     return out
 
 
-def train_batch(vectors: DataFrame, v: str, w: np.ndarray, rows: int, columns: int, schedule: Schedule) -> np.ndarray:
-    """Batch training over all epochs. The vectors should be cached or cheap to read: each epoch reads them once."""
+def train_batch(vectors: DataFrame, v: str, w: np.ndarray, rows: int, columns: int, schedule: Schedule, measure: bool = False):
+    """Batch training over all epochs. The vectors should be cached or cheap to read: each epoch reads them once.
+
+    With ``measure`` the result is (weights, mean distances to the best match at the start and after each epoch); an
+    epoch's search measures the one before, so that only the last one costs a pass of its own.
+    """
+    errors = []
     for epoch in range(schedule.epochs):
-        w = batch_epoch(vectors, v, w, rows, columns, *schedule.at(epoch), schedule.kernel)
-    return w
+        total, count, off = _gathered(vectors, v, w)
+        errors.append(off)
+        w = _moved(total, count, w, rows, columns, *schedule.at(epoch), schedule.kernel)
+    return (w, [*errors, _gathered(vectors, v, w)[2]]) if measure else w
 
 
 def train_sequential(x: np.ndarray, w: np.ndarray, rows: int, columns: int, schedule: Schedule, k_batch: float | None = None, local: int | None = None, seed: int = 1) -> np.ndarray:

@@ -10,7 +10,7 @@ from sedimenta.operators import image as im
 from sedimenta.operators import joins, linalg, som
 from sedimenta.operators.density import watershed
 from sedimenta.plans.vectors import embeddings, training
-from sedimenta.session import table
+from sedimenta.session import cut, table
 
 #: Columns of the map whose neurons are mean vectors of (label, vec_id mod COLUMNS); its rows are the labels.
 COLUMNS = 8
@@ -76,26 +76,22 @@ def kernels(spark, sf_dir):
 
 
 def batch_epoch(spark, sf_dir):
-    """One batch epoch with a bubble of radius 0: every neuron moves half-way to the mean of its vectors."""
+    """One batch epoch with a Gaussian kernel of radius 2: every neuron moves half-way to the weighted mean of the vectors around it."""
     book = codebook(spark, sf_dir)
     ids, w = joins.codebook(book, "neuron", "w")
-    after = som.batch_epoch(embeddings(spark, sf_dir), "v", w, len(w) // COLUMNS, COLUMNS, 0.0, 0.5, "bubble")
+    after = som.batch_epoch(embeddings(spark, sf_dir), "v", w, len(w) // COLUMNS, COLUMNS, 2.0, 0.5, "gauss")
     rows = [(int(i), round(float(a.sum()), 5), round(float(np.abs(a).max()), 5)) for i, a in zip(ids, after)]
     return spark.createDataFrame(rows, "neuron long, total double, largest double")
 
 
 def train(spark, sf_dir):
     """A map of 12 x 20 trained in batches on the training vectors from a principal-component start: quantisation error per epoch."""
-    v = training(spark, sf_dir).select("data_index", "v").cache()
+    v = cut(training(spark, sf_dir).select("data_index", "v"))
     m = linalg.moments(v, "v")[""]
     rows, columns = 12, 20
-    w, out = som.initial("pca", m, rows, columns), []
     schedule = som.Schedule(epochs=8, radius=(8, 1), rate=(1.0, 0.6))
-    for epoch in range(schedule.epochs):
-        w = som.batch_epoch(v, "v", w, rows, columns, *schedule.at(epoch), schedule.kernel)
-        d = joins.nearest_neuron(v, "v", np.arange(len(w)), w, ["data_index"]).agg(F.avg(F.sqrt("distance2"))).first()[0]
-        out.append((epoch, *map(float, schedule.at(epoch)), float(d)))
-    v.unpersist()
+    _, errors = som.train_batch(v, "v", som.initial("pca", m, rows, columns), rows, columns, schedule, measure=True)
+    out = [(epoch, *map(float, schedule.at(epoch)), errors[epoch + 1]) for epoch in range(schedule.epochs)]
     return spark.createDataFrame(out, "epoch int, radius double, rate double, error double")
 
 
@@ -170,14 +166,21 @@ _BEST = f"{_BOOK}, best AS (SELECT vec_id, label, v, min(struct_pack(d := list_d
 _PIC = f"n AS (SELECT bm_row AS r, bm_col AS c, count(*) AS n FROM bestmatches WHERE bm_row IS NOT NULL AND bm_col IS NOT NULL GROUP BY ALL), p AS (SELECT r.r::BIGINT AS row, c.c::BIGINT AS col, coalesce(n.n, 0) / (SELECT max(n) FROM n)::DOUBLE AS v FROM range(0, {MAP_ROWS}) r(r) CROSS JOIN range(0, {MAP_COLUMNS}) c(c) LEFT JOIN n ON n.r = r.r AND n.c = c.c)"
 
 
-def _taps(kernel, transposed=False):
-    w, d = kernel
-    h = len(w) // 2
-    return "(VALUES " + ", ".join(f"({a - h}, {b - h}, {w[b][a] if transposed else w[a][b]} / {d}::DOUBLE)" for a in range(len(w)) for b in range(len(w))) + ") t(a, b, w)"
+#: The filters' values once more, as rows of a table: step down, step right, weight.
+_GAUSSIAN = """
+    (-2,-2,1), (-2,-1,4), (-2,0,7), (-2,1,4), (-2,2,1), (-1,-2,4), (-1,-1,16), (-1,0,26), (-1,1,16), (-1,2,4), (0,-2,7), (0,-1,26), (0,0,41), (0,1,26), (0,2,7),
+    (1,-2,4), (1,-1,14), (1,0,26), (1,1,16), (1,2,4), (2,-2,1), (2,-1,4), (2,0,7), (2,1,4), (2,2,1)"""
+_ACROSS = """
+    (-2,-2,2), (-2,-1,3), (-2,1,-3), (-2,2,-2), (-1,-2,3), (-1,-1,4), (-1,1,-4), (-1,2,-3), (0,-2,6), (0,-1,6), (0,1,-6), (0,2,-6),
+    (1,-2,3), (1,-1,4), (1,1,-4), (1,2,-3), (2,-2,2), (2,-1,3), (2,1,-3), (2,2,-2)"""
+_ALONG = """
+    (-2,-2,2), (-2,-1,3), (-2,0,6), (-2,1,3), (-2,2,2), (-1,-2,3), (-1,-1,4), (-1,0,6), (-1,1,4), (-1,2,3),
+    (1,-2,-3), (1,-1,-4), (1,0,-6), (1,1,-4), (1,2,-3), (2,-2,-2), (2,-1,-3), (2,0,-6), (2,1,-3), (2,2,-2)"""
+_EDGES = "(-1,-1,0.5), (-1,0,1), (-1,1,0.5), (0,-1,1), (0,0,-6), (0,1,1), (1,-1,0.5), (1,0,1), (1,1,0.5)"
 
 
-def _conv(kernel, transposed=False):
-    return f"SELECT p.row, p.col, sum(q.v * t.w) AS v FROM p CROSS JOIN {_taps(kernel, transposed)} JOIN p q ON q.row = (p.row + t.a + {MAP_ROWS}) % {MAP_ROWS} AND q.col = (p.col + t.b + {MAP_COLUMNS}) % {MAP_COLUMNS} GROUP BY p.row, p.col"
+def _conv(taps, divisor=1):
+    return f"SELECT p.row, p.col, sum(q.v * t.w / {divisor}::DOUBLE) AS v FROM p CROSS JOIN (VALUES {taps}) t(a, b, w) JOIN p q ON q.row = (p.row + t.a + {MAP_ROWS}) % {MAP_ROWS} AND q.col = (p.col + t.b + {MAP_COLUMNS}) % {MAP_COLUMNS} GROUP BY p.row, p.col"
 
 
 def oracle_sql():
@@ -192,12 +195,14 @@ def oracle_sql():
         "som_neighbour_counts": " UNION ALL ".join((metric("squared", "a * a + b * b <= 9"), metric("manhattan", "abs(a) + abs(b) <= 3"), metric("max", "greatest(abs(a), abs(b)) <= 3"))),
         "som_cooling": "SELECT e AS epoch, (CASE WHEN e = 0 THEN 51 WHEN e >= 19 THEN 1 ELSE ceil(51 - e * 50 / 20.0::DOUBLE) END)::INT AS radius, round(CASE WHEN e = 0 THEN 1 WHEN e >= 19 THEN 0.1 ELSE 1 - e * 0.9::DOUBLE / 20 END, 6) AS rate, round(exp(e * ln(0.1) / 20), 6) AS exponential FROM range(0, 20) r(e)",
         "som_kernels": "SELECT x, round(exp(-(x * x)::DOUBLE / (17 * 17 / 2.0::DOUBLE)), 8) AS gauss, round((1 - pow(3 * x / 17::DOUBLE, 2)) * exp(-pow(3 * x / 17::DOUBLE, 2)), 8) AS mexhat, round((17 - x) / 17::DOUBLE, 8) AS cone, round(1 - x * x / 289::DOUBLE, 8) AS epanechnikov, 1.0::DOUBLE AS bubble FROM range(0, 17) r(x)",
-        "som_batch_epoch": f"""WITH {_BEST}, u AS (SELECT b.n AS neuron, unnest(v) AS x, unnest(range(0, len(v))) AS d FROM best), a AS (SELECT neuron, d, avg(x) AS x FROM u GROUP BY ALL), o AS (SELECT neuron, unnest(w) AS w, unnest(range(0, len(w))) AS d FROM k),
-            f AS (SELECT o.neuron, o.d, CASE WHEN a.x IS NULL THEN w ELSE w + 0.5 * (a.x - w) END AS w FROM o LEFT JOIN a USING (neuron, d)) SELECT neuron, round(sum(w), 5) AS total, round(max(abs(w)), 5) AS largest FROM f GROUP BY neuron""",
+        "som_batch_epoch": f"""WITH {_BEST}, u AS (SELECT b.n AS neuron, unnest(v) AS x, unnest(range(0, len(v))) AS d FROM best), a AS (SELECT neuron, d, sum(x) AS x, count(*) AS n FROM u GROUP BY ALL), o AS (SELECT neuron, row, col, unnest(w) AS w, unnest(range(0, len(w))) AS d FROM k),
+            size AS (SELECT max(row) + 1 AS rows FROM k), step AS (SELECT k.neuron AS from_n, o.neuron AS to_n, pow(least(abs(k.row - o.row), rows - abs(k.row - o.row)), 2) + pow(least(abs(k.col - o.col), 8 - abs(k.col - o.col)), 2) AS d2 FROM k CROSS JOIN k o CROSS JOIN size),
+            lead AS (SELECT to_n AS neuron, d, sum(x * exp(-d2 * d2 / (25 / 2.0::DOUBLE))) / sum(n * exp(-d2 * d2 / (25 / 2.0::DOUBLE))) AS x FROM step JOIN a ON a.neuron = from_n WHERE d2 <= 4 GROUP BY ALL),
+            f AS (SELECT o.neuron, o.d, CASE WHEN lead.x IS NULL THEN w ELSE w + 0.5 * (lead.x - w) END AS w FROM o LEFT JOIN lead USING (neuron, d)) SELECT neuron, round(sum(w), 5) AS total, round(max(abs(w)), 5) AS largest FROM f GROUP BY neuron""",
         "som_best_match_distance": "SELECT least(31, floor(d * 10))::INT AS class, count(*) AS n FROM (SELECT min(distance) AS d FROM bestmatches WHERE distance IS NOT NULL GROUP BY data_index) GROUP BY 1",
-        "image_gaussian": f"WITH {_PIC} SELECT row, col, round(v, 6) AS v FROM ({_conv(im.GAUSSIAN)})",
-        "image_edges": f"WITH {_PIC} SELECT row, col, round(v, 6) AS v FROM ({_conv(im.EDGES)})",
-        "image_gradient": f"WITH {_PIC} SELECT row, col, round(sqrt(x.v * x.v + y.v * y.v), 6) AS v FROM ({_conv(im.SOBEL)}) x JOIN ({_conv(im.SOBEL, True)}) y USING (row, col)",
+        "image_gaussian": f"WITH {_PIC} SELECT row, col, round(v, 6) AS v FROM ({_conv(_GAUSSIAN, 273)})",
+        "image_edges": f"WITH {_PIC} SELECT row, col, round(v, 6) AS v FROM ({_conv(_EDGES)})",
+        "image_gradient": f"WITH {_PIC} SELECT row, col, round(sqrt(x.v * x.v + y.v * y.v), 6) AS v FROM ({_conv(_ACROSS)}) x JOIN ({_conv(_ALONG)}) y USING (row, col)",
         "image_zoom": f"""WITH {_PIC} SELECT row * 2 + a AS row, col * 2 + b AS col, round(v00 * (1 - a / 2.0::DOUBLE) * (1 - b / 2.0::DOUBLE) + v01 * (1 - a / 2.0::DOUBLE) * b / 2.0::DOUBLE + v10 * a / 2.0::DOUBLE * (1 - b / 2.0::DOUBLE) + v11 * a / 2.0::DOUBLE * b / 2.0::DOUBLE, 6) AS v
             FROM {shift(0, 0, 'v00')} JOIN {shift(0, 1, 'v01')} USING (row, col) JOIN {shift(1, 0, 'v10')} USING (row, col) JOIN {shift(1, 1, 'v11')} USING (row, col) CROSS JOIN range(0, 2) s(a) CROSS JOIN range(0, 2) z(b)""",
         "image_tile": f"WITH {_PIC} SELECT row + a * {MAP_ROWS} AS row, col + b * {MAP_COLUMNS} AS col, round(v, 6) AS v FROM p CROSS JOIN range(0, 2) s(a) CROSS JOIN range(0, 2) z(b)",

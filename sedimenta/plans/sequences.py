@@ -20,7 +20,7 @@ QUERY = r"^\S*"
 def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, seq): whole texts of the documents as nucleotides."""
     d = table(spark, sf_dir, "documents").where(F.length("text") > 0)
-    return d.select("doc_id", F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", "N"), _FROM, _TO).alias("seq"))
+    return d.select("doc_id", F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", "N"), _FROM, _TO).alias("seq"), "text")
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def composition(spark, sf_dir):
     """Base shares, GC content and foreign letters of every text."""
     s = F.col("seq")
-    m = dna(spark, sf_dir).select("doc_id", sq.gc_content(s).alias("gc"), sq.mono_nt_freq(s).alias("f"), sq.n_share(s).alias("n"), sq.non_dna(s).alias("foreign"), F.length(sq.clean_nt(s)).alias("clean"))
+    m = dna(spark, sf_dir).select("doc_id", sq.gc_content(s).alias("gc"), sq.mono_nt_freq(s).alias("f"), sq.n_share(s).alias("n"), sq.non_dna(F.col("text")).alias("foreign"), F.length(sq.clean_nt(s)).alias("clean"))
     return m.select("doc_id", F.round("gc", 6).alias("gc"), *[F.round(f"f.{b}", 6).alias(b) for b in "actg"], F.round("n", 6).alias("n"), "foreign", "clean")
 
 
@@ -78,6 +78,12 @@ def kmer_shares(spark, sf_dir):
     return r.groupBy("kmer").agg(F.sum("n").alias("n"), F.round(F.sum("freq"), 5).alias("freq"), F.round(F.sum("relative"), 3).alias("relative"))
 
 
+def kmer_table(spark, sf_dir):
+    """The counts table of 2-mers of all windows of 300 letters at steps of 200."""
+    w = sq.subdivide(dna(spark, sf_dir).withColumn("name", F.col("doc_id").cast("string")), "name", "seq", 300, 200, 50)
+    return sq.kmer_table(w, ["fragment"], "seq", 2, skip=False)
+
+
 def kmer_lookup(spark, sf_dir):
     """The table of canonical k-mers for k = 4."""
     return sq.kmer_lookup(spark, 4)
@@ -123,8 +129,7 @@ def profile_lines(spark, sf_dir):
 
 def gene_map(spark, sf_dir):
     """Genes per sequence with their first and last position."""
-    g = an.gene_map(table(spark, sf_dir, "gff"), "seqid", "gff_start", "gff_end")
-    return g.select("seqid", "n_genes", F.get("genes", F.lit(0))["beg"].alias("first"), F.array_max(F.transform("genes", lambda x: x["end"])).alias("last"))
+    return an.gene_map(table(spark, sf_dir, "gff"), "seqid", "gff_start", "gff_end")
 
 
 def gene_totals(spark, sf_dir):
@@ -196,7 +201,7 @@ def clusters(spark, sf_dir):
 def cluster_samples(spark, sf_dir):
     """Members per cluster and sample, in long form, 0 where none."""
     members = an.cluster_of(_records(spark, sf_dir))
-    samples = sorted(r[0] for r in members.select(sq.sample_name(F.col("label")).alias("s")).where("s IS NOT NULL").distinct().collect())
+    samples = an.sample_names(members)
     wide = an.count_samples(members, samples).select("cluster", *[F.col(f"`{s}`").alias(f"s{k}") for k, s in enumerate(samples)])
     long = ct.to_long(wide, "cluster", [f"s{k}" for k in range(len(samples))])
     named = F.element_at(F.array(*map(F.lit, samples)), F.col("col_num"))
@@ -240,12 +245,12 @@ def class_by_coverage(spark, sf_dir):
 
 
 def class_by_hit(spark, sf_dir):
-    """Sequences per class of their last hit's subject group, group classes by size, 0 without a hit."""
-    h = hits(spark, sf_dir).where("s_id IS NOT NULL").select("seqid", "line_no", F.substring("s_id", 1, 4).alias("subject"))
+    """Sequences per class of their last hit's subject, classes by size, 0 without a hit."""
+    h = hits(spark, sf_dir).where("s_id IS NOT NULL").select("seqid", "line_no", F.col("s_id").alias("subject"))
     last = h.groupBy("seqid").agg(F.max_by("subject", "line_no").alias("name"))
     known = cl.class_table(last, "name", by_size=True).select("name", "class")
     all_seqs = table(spark, sf_dir, "gff").where("seqid IS NOT NULL").select("seqid").distinct()
-    got = all_seqs.join(last, "seqid", "left").join(F.broadcast(known), "name", "left")
+    got = all_seqs.join(last, "seqid", "left").join(known, "name", "left")
     return got.groupBy(F.coalesce("class", F.lit(0).cast("long")).alias("class")).agg(F.count("*").alias("n"))
 
 
@@ -299,7 +304,7 @@ def degrees(spark, sf_dir):
 
 def queries():
     groups = {
-        "seq": (composition, complements, two_bit, windows, kmers_plain, kmers_exact, kmer_shares, kmer_lookup, names, base_names),
+        "seq": (composition, complements, two_bit, windows, kmers_plain, kmers_exact, kmer_shares, kmer_table, kmer_lookup, names, base_names),
         "hits": (best_hit, best_hit_per_subject, hit_coverage, profile_lines), "genes": (gene_map, gene_totals, numbered_features, nucleotide_hits),
         "coverage": (coverage, coverage_any, gene_depth), "clusters": (clusters, cluster_samples, rarefaction),
         "classes": (class_table, class_by_name, class_by_source, class_by_length, class_by_coverage, class_by_hit, majority, name_index), "graph": (components, component_stats, orphans, degrees),
@@ -307,7 +312,7 @@ def queries():
     return {f"{g}_{f.__name__.removeprefix('class_')}": f for g, fs in groups.items() for f in fs}
 
 
-_DNA = f"dna AS (SELECT doc_id, translate(regexp_replace(lower(text), '[^a-z]', 'N', 'g'), '{_FROM}', '{_TO}') AS seq FROM documents WHERE length(text) > 0)"
+_DNA = f"dna AS (SELECT doc_id, translate(regexp_replace(lower(text), '[^a-z]', 'N', 'g'), '{_FROM}', '{_TO}') AS seq, text FROM documents WHERE length(text) > 0)"
 _HITS = r"h AS (SELECT *, regexp_extract(q_id, '^\S*') AS q, regexp_replace(regexp_extract(q_id, '^\S*'), '_\d+$', '') AS seqid, nullif(regexp_extract(q_id, '^(\S+?)_(?:scaffold|contig)', 1), '') AS sample FROM hits WHERE q_id IS NOT NULL)"
 _GENES = "g AS (SELECT feature_no, seqid, least(gff_start, gff_end) AS beg, greatest(gff_start, gff_end) AS end_ FROM gff WHERE seqid IS NOT NULL AND gff_start IS NOT NULL AND gff_end IS NOT NULL), f AS (SELECT *, seqid || '_' || row_number() OVER (PARTITION BY seqid ORDER BY beg, feature_no) AS name FROM g)"
 _DEPTH = "d AS (SELECT user_id AS seqid, event_type AS sample, (hour(ts) * 60 + minute(ts) + 1)::BIGINT AS pos, sum(floor(abs(value)))::BIGINT AS depth FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL GROUP BY ALL)"
@@ -328,12 +333,19 @@ def oracle_sql():
     records = f"{_HITS}, r AS (SELECT ['S', 'L', 'H', 'D', 'C', 'N', 'R'][line_no % 7 + 1] AS kind, aln_len AS cluster, pct_id, q AS label, sample FROM h WHERE aln_len IS NOT NULL)"
     tree = "e AS (SELECT c_custkey AS a, c_custkey // 10 AS b FROM customer WHERE c_custkey // 10 > 0 AND c_custkey // 10 IN (SELECT c_custkey FROM customer)), m AS (SELECT c_custkey AS node, (c_custkey // pow(10, length(c_custkey::VARCHAR) - 1)::BIGINT)::BIGINT AS component, c_nationkey + 1 AS length, c_acctbal AS coverage FROM customer WHERE c_custkey > 0 UNION ALL SELECT c_custkey, c_custkey, c_nationkey + 1, c_acctbal FROM customer WHERE c_custkey = 0)"
     return {
-        "seq_composition": f"WITH {_DNA} SELECT doc_id, {gc('seq')} AS gc, {share('A')} AS a, {share('C')} AS c, {share('T')} AS t, {share('G')} AS g, {share('N')} AS n, 0 AS foreign, length(regexp_replace(seq, '[^ACGT]', '', 'g'))::INT AS clean FROM dna".replace("0 AS foreign", '0::INT AS "foreign"'),
+        "seq_composition": f"WITH {_DNA} SELECT doc_id, {gc('seq')} AS gc, {share('A')} AS a, {share('C')} AS c, {share('T')} AS t, {share('G')} AS g, {share('N')} AS n, length(regexp_replace(text, '[AaCcGgTtRrYySsWwKkMmBbDdHhVvNn.-]', '', 'g'))::INT AS \"foreign\", length(regexp_replace(seq, '[^ACGT]', '', 'g'))::INT AS clean FROM dna",
         "seq_complements": f"WITH {_DNA} SELECT doc_id, md5(reverse(translate(seq, 'ACTG', 'TGAC'))) AS md5 FROM dna",
         "seq_two_bit": f"SELECT p_partkey, translate(regexp_replace(lower(p_type), '[^a-z]', 'a', 'g'), '{_FROM}', '{_TO}') AS seq, true AS same FROM part",
         "seq_windows": f"""WITH {_DNA}, b AS (SELECT doc_id, seq, length(seq) AS l, unnest(range(0, length(seq), 200)) AS b FROM dna WHERE length(seq) >= 350), w AS (SELECT doc_id::VARCHAR AS name, (b // 200 + 1)::INT AS n, (b + 1)::INT AS beg, least(b + 300, l)::INT AS end_, seq FROM b WHERE b + 300 <= l OR l - b > 50)
             SELECT name, n, beg, end_ AS "end", name || '_' || n || ' ' || beg || '-' || end_ AS fragment, {gc('seq[beg:end_]')} AS gc FROM w""",
         "seq_kmers_plain": f"WITH {_mers(4)} SELECT kmer, count(*) AS n FROM l GROUP BY kmer",
+        "seq_kmers_exact": f"""WITH {_DNA}, r AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(seq, '([ACGT]{{4,}}).?|.{{4}}', 1), lambda x: x <> '')) AS run FROM dna),
+            p AS (SELECT doc_id, substr(run, i::BIGINT, 4) AS m FROM (SELECT doc_id, run, unnest(range(1, length(run) - 2)) AS i FROM r)) SELECT doc_id, {_CANON} AS kmer, count(*) AS n FROM p GROUP BY ALL""",
+        "seq_kmer_lookup": f"""WITH b AS (SELECT unnest(['A', 'T', 'C', 'G']) AS b), p AS (SELECT x.b || y.b || z.b || w.b AS m FROM b x CROSS JOIN b y CROSS JOIN b z CROSS JOIN b w), c AS (SELECT m AS kmer, {_CANON} AS canonical FROM p)
+            SELECT kmer, canonical, (dense_rank() OVER (ORDER BY translate(canonical, 'ATCG', '0123')) - 1)::INT AS kmer_id FROM c""",
+        "seq_kmer_table": f"""WITH {_DNA}, b AS (SELECT doc_id, seq, length(seq) AS l, unnest(range(0, length(seq), 200)) AS b FROM dna WHERE length(seq) >= 350), w AS (SELECT doc_id || '_' || (b // 200 + 1) || ' ' || (b + 1) || '-' || least(b + 300, l) AS fragment, seq[b + 1:least(b + 300, l)] AS s FROM b WHERE b + 300 <= l OR l - b > 50),
+            p AS (SELECT fragment, substr(s, i::BIGINT, 2) AS m FROM (SELECT fragment, s, unnest(range(1, length(s))) AS i FROM w)), k AS (SELECT fragment, CASE WHEN regexp_full_match(m, '[ACGT]{{2}}') THEN {_CANON} END AS kmer FROM p)
+            SELECT fragment, {", ".join(f"count(CASE WHEN kmer = '{m}' THEN 1 END) AS {m}" for m in ("AA", "AT", "AC", "AG", "TA", "TC", "TG", "CC", "CG", "GC"))} FROM k GROUP BY fragment""",
         "seq_kmer_shares": f"""WITH {_mers(3)}, c AS (SELECT doc_id, kmer, count(*) AS n FROM l GROUP BY ALL), f AS (SELECT *, n / sum(n) OVER (PARTITION BY doc_id) AS freq FROM c),
             s AS (SELECT doc_id, (length(seq) - length(replace(seq, 'A', ''))) / length(seq)::DOUBLE AS a, (length(seq) - length(replace(seq, 'C', ''))) / length(seq)::DOUBLE AS c, (length(seq) - length(replace(seq, 'T', ''))) / length(seq)::DOUBLE AS t, (length(seq) - length(replace(seq, 'G', ''))) / length(seq)::DOUBLE AS g FROM dna),
             e AS (SELECT f.*, list_reduce(list_transform(string_split(kmer, ''), lambda x: CASE x WHEN 'A' THEN a WHEN 'C' THEN c WHEN 'T' THEN t ELSE g END), lambda x, y: x * y) AS e FROM f JOIN s USING (doc_id))
@@ -361,7 +373,7 @@ def oracle_sql():
         "classes_by_source": f"WITH {_HITS} SELECT sample AS name, row_number() OVER (ORDER BY min(line_no)) AS class FROM h WHERE sample IS NOT NULL GROUP BY sample",
         "classes_by_length": "WITH e AS (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM documents), p AS (SELECT list_transform(range(0, 64), lambda i: lo + i * (hi - lo) // 64) AS p FROM e) SELECT CASE WHEN n_chars > p[64] THEN 64 ELSE len(list_filter(p, lambda x: x < n_chars)) END::INT AS class, count(*) AS n FROM documents CROSS JOIN p WHERE n_chars IS NOT NULL GROUP BY 1",
         "classes_by_coverage": "WITH c AS (SELECT ln(abs(c_acctbal) + 1) AS x FROM customer), e AS (SELECT min(x) AS lo, max(x) AS hi FROM c) SELECT floor(31 * (x - lo) / (hi - lo))::INT AS class, count(*) AS n FROM c CROSS JOIN e GROUP BY 1",
-        "classes_by_hit": f"""WITH {_HITS}, l AS (SELECT seqid, arg_max(s_id[1:4], line_no) AS name FROM h WHERE s_id IS NOT NULL GROUP BY seqid), k AS (SELECT name, row_number() OVER (ORDER BY count(*) DESC, name) AS class FROM l GROUP BY name)
+        "classes_by_hit": f"""WITH {_HITS}, l AS (SELECT seqid, arg_max(s_id, line_no) AS name FROM h WHERE s_id IS NOT NULL GROUP BY seqid), k AS (SELECT name, row_number() OVER (ORDER BY count(*) DESC, name) AS class FROM l GROUP BY name)
             SELECT coalesce(class, 0) AS class, count(*) AS n FROM (SELECT DISTINCT seqid FROM gff WHERE seqid IS NOT NULL) LEFT JOIN l USING (seqid) LEFT JOIN k USING (name) GROUP BY 1""",
         "classes_majority": f"""WITH n AS (SELECT data_index, min(name) AS name FROM seq_names WHERE name IS NOT NULL GROUP BY data_index), b AS (SELECT data_index, min(bm_row // 21)::INT AS cls FROM bestmatches WHERE bm_row IS NOT NULL GROUP BY data_index),
             p AS (SELECT data_index, cls, {pick(1)} AS parent, ({pick(4)})::BIGINT - ({pick(3)})::BIGINT + 1 AS length FROM n JOIN b USING (data_index) WHERE {part}), s AS (SELECT parent, cls, sum(length) AS bases FROM p GROUP BY ALL), w AS (SELECT parent, cls AS winner FROM s QUALIFY row_number() OVER (PARTITION BY parent ORDER BY bases DESC, cls) = 1)

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +36,48 @@ def test_exact_kmers_follow_the_scan(spark):
         assert r.p == [s[p : p + 4] for p in range(len(s) - 3) if set(s[p : p + 4]) <= set("ACGT")]
 
 
+def canonical_count(mers):
+    from collections import Counter
+
+    table = {m: c for m, c, _ in sq.canonical_kmers(len(mers[0]) if mers else 1)}
+    return dict(Counter(table[m] for m in mers))
+
+
+@pytest.mark.parametrize("stretch", [1 << 18, 7, 64])
+@pytest.mark.parametrize("k", [1, 3, 4, 6])
+def test_counted_kmers_follow_the_scan(stretch, k, monkeypatch):
+    monkeypatch.setattr(sq, "SCAN_LETTERS", stretch)  # scans go on over the ends of stretches
+    rng = np.random.default_rng(k)
+    seqs = ["", "A", "NN", "ACGT" * 9, "N" * 30, "AÄCGTNé" * 3, *["".join(rng.choice(list("ACGTN"), int(n), p=[0.2, 0.2, 0.2, 0.2, 0.2])) for n in rng.integers(0, 90, 40)]]
+    for skip in (True, False):
+        got = {}
+        for text, code, n in sq.count_kmers(pa.array(["x", *seqs]).slice(1), k, skip):
+            for t, mer, m in zip(text.tolist(), sq._spelled(code, k).to_pylist(), n.tolist()):
+                got.setdefault(t, {}).setdefault(mer, 0)
+                got[t][mer] += m
+        for i, s in enumerate(seqs):
+            mers = kmers_by_scan(s, k) if skip else [s[p : p + k] for p in range(len(s) - k + 1) if set(s[p : p + k]) <= set("ACGT")]
+            assert got.get(i, {}) == canonical_count(mers), (s, skip)
+
+
+def test_kmer_tables_have_a_row_for_every_text(spark):
+    df = spark.createDataFrame([(1, "ACGTT"), (1, "NNN"), (2, None), (3, "")], "key long, s string")
+    rows = sq.kmer_table(df, ["key"], "s", 2).collect()
+    assert sorted((r.key, sum(r[1:])) for r in rows) == [(1, 0), (1, 4), (2, 0), (3, 0)] and len(rows[0]) == 11
+    counts = {(r.key, r.kmer): r.n for r in sq.kmer_counts(df, "key", "s", 2).collect()}
+    assert counts == {(1, "AC"): 2, (1, "CG"): 1, (1, "AA"): 1}
+
+
+def test_a_long_text_takes_bounded_memory():
+    import resource
+
+    text = ("ACGTTGCA" * 10 + "N") * 60_000  # 5 million letters
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    total = sum(int(n.sum()) for *_, n in sq.count_kmers(pa.array([text]), 4, False))
+    assert total == 60_000 * 77
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+
+
 @pytest.mark.parametrize("k,n", [(1, 2), (2, 10), (3, 32), (4, 136), (5, 512)])
 def test_canonical_kmers(spark, k, n):
     rows = sq.canonical_kmers(k)
@@ -60,7 +103,9 @@ def test_windows_follow_the_definition(spark):
         assert [(r.n, r.beg, r.end) for r in rows] == want
         assert all(r.seq == seq[r.beg - 1 : r.end] and r.fragment == f"s_{r.n} {r.beg}-{r.end}" for r in rows)
     with pytest.raises(ValueError):
-        sq.windows(F.lit(10), 2, 1)
+        sq.spans(10, 2, 1)
+    wide = spark.createDataFrame([("ü", "äß€" * 7)], "name string, seq string")
+    assert [r.seq for r in sq.subdivide(wide, "name", "seq", 10, 8).collect()] == [("äß€" * 7)[b : b + 10] for b in (0, 8, 16)]
 
 
 def test_two_bit_and_names(spark):
