@@ -2,8 +2,8 @@
 
 1. *Similarity graph.* Records are alike if their vectors lie within a radius and their grid positions within a window
    on a toroid. Vectors go through the inverted lists of ``lists``, whose probes lose nothing within the radius. No pair
-   is emitted here: each block of a list gives, per record, the number of its fellows and an exclusive-or of their
-   hashes, and partial results add up.
+   is emitted here: each block of a list gives, per record, the number of its fellows and sums of their hashes, and partial
+   results are put together.
 2. *Equal neighbourhoods.* Records with the same closed neighbourhood take the same part in every step of Markov
    clustering, so they become one node with a size. A group in which all are alike is one node, however large.
 3. *Markov clustering.* Columns of the flow matrix are spread over their neighbourhoods; expansion (squaring, as a
@@ -38,50 +38,69 @@ def _hash(ids: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _within(a: np.ndarray, b: np.ndarray, window: int, size: int) -> np.ndarray:
+    """Who of ``a`` lies within the window of whom of ``b`` on a ring, from a table of the positions that occur."""
+    x, i = np.unique(a, return_inverse=True)
+    y, j = np.unique(b, return_inverse=True)
+    d = np.abs(x[:, None] - y[None]) % size
+    return (np.minimum(d, size - d) <= window)[i][:, j]
+
+
 def _alike(asks: pa.Table, offers: pa.Table, radius: float, window: int, rows: int, columns: int):
     """(block of queries, block of offers, who is alike, squared distances) for all blocks."""
     q, c = matrix(asks.column("v")), matrix(offers.column("v"))
     middle = c.mean(0)
     near_q, near_c = q - middle, c - middle  # distances by products lose fewer digits near the origin
+    qq, cc = (near_q * near_q).sum(1), (near_c * near_c).sum(1)
     at = {n: (asks.column(n).to_numpy(), offers.column(n).to_numpy()) for n in ("bm_row", "bm_col")}
     limit = radius * radius
+    slack = 1e-6 * max(1.0, limit)
     for lo in range(0, len(q), CHUNK):
         hi = min(lo + CHUNK, len(q))
         for co in range(0, len(c), CHUNK):
             ch = min(co + CHUNK, len(c))
-            d2 = squares(near_q[lo:hi], near_c[co:ch])
-            near = d2 <= limit
-            edge = np.abs(d2 - limit) < 1e-6 * max(1.0, limit)
+            d2 = near_q[lo:hi] @ near_c[co:ch].T
+            d2 *= -2
+            d2 += qq[lo:hi, None]
+            d2 += cc[co:ch]
+            near = d2 <= limit + slack
+            for n, size in (("bm_row", rows), ("bm_col", columns)):
+                near &= _within(at[n][0][lo:hi], at[n][1][co:ch], window, size)
+            edge = near & (d2 > limit - slack)
             if edge.any():  # where rounding could decide, the distance is taken again without cancellation
                 i, j = np.nonzero(edge)
                 diff = q[lo + i] - c[co + j]
                 near[i, j] = (diff * diff).sum(1) <= limit
-            for n, size in (("bm_row", rows), ("bm_col", columns)):
-                i, j = np.nonzero(near)
-                d = np.abs(at[n][0][lo + i] - at[n][1][co + j]) % size
-                out = np.minimum(d, size - d) > window
-                near[i[out], j[out]] = False
             yield lo, hi, co, ch, near, d2
 
 
-def _neighbourhoods(radius: float, window: int, rows: int, columns: int):
+def _neighbourhoods(radius: float, window: int, rows: int, columns: int, close: bool):
+    """Per record of a block's queries: fellows among its offers, two sums of their hashes and, if asked for, how close they are.
+
+    All sums are products of the matrix of likeness with columns of small whole numbers, exact as doubles: 64-bit hashes
+    are added in four parts of 16 bits and put together, modulo 2^64.
+    """
+
     def run(t: pa.Table) -> pa.Table:
         asks, offers = t.filter(t.column("is_query")), t.filter(t.column("is_candidate"))
         n = asks.num_rows
-        degree, low = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max)
-        x1, x2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        close = np.zeros(n)
+        degree, x, near_to = np.zeros(n, np.int64), np.zeros((2, n), np.uint64), np.zeros(n)
         if n and offers.num_rows:
-            ids, weight = offers.column("index").to_numpy(), offers.column("copies").to_numpy()
-            h1, h2 = _hash(ids, 1), _hash(ids, 2)
+            ids, weight = offers.column("index").to_numpy(), offers.column("copies").to_numpy().astype(float)
+            hashes = [_hash(ids, 1), _hash(ids, 2)]
+            parts = np.stack([weight, *[((h >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(float) for h in hashes for k in range(4)]], axis=1)
             for lo, hi, co, ch, near, d2 in _alike(asks, offers, radius, window, rows, columns):
-                close[lo:hi] += np.where(near, radius - np.sqrt(d2), 0.0) @ weight[co:ch]
-                degree[lo:hi] += near @ weight[co:ch]
-                low[lo:hi] = np.minimum(low[lo:hi], np.where(near, ids[co:ch], np.iinfo(np.int64).max).min(1))
-                x1[lo:hi] ^= np.bitwise_xor.reduce(np.where(near, h1[co:ch], np.uint64(0)), axis=1)
-                x2[lo:hi] ^= np.bitwise_xor.reduce(np.where(near, h2[co:ch], np.uint64(0)), axis=1)
+                if not near.any():
+                    continue
+                got = near.astype(float) @ parts[co:ch]
+                degree[lo:hi] += got[:, 0].astype(np.int64)
+                for h in range(2):
+                    for k in range(4):
+                        x[h, lo:hi] += got[:, 1 + 4 * h + k].astype(np.uint64) << np.uint64(16 * k)
+                if close:
+                    near_to[lo:hi] += np.where(near, radius - np.sqrt(np.maximum(d2, 0)), 0.0) @ weight[co:ch]
         some = pa.array(degree > 0)
-        return pa.table({"index": asks.column("index"), "degree": degree, "low": low, "x1": x1.view(np.int64), "x2": x2.view(np.int64), "close": close}).filter(some)
+        return pa.table({"index": asks.column("index"), "degree": degree, "x1": x[0].view(np.int64), "x2": x[1].view(np.int64), "close": near_to}).filter(some)
 
     return run
 
@@ -101,7 +120,7 @@ def _links(radius: float, window: int, rows: int, columns: int):
     return run
 
 
-def similarity_graph(points: DataFrame, radius: float, window: int, rows: int, columns: int, sample_rows: int | None = None, list_rows: int = LIST_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similarity_graph(points: DataFrame, radius: float, window: int, rows: int, columns: int, sample_rows: int | None = None, list_rows: int = LIST_ROWS, close: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, nodes, links) of the graph of alike points ``(index, v, bm_row, bm_col)``.
 
     ``members``: index, node (the lowest index with the same closed neighbourhood), close (radius minus distance, summed
@@ -115,10 +134,11 @@ def similarity_graph(points: DataFrame, radius: float, window: int, rows: int, c
         return empty([], "index long, node long, close double"), empty([], "node long, size long, degree long"), empty([], "a long, b long")
     spec = (radius, window, rows, columns)
     keep = ["index", "v", "bm_row", "bm_col", "copies", "list", "block", "part", "is_candidate", "is_query"]
-    parts = place(search, centroids, expected, radius, 1).select(*keep).groupBy("list", "block", "part").applyInArrow(_neighbourhoods(*spec), "index long, degree long, low long, x1 long, x2 long, close double")
-    around = parts.groupBy("index").agg(F.sum("degree").alias("degree"), F.min("low").alias("low"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"), F.round(F.sum("close"), 6).alias("close"))
+    parts = place(search, centroids, expected, radius, 1).select(*keep).groupBy("list", "block", "part").applyInArrow(_neighbourhoods(*spec, close), "index long, degree long, x1 long, x2 long, close double")
+    # hashes of the same records come from the same blocks, whoever asks, so that equal neighbourhoods have equal marks
+    around = parts.groupBy("index").agg(F.sum("degree").alias("degree"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"), F.round(F.sum("close"), 6).alias("close"))
     around = cut(around.join(search.select("index", "copies"), "index"))
-    same_around = ["degree", "low", "x1", "x2"]
+    same_around = ["degree", "x1", "x2"]
     nodes = cut(around.groupBy(*same_around).agg(F.min("index").alias("node"), F.sum("copies").alias("size")))
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     of = around.withColumn("salt", F.pmod("index", F.lit(SALTS)).cast("int")).join(nodes.select(*same_around, "node", salt), [*same_around, "salt"]).select("index", "node", "close")
@@ -212,19 +232,20 @@ def positioned(vectors: DataFrame, matches: DataFrame) -> DataFrame:
     return usable(vectors.select("data_index", "v"), "data_index", "v").join(at, "index")
 
 
-def similarity_clusters(points: DataFrame, radius: float, window: int, rows: int, columns: int, sample_rows: int | None = None, list_rows: int = LIST_ROWS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def similarity_clusters(points: DataFrame, radius: float, window: int, rows: int, columns: int, sample_rows: int | None = None, list_rows: int = LIST_ROWS, rounds: int = ROUNDS, close: bool = True) -> tuple[DataFrame, DataFrame]:
     """(members, clusters) of points ``(index, v, bm_row, bm_col)``.
 
     ``members``: index, cluster_first (lowest index of its cluster), size, flow, close, complete, settled. ``clusters``:
     cluster_first, size, complete, settled, typical (indexes of the three members with the strongest flow; of equal flow, those
     closest to all that are like them, then the lower index). ``complete``: every two members are alike and none is like
-    a point outside. ``settled``: the flow of all its members stood still before the rounds were over.
+    a point outside. ``settled``: the flow of all its members stood still before the rounds were over. Without ``close``
+    this measure is 0 and members of equal flow are typical by their index.
 
     * null, NaN and odd-sized vectors and null positions take no part (``positioned`` leaves them out);
     * equal points cost as one, but count as many; an empty table gives two empty results;
     * a point that is like no other is a cluster of one.
     """
-    members, nodes, links = similarity_graph(points, radius, window, rows, columns, sample_rows, list_rows)
+    members, nodes, links = similarity_graph(points, radius, window, rows, columns, sample_rows, list_rows, close)
     found = cut(markov_clusters(nodes, links, rounds=rounds).join(nodes, "node"))
     # the exact check: a cluster of one node, whose records have as many fellows as the cluster has members
     whole = found.groupBy("cluster").agg(F.sum("size").alias("cluster_size"), F.min("node").alias("cluster_first"), F.max("degree").alias("most"), F.count("*").alias("parts"), F.min("settled").alias("all_settled"))

@@ -48,7 +48,7 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of the clusters of at least 5 points, every two alike and none like a point outside."""
-    members, _ = similarity_clusters(positioned(table(spark, sf_dir, "training_vectors"), table(spark, sf_dir, "bestmatches")), **ALIKE)
+    members, _ = similarity_clusters(positioned(table(spark, sf_dir, "training_vectors"), table(spark, sf_dir, "bestmatches")), **ALIKE, close=False)
     return members.where("complete AND size >= 5").select(F.col("index").alias("data_index"), "cluster_first")
 
 
@@ -64,7 +64,7 @@ CLOSE = {**ALIKE, "window": 2}
 
 def p4_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cluster of every point where best matches must be within 2 rows and columns, and its size."""
-    members, _ = similarity_clusters(positioned(table(spark, sf_dir, "training_vectors"), table(spark, sf_dir, "bestmatches")), **CLOSE)
+    members, _ = similarity_clusters(positioned(table(spark, sf_dir, "training_vectors"), table(spark, sf_dir, "bestmatches")), **CLOSE, close=False)
     return members.select(F.col("index").alias("data_index"), "cluster_first", "size", "settled")
 
 
