@@ -82,31 +82,49 @@ def promote(info: DataFrame, long: DataFrame, key: str, col_num: int) -> tuple[D
 
 
 def stats_all_ways(long: DataFrame, grade: str = "lite") -> DataFrame:
-    """Statistics per row, per column and of the matrix in one pass: ``GROUPING SETS`` with row_num and col_num null where all count."""
-    from sedimenta.functions.stats import moments, quartiles, quick, spread_of
+    """Statistics per row, per column and of the matrix: row_num and col_num are null where all count.
 
+    The quick grade is one pass of grouping sets. The others have deviations from each scope's own centre (``avdev``, and the
+    robust ones), so that the three scopes are described one by one.
+    """
+    from sedimenta.functions.stats import describe, quick
+
+    if grade != "quick":
+        none = F.lit(None)
+        each = (("row", ["row_num"], {"col_num": none.cast(long.schema["col_num"].dataType)}), ("column", ["col_num"], {"row_num": none.cast(long.schema["row_num"].dataType)}), ("matrix", [], {k: none.cast(long.schema[k].dataType) for k in ("row_num", "col_num")}))
+        out = None
+        for scope, keys, other in each:
+            part = describe(long.select(*keys, "value"), keys, "value", grade).withColumns({**other, "scope": F.lit(scope)})
+            out = part if out is None else out.unionByName(part)
+        return out
     x = F.col("value")
     parts = dict(quick(x))
-    if grade != "quick":
-        parts |= spread_of(x)
-    if grade in ("full", "robust"):
-        parts |= moments(x) | quartiles(x)
     sets = long.groupingSets([[F.col("row_num")], [F.col("col_num")], []], F.col("row_num"), F.col("col_num"))
     return sets.agg(F.grouping_id().alias("scope_bits"), *[c.alias(n) for n, c in parts.items()]).withColumn("scope", F.element_at(F.array(F.lit("cell"), F.lit("row"), F.lit("column"), F.lit("matrix")), (F.col("scope_bits") + 1).cast("int"))).drop("scope_bits")
 
 
+def chance(key: str, seed: int) -> Column:
+    """A number in [0, 1) from the first 52 bits of the MD5 of ``seed:key``."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def pick_number(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """Exactly ``n`` rows (all, if there are fewer), those of the lowest ``chance`` of their unique key."""
+    return df.orderBy(chance(key, seed), key).limit(n)
+
+
 def pick_random(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
     """Distinct rows without replacement, each with probability ``share``, by a seeded hash of ``key``: the same rows on every run."""
     if not 0 <= share < 1:
         raise ValueError("share must be at least 0 and below 1")
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    return df.where(chance(key, seed) < share)
 
 
 def sample_with_replacement(df: DataFrame, key: str, rate: float, seed: int = 0) -> DataFrame:
     """Rows repeated as a Poisson number of times of mean ``rate``, drawn by a hash of the key, with ``draw`` from 1."""
     import math
 
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    u = chance(key, seed)
     cum, p, times = 0.0, math.exp(-rate), F.lit(0)
     for k in range(1, max(8, int(rate * 4) + 8)):
         cum += p

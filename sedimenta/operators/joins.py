@@ -85,6 +85,55 @@ def neighbours_within(centres: np.ndarray, vectors: DataFrame, vector: str, radi
     return usable.mapInArrow(run, "centre long, n long").groupBy("centre").agg(F.sum("n").alias("n"))
 
 
+def condensed_distances(vectors: DataFrame, index: str, vector: str) -> DataFrame:
+    """(i, j, d): Euclidean distances of a codebook's vectors, for i > j; the codebook is of checked size and travels with the task."""
+    ids, w = codebook(vectors, index, vector)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, v in zip(b.column(0).to_numpy(), b.column(1)):
+                low = ids < i
+                d = np.sqrt(((w[low] - np.asarray(v.as_py())) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), i)), pa.array(ids[low]), pa.array(d)], ["i", "j", "d"])
+
+    return vectors.select(F.col(index).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, "i long, j long, d double")
+
+
+def match_distances(vectors: DataFrame, matches: DataFrame, neurons: DataFrame, index: str, vector: str) -> DataFrame:
+    """(index, row, col, distance) of every vector to the neuron that its stored best match names.
+
+    ``matches``: index, row, col. ``neurons``: row, col, w. Vectors without a match, or whose match is no neuron, have none.
+    """
+    from sedimenta.functions.vectors import distance
+
+    at = vectors.select(F.col(index).alias("index"), F.col(vector).cast("array<double>").alias("v")).join(matches.select("index", "row", "col"), "index")
+    return at.join(neurons.select("row", "col", "w"), ["row", "col"]).select("index", "row", "col", distance("euclid", F.col("v"), F.col("w")).alias("distance"))
+
+
+def local_neuron(vectors: DataFrame, vector: str, before: str, ids: np.ndarray, w: np.ndarray, columns: int, keep: list[str], box: int) -> DataFrame:
+    """Like ``nearest_neuron``, among the neurons at most ``box`` rows and columns from the neuron in ``before`` on the toroid.
+
+    ``ids`` are 0, 1, ... row by row; a vector whose ``before`` is null searches the whole map.
+    """
+    rows = len(ids) // columns
+    narrow = vectors.select(*keep, F.col(before).cast("long").alias("__b"), F.col(vector).cast("array<double>").alias("__v")).where(F.col("__v").isNotNull() & ~F.exists("__v", lambda x: x.isNull() | F.isnan(x)) & (F.size("__v") == w.shape[1]))
+    schema = T.StructType([*narrow.schema.fields[:-2], T.StructField("neuron", T.LongType()), T.StructField("distance2", T.DoubleType())])
+    k, step = len(keep), np.arange(-box, box + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(k + 1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            was = b.column(k).fill_null(-1).to_numpy()
+            n, d2 = np.zeros(len(x), np.int64), np.zeros(len(x))
+            for start in np.unique(was):  # vectors of one former match share their box
+                mine = was == start
+                near = ids if start < 0 else np.unique((((start // columns + step) % rows)[:, None] * columns + ((start % columns + step) % columns)[None]).ravel())
+                n[mine], d2[mine] = best_of(x[mine], near, w[near])
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(n), pa.array(d2)], [*b.schema.names[:k], "neuron", "distance2"])
+
+    return narrow.mapInArrow(run, schema)
+
+
 def points_in_intervals(points: DataFrame, intervals: DataFrame, key: str, pos: str, beg: str, end: str, width: int) -> DataFrame:
     """Points joined with the intervals of their key that hold them (inclusive).
 

@@ -68,11 +68,12 @@ def properties(m: DataFrame, tolerance: float = 0.0) -> DataFrame:
 
 
 def factory(spark: SparkSession, kind: str, rows: int, columns: int | None = None) -> DataFrame:
-    """Cells of a ``general`` (1 / (i + j + 1)), ``hilbert``, ``vandermonde`` or ``identity`` matrix."""
+    """Cells of a ``general`` (1 / (i + j + 1)), ``hilbert``, ``vandermonde``, ``random`` (seeded, in [0, 1)) or ``identity`` matrix."""
     columns = columns or rows
     at = spark.range(rows * columns).select((F.col("id") / columns).cast("long").alias("i"), (F.col("id") % columns).alias("j"))
     value = {
         "general": 1.0 / (F.col("i") + F.col("j") + 1), "hilbert": 1.0 / (F.col("i") + F.col("j") + 1),
+        "random": F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(rows), F.lit(columns), "id")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52)),
         "vandermonde": F.pow(F.col("i") + 1.0, F.lit(columns) - F.col("j") - 1), "identity": (F.col("i") == F.col("j")).cast("double"),
     }[kind]
     return at.select("i", "j", value.cast("double").alias("v"))
@@ -119,6 +120,18 @@ def swap_rows(m: DataFrame, a: int, b: int) -> DataFrame:
     return m.withColumn("i", F.when(F.col("i") == a, F.lit(b)).when(F.col("i") == b, F.lit(a)).otherwise(F.col("i")))
 
 
+def swap_columns(m: DataFrame, a: int, b: int) -> DataFrame:
+    return m.withColumn("j", F.when(F.col("j") == a, F.lit(b)).when(F.col("j") == b, F.lit(a)).otherwise(F.col("j")))
+
+
+def permuted(m: DataFrame, rows: list[int] | None = None, columns: list[int] | None = None) -> DataFrame:
+    """Rows and columns in a new order: place k gets what stood at the k-th number. Every number must stand exactly once."""
+    for order in (rows, columns):
+        if order is not None and sorted(order) != list(range(len(order))):
+            raise ValueError("not a permutation")
+    return selection_of(m, rows, columns)
+
+
 def combine(a: DataFrame, b: DataFrame, f) -> DataFrame:
     """f(x, y) for every cell that either matrix has; absent cells are 0."""
     both = a.select("i", "j", F.col("v").alias("x")).join(b.select("i", "j", F.col("v").alias("y")), ["i", "j"], "full")
@@ -302,10 +315,10 @@ def solve(a: np.ndarray, b: np.ndarray, method: str | None = None) -> np.ndarray
         x = triangular_solve(up, triangular_solve(low, np.asarray(b, float)[order], True), False)
         # one step of refinement
         return x + triangular_solve(up, triangular_solve(low, (b - a @ x)[order], True), False)
-    q, r = np.linalg.qr(a)
-    if (np.abs(np.diag(r)) < 1e-14 * np.abs(r).max()).any():
+    f = qr(np.asarray(a, float))
+    if not f.full_rank:
         raise ValueError("rank deficient")
-    return triangular_solve(r, q.T @ b, False)
+    return triangular_solve(f.r, f.q.T @ b, False)
 
 
 def inverse(a: np.ndarray) -> np.ndarray:
@@ -345,6 +358,44 @@ def symmetric_eigen(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.linalg.eigh(a)
 
 
+@dataclass
+class Qr:
+    """A = Q R by Householder reflections; ``h`` has the reflections' vectors as columns."""
+
+    q: np.ndarray
+    r: np.ndarray
+    h: np.ndarray
+
+    @property
+    def full_rank(self) -> bool:
+        d = np.abs(np.diag(self.r))
+        return bool((d > 1e-14 * max(d.max(initial=0.0), 1e-300)).all())
+
+
+def householder(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """(v, beta) with (I - beta v v') x = -sign(x0) |x| e0; beta 0 for a zero vector."""
+    v = np.array(x, float)
+    norm = float(np.sqrt((v * v).sum()))
+    if norm == 0:
+        return v, 0.0
+    v[0] += norm if v[0] >= 0 else -norm
+    return v, 2.0 / float((v * v).sum())
+
+
+def qr(a: np.ndarray) -> Qr:
+    """Factors of a matrix with at least as many rows as columns."""
+    m, n = a.shape
+    if m < n:
+        raise ValueError("needs at least as many rows as columns")
+    r, q, h = np.array(a, float), np.eye(m), np.zeros((m, n))
+    for k in range(n):
+        v, beta = householder(r[k:, k])
+        r[k:] -= beta * np.outer(v, v @ r[k:])
+        q[:, k:] -= beta * np.outer(q[:, k:] @ v, v)
+        h[k:, k] = v
+    return Qr(q[:, :n], np.triu(r[:n]), h)
+
+
 # dense kernels of small matrices, by their usual names
 def symv(a: np.ndarray, x: np.ndarray, lower: bool = True, alpha: float = 1.0, beta: float = 0.0, y: np.ndarray | None = None) -> np.ndarray:
     """alpha * A x + beta * y of a symmetric matrix of which only one half is read."""
@@ -353,6 +404,13 @@ def symv(a: np.ndarray, x: np.ndarray, lower: bool = True, alpha: float = 1.0, b
     return alpha * full @ x + (beta * y if y is not None else 0)
 
 
+def symm(a: np.ndarray, b: np.ndarray, left: bool = True, lower: bool = True, alpha: float = 1.0, beta: float = 0.0, c: np.ndarray | None = None) -> np.ndarray:
+    """alpha * A B (or B A) + beta * C of a symmetric A of which only one half is read."""
+    half = np.tril(a) if lower else np.triu(a)
+    full = half + half.T - np.diag(np.diag(a))
+    return alpha * (full @ b if left else b @ full) + (beta * c if c is not None else 0)
+
+
 def trmv(a: np.ndarray, x: np.ndarray, lower: bool = True, transposed: bool = False, unit: bool = False) -> np.ndarray:
     return _triangle(a, lower, transposed, unit) @ x
 

@@ -99,6 +99,14 @@ def kernel(kind: str, x: np.ndarray, r2: float) -> np.ndarray:
     raise ValueError(f"no kernel {kind}")
 
 
+def square_around(rows: int, columns: int, neuron: int, x: int) -> list[int]:
+    """The x by x cells around a neuron on the toroid, the neuron included, row by row from the upper left; x is odd."""
+    if x % 2 == 0:
+        raise ValueError("a square around a cell has an odd side")
+    r, c, half = neuron // columns, neuron % columns, x // 2
+    return [(r + a) % rows * columns + (c + b) % columns for a in range(-half, half + 1) for b in range(-half, half + 1)]
+
+
 def weights_of(kind: str, rows: int, columns: int, radius: float) -> np.ndarray:
     """Kernel weights from cell 0 to every cell, 0 beyond the radius."""
     x = toroid_distance2(rows, columns)

@@ -103,6 +103,35 @@ def best_match_distance(spark, sf_dir):
     return b.groupBy(distance_bin(F.col("distance") * 10).alias("class")).agg(F.count("*").alias("n"))
 
 
+def match_distances(spark, sf_dir):
+    """Distance of every vector to its stored best match, by a join of matches, vectors and weights."""
+    book, e = cut(codebook(spark, sf_dir)), embeddings(spark, sf_dir)
+    ids, w = joins.codebook(book, "neuron", "w")
+    best = joins.nearest_neuron(e, "v", ids, w, ["vec_id"])
+    at = best.select(F.col("vec_id").alias("index"), F.floor(F.col("neuron") / COLUMNS).alias("row"), (F.col("neuron") % COLUMNS).alias("col"))
+    return joins.match_distances(e, at, book, "vec_id", "v").select("index", "row", "col", F.round("distance", 6).alias("distance"))
+
+
+def local_matches(spark, sf_dir):
+    """Best matches among the neurons at most one row and column from the one that the vector's id names."""
+    book = cut(codebook(spark, sf_dir))
+    ids, w = joins.codebook(book, "neuron", "w")
+    e = embeddings(spark, sf_dir).withColumn("was", F.col("vec_id") % len(ids))
+    return joins.local_neuron(e, "v", "was", ids, w, COLUMNS, ["vec_id"], 1).select("vec_id", "neuron", F.round(F.sqrt("distance2"), 6).alias("distance"))
+
+
+def render(spark, sf_dir):
+    """The U-matrix zoomed twice and coloured with 16 colours, with the vectors' labels drawn over it: pixels per colour and class."""
+    book = cut(codebook(spark, sf_dir))
+    rows = book.agg(F.max("row") + 1).first()[0]
+    ids, w = joins.codebook(book, "neuron", "w")
+    picture = im.zoom(som.u_matrix(book, rows, COLUMNS).select("row", "col", F.col("height").alias("v")), rows, COLUMNS, 2)
+    best = joins.nearest_neuron(embeddings(spark, sf_dir), "v", ids, w, ["label"])
+    dots = im.overlay(best.select(F.floor(F.col("neuron") / COLUMNS).alias("row"), (F.col("neuron") % COLUMNS).alias("col"), F.col("label").alias("class")), 1, 2)
+    pixels = picture.join(dots, ["row", "col"], "left").select(im.palette_index(F.round("v", 9), 16).alias("colour"), F.coalesce("class", F.lit(-1)).alias("class"))
+    return pixels.groupBy("colour", "class").agg(F.count("*").alias("n"))
+
+
 # images ------------------------------------------------------------------------------------------------------------
 def picture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row, col, v): best matches per cell of the large map, scaled to 0 .. 1."""
@@ -153,7 +182,7 @@ def grown(spark, sf_dir):
 
 
 def queries():
-    fs = (project, classify, u_matrix, neighbour_counts, cooling, kernels, batch_epoch, train, best_match_distance, basins, grown)
+    fs = (project, classify, u_matrix, neighbour_counts, cooling, kernels, batch_epoch, train, best_match_distance, match_distances, local_matches, render, basins, grown)
     images = {
         "gaussian": _image(lambda p: im.convolve(p, im.GAUSSIAN, MAP_ROWS, MAP_COLUMNS)), "gradient": _image(lambda p: im.gradient(p, MAP_ROWS, MAP_COLUMNS)), "edges": _image(lambda p: im.convolve(p, im.EDGES, MAP_ROWS, MAP_COLUMNS)),
         "zoom": _image(lambda p: im.zoom(p, MAP_ROWS, MAP_COLUMNS, 2)), "tile": _image(lambda p: im.tile(p, MAP_ROWS, MAP_COLUMNS)), "histogram": histogram, "otsu": otsu, "palette": palette, "overlay": overlay,
@@ -200,6 +229,14 @@ def oracle_sql():
             lead AS (SELECT to_n AS neuron, d, sum(x * exp(-d2 * d2 / (25 / 2.0::DOUBLE))) / sum(n * exp(-d2 * d2 / (25 / 2.0::DOUBLE))) AS x FROM step JOIN a ON a.neuron = from_n WHERE d2 <= 4 GROUP BY ALL),
             f AS (SELECT o.neuron, o.d, CASE WHEN lead.x IS NULL THEN w ELSE w + 0.5 * (lead.x - w) END AS w FROM o LEFT JOIN lead USING (neuron, d)) SELECT neuron, round(sum(w), 5) AS total, round(max(abs(w)), 5) AS largest FROM f GROUP BY neuron""",
         "som_best_match_distance": "SELECT least(31, floor(d * 10))::INT AS class, count(*) AS n FROM (SELECT min(distance) AS d FROM bestmatches WHERE distance IS NOT NULL GROUP BY data_index) GROUP BY 1",
+        "som_match_distances": f"WITH {_BEST} SELECT vec_id AS index, b.n // {COLUMNS} AS row, b.n % {COLUMNS} AS col, round(b.d, 6) AS distance FROM best",
+        "som_local_matches": f"""WITH {_BOOK}, s AS (SELECT max(row) + 1 AS rows FROM k), z AS (SELECT vec_id, v, (vec_id % (rows * {COLUMNS})) // {COLUMNS} AS r, vec_id % {COLUMNS} AS c, rows FROM e CROSS JOIN s),
+            d AS (SELECT vec_id, list_distance(v, w) AS d, neuron FROM z JOIN k ON least(abs(k.row - r), rows - abs(k.row - r)) <= 1 AND least(abs(k.col - c), {COLUMNS} - abs(k.col - c)) <= 1) SELECT vec_id, arg_min(neuron, struct_pack(d := d, n := neuron)) AS neuron, round(min(d), 6) AS distance FROM d GROUP BY vec_id""",
+        "som_render": f"""WITH {_BEST}, s AS (SELECT max(row) + 1 AS rows FROM k), h AS (SELECT a.row, a.col, avg(list_distance(a.w, b.w)) AS h FROM k a CROSS JOIN s CROSS JOIN (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) t(dr, dc) JOIN k b ON b.row = (a.row + dr + rows) % rows AND b.col = (a.col + dc + {COLUMNS}) % {COLUMNS} GROUP BY a.row, a.col),
+            p AS (SELECT row, col, (h - min(h) OVER ()) / (max(h) OVER () - min(h) OVER ()) AS v, rows FROM h CROSS JOIN s), z AS (SELECT p.row * 2 + a AS row, p.col * 2 + b AS col, sum(q.v * CASE WHEN i = 0 THEN 1 - a / 2.0::DOUBLE ELSE a / 2.0::DOUBLE END * CASE WHEN j = 0 THEN 1 - b / 2.0::DOUBLE ELSE b / 2.0::DOUBLE END) AS v
+              FROM p CROSS JOIN range(0, 2) s(a) CROSS JOIN range(0, 2) t(b) CROSS JOIN range(0, 2) x(i) CROSS JOIN range(0, 2) y(j) JOIN p q ON q.row = (p.row + i) % p.rows AND q.col = (p.col + j) % {COLUMNS} GROUP BY ALL),
+            o AS (SELECT b.n // {COLUMNS} * 2 AS row, b.n % {COLUMNS} * 2 AS col, max(label) AS class FROM best GROUP BY ALL)
+            SELECT least(15, floor(round(v, 9) * 16))::INT AS colour, coalesce(class, -1) AS class, count(*) AS n FROM z LEFT JOIN o USING (row, col) GROUP BY ALL""",
         "image_gaussian": f"WITH {_PIC} SELECT row, col, round(v, 6) AS v FROM ({_conv(_GAUSSIAN, 273)})",
         "image_edges": f"WITH {_PIC} SELECT row, col, round(v, 6) AS v FROM ({_conv(_EDGES)})",
         "image_gradient": f"WITH {_PIC} SELECT row, col, round(sqrt(x.v * x.v + y.v * y.v), 6) AS v FROM ({_conv(_ACROSS)}) x JOIN ({_conv(_ALONG)}) y USING (row, col)",

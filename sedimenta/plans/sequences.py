@@ -173,6 +173,21 @@ def coverage_any(spark, sf_dir):
     return an.covered_by_any(d, passing, _lengths(d)).select("seqid", F.round("share", 8).alias("share"))
 
 
+def _day_windows(d):
+    starts = F.explode(F.sequence(F.lit(0), F.lit(1439), F.lit(240))).alias("b")
+    w = d.select("seqid").distinct().select("seqid", starts).where("b + 480 <= 1440 OR 1440 - b > 100")
+    return w.select(F.concat_ws("_", "seqid", "b").alias("window"), "seqid", (F.col("b") + 1).alias("beg"), F.least(F.col("b") + 480, F.lit(1440)).alias("end"))
+
+
+def window_table(spark, sf_dir):
+    """Counts table of depths in windows of the day (480 at steps of 240): a column per event type, 0 where it covers too little."""
+    d = depth(spark, sf_dir)
+    w = _day_windows(d)
+    counts, share = an.window_coverage(d, w, 0.004)
+    samples = an.sample_names(d.select(F.concat("sample", F.lit("_contig")).alias("label")))
+    return an.sample_table(counts, w.select("window"), "window", samples).join(share, "window").withColumn("share", F.round("share", 8))
+
+
 def gene_depth(spark, sf_dir):
     """Alignment lengths of hits summed over the genes that hold their first position, per sample."""
     h = hits(spark, sf_dir).where("q_beg IS NOT NULL AND aln_len IS NOT NULL")
@@ -208,6 +223,11 @@ def cluster_samples(spark, sf_dir):
     return long.select("cluster", named.alias("sample"), F.col("value").cast("long").alias("n"))
 
 
+def cluster_list(spark, sf_dir):
+    """Clusters of at least 20 members as lines, largest first."""
+    return an.cluster_lines(_records(spark, sf_dir), "size", 20)
+
+
 def rarefaction(spark, sf_dir):
     """Members and different subjects seen per sample after every 10,000 lines."""
     h = hits(spark, sf_dir).where("s_id IS NOT NULL").select(sq.sample_name(F.col("q")).alias("sample"), F.col("s_id").alias("cluster"), "line_no").where("sample IS NOT NULL")
@@ -306,7 +326,7 @@ def queries():
     groups = {
         "seq": (composition, complements, two_bit, windows, kmers_plain, kmers_exact, kmer_shares, kmer_table, kmer_lookup, names, base_names),
         "hits": (best_hit, best_hit_per_subject, hit_coverage, profile_lines), "genes": (gene_map, gene_totals, numbered_features, nucleotide_hits),
-        "coverage": (coverage, coverage_any, gene_depth), "clusters": (clusters, cluster_samples, rarefaction),
+        "coverage": (coverage, coverage_any, window_table, gene_depth), "clusters": (clusters, cluster_list, cluster_samples, rarefaction),
         "classes": (class_table, class_by_name, class_by_source, class_by_length, class_by_coverage, class_by_hit, majority, name_index), "graph": (components, component_stats, orphans, degrees),
     }
     return {f"{g}_{f.__name__.removeprefix('class_')}": f for g, fs in groups.items() for f in fs}
@@ -317,6 +337,7 @@ _HITS = r"h AS (SELECT *, regexp_extract(q_id, '^\S*') AS q, regexp_replace(rege
 _GENES = "g AS (SELECT feature_no, seqid, least(gff_start, gff_end) AS beg, greatest(gff_start, gff_end) AS end_ FROM gff WHERE seqid IS NOT NULL AND gff_start IS NOT NULL AND gff_end IS NOT NULL), f AS (SELECT *, seqid || '_' || row_number() OVER (PARTITION BY seqid ORDER BY beg, feature_no) AS name FROM g)"
 _DEPTH = "d AS (SELECT user_id AS seqid, event_type AS sample, (hour(ts) * 60 + minute(ts) + 1)::BIGINT AS pos, sum(floor(abs(value)))::BIGINT AS depth FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL GROUP BY ALL)"
 _COVER = f"{_DEPTH}, c AS (SELECT seqid, sample, sum(depth)::BIGINT AS bases, count(CASE WHEN depth > 0 THEN 1 END) / 1440.0::DOUBLE AS share FROM d GROUP BY ALL)"
+_EVENTS = ", ".join(f"coalesce(max(CASE WHEN sample = '{e}' AND passes THEN bases END), 0)::BIGINT AS {e}" for e in ("click", "error", "purchase", "signup", "view"))
 _CANON = "CASE WHEN translate(reverse(translate(m, 'ACTG', 'TGAC')), 'ATCG', '0123') < translate(m, 'ATCG', '0123') THEN reverse(translate(m, 'ACTG', 'TGAC')) ELSE m END"
 
 
@@ -363,6 +384,12 @@ def oracle_sql():
         "coverage_coverage": f"WITH {_COVER} SELECT seqid, sample, CASE WHEN share >= 0.001 THEN bases ELSE 0 END AS bases, round(share, 8) AS share FROM c",
         "coverage_coverage_any": f"WITH {_COVER} SELECT d.seqid, round(count(DISTINCT pos) / 1440.0::DOUBLE, 8) AS share FROM d JOIN c ON c.seqid = d.seqid AND c.sample IS NOT DISTINCT FROM d.sample WHERE share >= 0.001 AND depth > 0 AND c.sample IS NOT NULL GROUP BY d.seqid",
         "coverage_gene_depth": f"WITH {_GENES}, {_HITS} SELECT feature_no AS gene, sample, sum(aln_len)::BIGINT AS bases FROM h JOIN g ON g.seqid = h.seqid AND q_beg BETWEEN beg AND end_ WHERE aln_len IS NOT NULL GROUP BY ALL",
+        "coverage_window_table": f"""WITH {_DEPTH}, s AS (SELECT DISTINCT seqid FROM d), w AS (SELECT seqid || '_' || b AS window_, seqid, b + 1 AS beg, least(b + 480, 1440) AS end_ FROM s CROSS JOIN range(0, 1440, 240) t(b) WHERE b + 480 <= 1440 OR 1440 - b > 100),
+            i AS (SELECT window_, sample, pos, sum(depth) AS depth, any_value(end_ - beg + 1) AS size FROM w JOIN d ON d.seqid = w.seqid AND pos BETWEEN beg AND end_ WHERE depth > 0 GROUP BY ALL),
+            p AS (SELECT window_, sample, sum(depth) AS bases, count(*) / any_value(size)::DOUBLE >= 0.004 AS passes FROM i GROUP BY ALL), y AS (SELECT window_, count(DISTINCT pos) AS n FROM i JOIN p USING (window_, sample) WHERE passes GROUP BY window_)
+            SELECT w.window_ AS "window", {_EVENTS}, round(coalesce(any_value(y.n), 0) / any_value(end_ - beg + 1)::DOUBLE, 8) AS share FROM w LEFT JOIN p ON p.window_ = w.window_ LEFT JOIN y ON y.window_ = w.window_ GROUP BY w.window_""",
+        "clusters_cluster_list": f"""WITH {records}, c AS (SELECT cluster, max(CASE WHEN kind IN ('S', 'L') THEN label END) AS seed, count(CASE WHEN kind IN ('S', 'H', 'N', 'R') THEN 1 END) AS n_members, max(CASE WHEN kind IN ('C', 'D') THEN pct_id END) AS a FROM r GROUP BY cluster)
+            SELECT row_number() OVER (ORDER BY n_members DESC, cluster) AS rank, cluster, n_members, cluster || chr(9) || coalesce(seed, '') || chr(9) || n_members || chr(9) || coalesce(printf('%.1f', a), '*') AS line FROM c WHERE n_members >= 20""",
         "clusters_clusters": f"""WITH {records} SELECT cluster, max(CASE WHEN kind IN ('S', 'L') THEN label END) AS seed, max(CASE WHEN kind = 'S' THEN cluster END)::BIGINT AS seed_length, max(kind = 'L') AS is_library, count(CASE WHEN kind IN ('S', 'H', 'N', 'R') THEN 1 END) AS n_members,
             round(max(CASE WHEN kind IN ('C', 'D') THEN pct_id END), 4) AS avg_id, round(avg(CASE WHEN kind IN ('H', 'N', 'R') THEN pct_id END), 4) AS mean_pct_id FROM r GROUP BY cluster""",
         "clusters_cluster_samples": f"WITH {records}, m AS (SELECT cluster, sample FROM r WHERE kind IN ('S', 'H', 'N', 'R') AND sample IS NOT NULL) SELECT c.cluster, s.sample, count(m.cluster) AS n FROM (SELECT DISTINCT cluster FROM m) c CROSS JOIN (SELECT DISTINCT sample FROM m) s LEFT JOIN m ON m.cluster = c.cluster AND m.sample = s.sample GROUP BY ALL",

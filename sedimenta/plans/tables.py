@@ -42,9 +42,10 @@ def _stats(grade):
 
 
 def stats_all_ways(spark, sf_dir):
-    """Statistics per row, per column and of the matrix in one pass."""
-    out = ct.stats_all_ways(counts(spark, sf_dir), "full")
-    names = ["mean", "variance", "stdev", "skew", "kurtosis", "geomean", "q1", "median", "q3"]
+    """Robust statistics per row, per column and of the matrix."""
+    out = ct.stats_all_ways(counts(spark, sf_dir), "robust")
+    names = ["mean", "variance", "stdev", "skew", "kurtosis", "geomean", "q1", "median", "q3", "avdev", "mad", "trmean", "rstdev"]
+    out = out.withColumn("trmean", F.nanvl("trmean", F.lit(-1.0)))
     return rounded(out, *names, digits=4).select("scope", "row_num", "col_num", "n", "min", "max", "sum", *names)
 
 
@@ -166,6 +167,16 @@ def drawn(spark, sf_dir):
     return ct.sample_with_replacement(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 1.0)
 
 
+def picked_number(spark, sf_dir):
+    """Exactly 40 customers, without replacement."""
+    return ct.pick_number(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 40, 7)
+
+
+def quick_all_ways(spark, sf_dir):
+    """Quick statistics per row, per column and of the matrix, in one pass."""
+    return ct.stats_all_ways(counts(spark, sf_dir), "quick").select("scope", "row_num", "col_num", "n", "min", "max", "sum", F.round("mean", 4).alias("mean"), "nz_min")
+
+
 def scalar_functions(spark, sf_dir):
     """Every numeric function on prices and quantities."""
     a, b = F.col("l_discount") - 0.05, F.col("l_tax")
@@ -186,7 +197,7 @@ def colours(spark, sf_dir):
 
 def queries():
     named = {f"stats_{g}": _stats(g) for g in ("quick", "lite", "full", "robust")} | {f"norm_{m}": _norm(m) for m in [*_NORMS, "rztrans"]}
-    more = (stats_all_ways, quantiles, normalize_counts, boxcox_exponents, abundance_per_length, wide_counts, long_again, filter_by_info, sort_by_info, box, collapse_columns, collapse_rows, promote, stacked, pasted, last_hit, picked, drawn, scalar_functions, colours)
+    more = (stats_all_ways, quantiles, normalize_counts, boxcox_exponents, abundance_per_length, wide_counts, long_again, filter_by_info, sort_by_info, box, collapse_columns, collapse_rows, promote, stacked, pasted, last_hit, picked, picked_number, drawn, quick_all_ways, scalar_functions, colours)
     return named | {f"tables_{f.__name__}": f for f in more}
 
 
@@ -194,6 +205,10 @@ def _q(p):
     return f"quantile_cont(x, {p})"
 
 
+#: First 52 bits of a seeded MD5, as a number in [0, 1).
+_CHANCE = "(('0x' || substr(md5('{}:' || c_custkey), 1, 13))::BIGINT / pow(2, 52))"
+_ROBUST = """, round(CASE WHEN count(x) > 1 THEN avg(abs(x - m)) END, 4) AS avdev, round(quantile_cont(abs(x - md), 0.5), 4) AS mad, round(coalesce(avg(CASE WHEN x > lo AND x < hi THEN x END), -1), 4) AS trmean,
+    round(least((quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.349, stddev_samp(x)), 4) AS rstdev"""
 _MOMENTS = """CASE WHEN count(x) < 2 THEN NULL WHEN var_samp(x) = 0 THEN 0 ELSE sum(pow(x - m, 3)) / (count(x) * var_samp(x) * stddev_samp(x)) END AS skew_,
     CASE WHEN count(x) < 2 THEN NULL WHEN var_samp(x) = 0 THEN 0 ELSE sum(pow(x - m, 4)) / (count(x) * var_samp(x) * var_samp(x)) - 3 END AS kurtosis_,
     CASE WHEN count(x) < 2 THEN NULL WHEN min(x) > 0 THEN exp(avg(ln(CASE WHEN x > 0 THEN x END))) ELSE 1 END AS geomean_"""
@@ -219,9 +234,14 @@ def oracle_sql():
     sql["norm_rztrans"] = f"""WITH {_COUNTS}, q AS (SELECT col_num, quantile_cont(value, 0.1) AS lo, quantile_cont(value, 0.9) AS hi, least((quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349, stddev_samp(value)) AS s FROM c GROUP BY col_num),
         t AS (SELECT col_num, avg(value) AS tm FROM c JOIN q USING (col_num) WHERE value > lo AND value < hi GROUP BY col_num)
         SELECT row_num, col_num, round(CASE WHEN s > 0 THEN (value - tm) / s ELSE value END, 6) AS normalized FROM c JOIN q USING (col_num) JOIN t USING (col_num)"""
-    scope = "SELECT '{0}' AS scope, {1} AS row_num, {2} AS col_num, count(x) AS n, min(x) AS min, max(x) AS max, sum(x) AS sum, round(avg(x), 4) AS mean, round(var_samp(x), 4) AS variance, round(stddev_samp(x), 4) AS stdev, " + _MOMENTS + f", round({_q(0.25)}, 4) AS q1, round({_q(0.5)}, 4) AS median, round({_q(0.75)}, 4) AS q3 FROM (SELECT row_num, col_num, value AS x, avg(value) OVER ({{3}}) AS m FROM c) {{4}}"
+    scope = "SELECT '{0}' AS scope, {1} AS row_num, {2} AS col_num, count(x) AS n, min(x) AS min, max(x) AS max, sum(x) AS sum, round(avg(x), 4) AS mean, round(var_samp(x), 4) AS variance, round(stddev_samp(x), 4) AS stdev, " + _MOMENTS + f", round({_q(0.25)}, 4) AS q1, round({_q(0.5)}, 4) AS median, round({_q(0.75)}, 4) AS q3 {_ROBUST} FROM (SELECT row_num, col_num, value AS x, avg(value) OVER ({{3}}) AS m, quantile_cont(value, 0.5) OVER ({{3}}) AS md, quantile_cont(value, 0.1) OVER ({{3}}) AS lo, quantile_cont(value, 0.9) OVER ({{3}}) AS hi FROM c) {{4}}"
     every = " UNION ALL ".join(scope.format(*p) for p in (("row", "row_num", "NULL", "PARTITION BY row_num", "GROUP BY row_num"), ("column", "NULL", "col_num", "PARTITION BY col_num", "GROUP BY col_num"), ("matrix", "NULL", "NULL", "", "")))
     t = {
+        "picked": f"SELECT c_custkey FROM customer WHERE {_CHANCE.format(0)} < 0.1",
+        "picked_number": f"SELECT c_custkey FROM customer ORDER BY {_CHANCE.format(7)}, c_custkey LIMIT 40",
+        "drawn": f"""WITH RECURSIVE p(k, p, cum) AS (SELECT 0, exp(-1.0::DOUBLE), exp(-1.0::DOUBLE) UNION ALL SELECT k + 1, p / (k + 1), cum + p / (k + 1) FROM p WHERE k < 10), u AS (SELECT c_custkey, {_CHANCE.format(0)} AS u FROM customer),
+            n AS (SELECT c_custkey, count(*) AS n FROM u JOIN p ON u >= cum GROUP BY c_custkey) SELECT c_custkey, unnest(range(1, n + 1))::INT AS draw FROM n""",
+        "quick_all_ways": f"WITH {_COUNTS} " + " UNION ALL ".join(f"SELECT '{s}' AS scope, {r} AS row_num, {c} AS col_num, count(*) AS n, min(value) AS min, max(value) AS max, sum(value) AS sum, round(avg(value), 4) AS mean, coalesce(min(CASE WHEN value > 0 THEN value END), 'inf'::DOUBLE) AS nz_min FROM c {g}" for s, r, c, g in (("row", "row_num", "NULL", "GROUP BY row_num"), ("column", "NULL", "col_num", "GROUP BY col_num"), ("matrix", "NULL", "NULL", ""))),
         "stats_all_ways": f"WITH {_COUNTS} SELECT * EXCLUDE (skew_, kurtosis_, geomean_), round(skew_, 4) AS skew, round(kurtosis_, 4) AS kurtosis, round(geomean_, 4) AS geomean FROM ({every})",
         "quantiles": "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem GROUP BY l_returnflag",
         "normalize_counts": f"WITH {_COUNTS}, s AS (SELECT row_num, col_num, value / sum(value) OVER (PARTITION BY row_num) AS v FROM c) SELECT row_num, col_num, round(CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) ELSE v END, 6) AS value FROM s WINDOW w AS (PARTITION BY col_num)",

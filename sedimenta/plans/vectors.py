@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sedimenta.functions import vectors as vx
 from sedimenta.operators import density, joins, linalg
 from sedimenta.plans.tables import counts
-from sedimenta.session import table
+from sedimenta.session import cut, table
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,17 +34,24 @@ def centroids(spark, sf_dir) -> DataFrame:
     return m.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("w"))  # one array of d numbers per label
 
 
+#: Distances that get so large, or so near to a division by 0, that their logarithm is compared.
+LARGE = ("lquarter", "lthird", "lhalf", "bray_curtis")
+
+
 def distances(spark, sf_dir):
-    """All 15 distances between each vector and the next."""
+    """All 15 distances between each vector and the next, some as logarithms."""
     p = following(spark, sf_dir)
-    return p.select("vec_id", *[F.round(vx.distance(n, F.col("a"), F.col("b")), 5 if n not in ("lquarter", "lthird", "lhalf", "canberra", "bray_curtis") else 0).alias(n) for n in vx.DISTANCES])
+    return p.select("vec_id", *[F.round(F.log(F.abs(d)) if n in LARGE else d, 5).alias(n) for n in vx.DISTANCES for d in (vx.distance(n, F.col("a"), F.col("b")),)])
 
 
 def bounded(spark, sf_dir):
-    """Bounded distances: how many pairs stay within the threshold, and their mean."""
+    """All 11 bounded distances: how many pairs stay within the threshold, and the mean of their logarithms."""
     p = following(spark, sf_dir)
-    d = {n: vx.distance(n, F.col("a"), F.col("b"), t) for n, t in (("euclid", 1.5), ("manhattan", 9.0), ("maximum", 0.45))}
-    return p.agg(*[F.count(c).alias(f"n_{n}") for n, c in d.items()], *[F.round(F.avg(c), 6).alias(f"mean_{n}") for n, c in d.items()])
+    d = {n: vx.distance(n, F.col("a"), F.col("b"), t) for n, t in THRESHOLDS.items()}
+    return p.agg(*[F.count(c).alias(f"n_{n}") for n, c in d.items()], *[F.round(F.avg(F.log(c)), 6).alias(f"mean_{n}") for n, c in d.items()])
+
+
+THRESHOLDS = {"manhattan": 9.0, "euclid": 1.5, "squared_euclid": 2.0, "lquarter": 1.5e6, "lthird": 24_000.0, "lhalf": 450.0, "lp1": 9.0, "lp2": 1.4, "lp3": 0.85, "lp4": 0.65, "maximum": 0.45}
 
 
 def aggregates(spark, sf_dir):
@@ -69,10 +76,9 @@ def arithmetic(spark, sf_dir):
 
 
 def condensed(spark, sf_dir):
-    """Lower triangle of the distances between the labels' mean vectors: a handful of rows by design."""
-    c = centroids(spark, sf_dir)
-    a, b = c.select(F.col("label").alias("i"), F.col("w").alias("x")), c.select(F.col("label").alias("j"), F.col("w").alias("y"))
-    return a.join(F.broadcast(b), F.col("i") > F.col("j")).select("i", "j", F.round(vx.distance("euclid", F.col("x"), F.col("y")), 6).alias("d"))
+    """Lower triangle of the distances between the labels' mean vectors."""
+    d = joins.condensed_distances(cut(centroids(spark, sf_dir)), "label", "w")
+    return d.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.round("d", 6).alias("d"))
 
 
 def grid_distances(spark, sf_dir):
@@ -124,10 +130,36 @@ def mahalanobis(spark, sf_dir):
     return linalg.mahalanobis(e, "v", ["vec_id", "label"], "label", linalg.moments(e, "v", "label"))
 
 
+def _plane(spark, sf_dir):
+    """The first two dimensions of the vectors."""
+    return embeddings(spark, sf_dir).select("vec_id", "label", F.slice("v", 1, 2).alias("v"))
+
+
+def mahalanobis_plane(spark, sf_dir):
+    """The same in the first two dimensions, which has a closed form."""
+    e = _plane(spark, sf_dir)
+    d = linalg.mahalanobis(e, "v", ["vec_id", "label"], "label", linalg.moments(e, "v", "label"))
+    return d.select("vec_id", "label", F.round(d.columns[-1], 6).alias("distance"))
+
+
+def principal_plane(spark, sf_dir):
+    """Variances along the two principal components of the first two dimensions, which have a closed form."""
+    values, _ = linalg.principal_components(linalg.moments(_plane(spark, sf_dir), "v")[""])
+    return spark.createDataFrame([(k, round(float(v), 9)) for k, v in enumerate(values)], "component int, variance double")
+
+
+def eigen_sums(spark, sf_dir):
+    """Sum of the covariance's eigenvalues, of their squares, and of the principal variances: its trace, its squared norm, its trace."""
+    m = linalg.moments(training(spark, sf_dir), "v")[""]
+    values, _ = linalg.symmetric_eigen(m.cov)
+    principal, _ = linalg.principal_components(m)
+    return spark.createDataFrame([(round(float(values.sum()), 6), round(float((values**2).sum()), 6), round(float(principal.sum()), 6))], "total double, squares double, principal double")
+
+
 def gemm(spark, sf_dir):
     """Columns of the counts table times each other."""
     a = counts(spark, sf_dir).select(F.col("row_num").alias("i"), F.col("col_num").cast("long").alias("j"), F.col("value").alias("v"))
-    return linalg.gemm(linalg.transpose(a), a).select("i", "j", F.round("v", 0).alias("v"))
+    return linalg.gemm(linalg.transpose(a), a).select("i", "j", F.round("v", 2).alias("v"))
 
 
 def gemv(spark, sf_dir):
@@ -185,7 +217,7 @@ def pareto_radius(spark, sf_dir):
 
 
 def queries():
-    fs = (distances, bounded, aggregates, arithmetic, condensed, grid_distances, radius_counts, descriptives, covariance, correlation, principal_components, mahalanobis, gemm, gemv, ger, trace, factories, hash_buckets, stratified_sizes, pareto_radius)
+    fs = (distances, bounded, aggregates, arithmetic, condensed, grid_distances, radius_counts, descriptives, covariance, correlation, principal_components, principal_plane, eigen_sums, mahalanobis, mahalanobis_plane, gemm, gemv, ger, trace, factories, hash_buckets, stratified_sizes, pareto_radius)
     return {f"vectors_{f.__name__}": f for f in fs}
 
 
@@ -206,11 +238,11 @@ def oracle_sql():
     both = "FROM u GROUP BY vec_id"
     pair = lambda f, n: f"WITH {_T}, p AS (SELECT a.d AS i, b.d AS j, {f}(a.x, b.x) AS r FROM u a JOIN u b USING (data_index) WHERE a.d >= b.d GROUP BY ALL) SELECT i, j, round(r, 6) AS {n} FROM p"
     t = {
-        "distances": f"""WITH {_U} SELECT vec_id, round(sum(abs(x - y)), 5) AS manhattan, round(sqrt({sq}), 5) AS euclid, round({sq}, 5) AS squared_euclid, round({lp(0.25)}, 0) AS lquarter, round({lp('(1.0::DOUBLE / 3)')}, 0) AS lthird, round({lp(0.5)}, 0) AS lhalf,
-            round({lp(1)}, 5) AS lp1, round({lp(2)}, 5) AS lp2, round({lp(3)}, 5) AS lp3, round({lp(4)}, 5) AS lp4, round(max(abs(x - y)), 5) AS maximum, round(sum(abs(x - y) / (abs(x) + abs(y))), 0) AS canberra, round(sum(abs(x - y)) / sum(x + y), 0) AS bray_curtis,
+        "distances": f"""WITH {_U} SELECT vec_id, round(sum(abs(x - y)), 5) AS manhattan, round(sqrt({sq}), 5) AS euclid, round({sq}, 5) AS squared_euclid, round(ln({lp(0.25)}), 5) AS lquarter, round(ln({lp('(1.0::DOUBLE / 3)')}), 5) AS lthird, round(ln({lp(0.5)}), 5) AS lhalf,
+            round({lp(1)}, 5) AS lp1, round({lp(2)}, 5) AS lp2, round({lp(3)}, 5) AS lp3, round({lp(4)}, 5) AS lp4, round(max(abs(x - y)), 5) AS maximum, round(sum(abs(x - y) / (abs(x) + abs(y))), 5) AS canberra, round(ln(abs(sum(abs(x - y)) / sum(x + y))), 5) AS bray_curtis,
             round(1 - corr(x, y), 5) AS correlation, round(1 - sum(x * y) / sqrt(sum(x * x)) / sqrt(sum(y * y)), 5) AS cosine {both}""",
-        "bounded": f"""WITH {_U}, d AS (SELECT sqrt({sq}) AS e, sum(abs(x - y)) AS m, max(abs(x - y)) AS h {both}) SELECT count(CASE WHEN e <= 1.5 THEN 1 END) AS n_euclid, count(CASE WHEN m <= 9 THEN 1 END) AS n_manhattan, count(CASE WHEN h <= 0.45 THEN 1 END) AS n_maximum,
-            round(avg(CASE WHEN e <= 1.5 THEN e END), 6) AS mean_euclid, round(avg(CASE WHEN m <= 9 THEN m END), 6) AS mean_manhattan, round(avg(CASE WHEN h <= 0.45 THEN h END), 6) AS mean_maximum FROM d""",
+        "bounded": f"""WITH {_U}, d AS (SELECT sum(abs(x - y)) AS manhattan, sqrt({sq}) AS euclid, {sq} AS squared_euclid, {lp(0.25)} AS lquarter, {lp('(1.0::DOUBLE / 3)')} AS lthird, {lp(0.5)} AS lhalf, sum(abs(x - y)) AS lp1, sqrt({sq}) AS lp2, {lp(3)} AS lp3, {lp(4)} AS lp4, max(abs(x - y)) AS maximum {both})
+            SELECT {", ".join(f"count(CASE WHEN {n} <= {t} THEN 1 END) AS n_{n}, round(avg(CASE WHEN {n} <= {t} THEN ln({n}) END), 6) AS mean_{n}" for n, t in (("manhattan", 9), ("euclid", 1.5), ("squared_euclid", 2), ("lquarter", 1500000), ("lthird", 24000), ("lhalf", 450), ("lp1", 9), ("lp2", 1.4), ("lp3", 0.85), ("lp4", 0.65), ("maximum", 0.45)))} FROM d""",
         "aggregates": f"""WITH {_U}, q AS (SELECT vec_id, quantile_cont(x, 0.2) AS lo, quantile_cont(x, 0.8) AS hi {both})
             SELECT vec_id, arg_max(d, struct_pack(m := abs(x), k := -d))::INT AS iamax, round(min(x), 6) AS low, round(max(x), 6) AS high, round(sum(x), 6) AS total, round(avg(x), 6) AS mean, round(var_samp(x), 6) AS variance, round(stddev_samp(x), 6) AS stdev, round(sum(x * y), 6) AS dot,
             round(sqrt(sum(x * x)), 6) AS norm2, round(sum(abs(x)), 6) AS asum, round(covar_samp(x, y), 6) AS covariance, round(corr(x, y), 6) AS correlation, round(quantile_cont(x, 0.25), 6) AS q1, round(quantile_cont(x, 0.5), 6) AS median,
@@ -226,7 +258,12 @@ def oracle_sql():
         "descriptives": f"WITH {_T} SELECT d AS dimension, min(x) AS low, max(x) AS high, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS stdev FROM u GROUP BY d",
         "covariance": pair("covar_samp", "covariance"),
         "correlation": pair("corr", "correlation"),
-        "gemm": f"{_K} SELECT a.j AS i, b.j, round(sum(a.v * b.v), 0) AS v FROM c a JOIN c b USING (i) GROUP BY a.j, b.j",
+        "principal_plane": """WITH x AS (SELECT embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), m AS (SELECT var_samp(x) AS a, var_samp(y) AS c, covar_samp(x, y) AS b FROM x)
+            SELECT k::INT AS component, round((a + c) / 2 + (1 - 2 * k) * sqrt(pow((a - c) / 2, 2) + b * b), 9) AS variance FROM m CROSS JOIN range(0, 2) t(k)""",
+        "eigen_sums": f"WITH {_T}, p AS (SELECT a.d AS i, b.d AS j, covar_samp(a.x, b.x) AS r FROM u a JOIN u b USING (data_index) GROUP BY ALL) SELECT round(sum(CASE WHEN i = j THEN r END), 6) AS total, round(sum(r * r), 6) AS squares, round(sum(CASE WHEN i = j THEN r END), 6) AS principal FROM p",
+        "mahalanobis_plane": """WITH x AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), m AS (SELECT label, avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, var_samp(y) AS c, covar_samp(x, y) AS b FROM x GROUP BY label)
+            SELECT vec_id, label, round(sqrt((c * (x - mx) * (x - mx) - 2 * b * (x - mx) * (y - my) + a * (y - my) * (y - my)) / (a * c - b * b)), 6) AS distance FROM x JOIN m USING (label)""",
+        "gemm": f"{_K} SELECT a.j AS i, b.j, round(sum(a.v * b.v), 2) AS v FROM c a JOIN c b USING (i) GROUP BY a.j, b.j",
         "gemv": f"{_K} SELECT i, round(2 * sum(v * j), 2) AS v FROM c GROUP BY i",
         "ger": f"{_K} SELECT i, j, round(v + 0.5 * i * j, 2) AS v FROM c",
         "trace": f"{_K} SELECT sum(v) AS trace FROM c WHERE i = j",

@@ -1,4 +1,4 @@
-"""Session helpers: table access, the shared checkpoint folder, size-checked broadcasts."""
+"""Session helpers: table access and the shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -6,10 +6,8 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Largest side that this library broadcasts by itself, in rows and in estimated bytes.
-BROADCAST_MAX_ROWS = 200_000
+#: Largest side that this library broadcasts by itself, in measured bytes.
 BROADCAST_MAX_BYTES = 8 << 20
 
 
@@ -21,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint folder of the session: the one named in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a notebook on one machine) a folder of our own is set.
+    Only where the session names none and runs on one machine (tests, a notebook) a folder of our own is set; on a
+    cluster a folder that all machines share must be named.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -29,6 +28,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
         named = os.path.join(tempfile.gettempdir(), "sedimenta-checkpoints")
     sc.setCheckpointDir(named)
     return named
@@ -38,17 +39,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder, so that lost executors cost no recomputation of its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` in as many partitions as the session shuffles into, if it has fewer.
-
-    Only for narrow inputs that fan out into much work per row; a scan that is already split enough stays as it is.
-    """
-    want = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
-
-
-def broadcast_if_small(df: DataFrame, rows: int, bytes_per_row: int = 64) -> DataFrame:
-    """Hint a broadcast only if a row count known to the caller proves that it fits; else leave the join to the planner."""
-    return F.broadcast(df) if rows <= BROADCAST_MAX_ROWS and rows * bytes_per_row <= BROADCAST_MAX_BYTES else df

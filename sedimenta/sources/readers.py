@@ -30,13 +30,13 @@ def header(spark: SparkSession, path: str) -> list[str]:
     return [r[0].rstrip("\r")[1:].strip(" ") for r in got]
 
 
-def positioned(spark: SparkSession, path: str) -> DataFrame:
+def positioned(spark: SparkSession, path: str, ignore: str = r"^[#%]|^\s*$") -> DataFrame:
     """(at, line) of a body whose order matters: ``at`` from 0, in the order of file names and of lines within a file.
 
     Blocks of files are counted, and each line's place is its place in its block plus the lines of the blocks before.
     """
     rows = spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("line"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("id"))
-    rows = rows.where(~F.col("line").rlike(r"^[#%]|^\s*$"))
+    rows = rows.where(~F.col("line").rlike(ignore))
     blocks = rows.groupBy("f", "b").agg(F.count("*").alias("n"))
     before = blocks.select("f", "b", (F.sum("n").over(Window.orderBy("f", "b")) - F.col("n")).alias("before"))  # a row per block
     own = rows.withColumn("k", F.row_number().over(Window.partitionBy("f", "b").orderBy("id")))
@@ -143,19 +143,56 @@ def blast(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).select(*[_tab(k, t).alias(n) for k, (n, t) in enumerate(zip(fields, kinds))])
 
 
-def gff(spark: SparkSession, path: str) -> DataFrame:
-    """Features: seqid, source, type, start, end, score, strand, frame, length, attributes (map of the plain ones)."""
+def key_values(text: Column) -> Column:
+    """Map of ``key=value`` pieces parted by ``;``. A quoted value keeps its ``;`` and loses its quotes; of a key that
+    stands more than once the first value counts; a piece without ``=`` has a null value."""
+    pieces = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r'((?:"[^"]*+"|[^;"]|")++)'), F.lit(1)), lambda p: F.trim(p)), lambda p: p != "")
+    pairs = F.transform(pieces, lambda p: F.struct(F.trim(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), F.when(p.contains("="), F.regexp_replace(F.regexp_replace(p, r"^[^=]*=\s*", ""), r'^"(.*)"$', "$1")).alias("v")))
+    keys = F.transform(pairs, lambda p: p["k"])
+    return F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) == i + 1))
+
+
+def _feature() -> list[Column]:
     score = F.when(F.trim(_tab(5)) != ".", _tab(5, "double"))
-    return lines(spark, path).select(
+    return [
         _tab(0).alias("seqid"), _tab(1).alias("source"), _tab(2).alias("type"), _tab(3, "bigint").alias("start"), _tab(4, "bigint").alias("end"), score.alias("score"),
-        _tab(6).alias("strand"), _tab(7).alias("frame"), (_tab(4, "bigint") - _tab(3, "bigint") + 1).alias("length"), F.str_to_map(F.regexp_replace(_tab(8), ";+$", ""), F.lit(";"), F.lit("=")).alias("attributes"),
-    )
+        _tab(6).alias("strand"), _tab(7).alias("frame"), (_tab(4, "bigint") - _tab(3, "bigint") + 1).alias("length"), key_values(_tab(8)).alias("attributes"),
+    ]
+
+
+def gff(spark: SparkSession, path: str) -> DataFrame:
+    """Features: seqid, source, type, start, end, score, strand, frame, length, attributes (a map, see ``key_values``)."""
+    return lines(spark, path).select(*_feature())
 
 
 def gff_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """Key-value comments of gene finders (``# Sequence Data:`` and ``# Model Data:``): (kind, values)."""
-    rows = spark.read.text(path).where(F.col("value").rlike(r"^# (?:Sequence|Model) Data:"))
-    return rows.select(F.lower(F.regexp_extract("value", r"^# (\w+) Data:", 1)).alias("kind"), F.str_to_map(F.regexp_replace(F.regexp_extract("value", r"Data:\s*(.*)$", 1), '"', ""), F.lit(";"), F.lit("=")).alias("values"))
+    """Sequences of a gene finder's GFF: (at, seqid, values), ``at`` in the file's order.
+
+    A sequence's data are a ``# Sequence Data:`` line and the ``# Model Data:`` line behind it, put together in one map;
+    its name is the first word of ``seqhdr``.
+    """
+    said = positioned(spark, path, r"^\s*$|^##").where(F.col("line").startswith("# ")).select("at", F.regexp_extract("line", r"^# (\w+) Data:", 1).alias("kind"), F.regexp_extract("line", r"Data:\s*(.*)$", 1).alias("text"))
+    model = said.where("kind = 'Model'").select((F.col("at") - 1).alias("at"), F.col("text").alias("model"))
+    both = said.where("kind = 'Sequence'").join(model, "at", "left").select("at", key_values(F.concat_ws(";", "text", "model")).alias("values"))
+    return both.select("at", F.regexp_extract(F.col("values")["seqhdr"], r"^\S*", 0).alias("seqid"), "values")
+
+
+def gene_finder(spark: SparkSession, path: str) -> DataFrame:
+    """Genes of a gene finder's GFF with the data of their sequence: the columns of ``gff``, ``n`` (from 1 within the
+    sequence, in the file's order), ``gene`` (<seqid>_<n>) and ``sequence`` (map; null for a sequence without comments)."""
+    from sedimenta.operators.annotate import number_features
+
+    features = positioned(spark, path, r"^\s*$|^##").where(~F.col("line").startswith("#")).select("at", *_feature())
+    genes = number_features(features, "seqid", ["at"]).withColumnRenamed("name", "gene").drop("at")
+    return genes.join(gff_sequences(spark, path).select("seqid", F.col("values").alias("sequence")), "seqid", "left")
+
+
+def other_code(sequences: DataFrame, table: str = "11") -> DataFrame:
+    """Sequences (of ``gff_sequences``) whose translation table isn't the given one, in the order of their number."""
+    from sedimenta.operators.counts import numbered
+
+    kept = sequences.where(F.coalesce(F.col("values")["transl_table"], F.lit("")) != table)
+    return numbered(kept, [F.col("values")["seqnum"].cast("long"), F.col("seqid")], "place").select("place", "seqid", F.col("values")["seqhdr"].alias("seqhdr"))
 
 
 def hmm_table(spark: SparkSession, path: str, domains: bool = False) -> DataFrame:
@@ -193,3 +230,15 @@ def sample_counts(spark: SparkSession, path: str) -> DataFrame:
     """(sample, n) of lines ``sample number``."""
     rx = r"^(\S+)\s+(\d+)"
     return lines(spark, path).where(F.col("line").rlike(rx)).select(F.regexp_extract("line", rx, 1).alias("sample"), F.regexp_extract("line", rx, 2).cast("bigint").alias("n"))
+
+
+#: Readers by what a file's name ends in.
+BY_ENDING = {"lrn": training, "wts": weights, "umx": matrix_rows, "bm": best_matches, "cls": classes, "cmx": classes, "names": names, "rgb": colours, "uc": clusters}
+
+
+def typed(spark: SparkSession, path: str) -> DataFrame:
+    """A map's or training file by its ending; ValueError for one that no reader is for."""
+    ending = path.rstrip("/").rpartition(".")[2].lower()
+    if ending not in BY_ENDING:
+        raise ValueError(f"no reader for .{ending}")
+    return BY_ENDING[ending](spark, path)

@@ -38,6 +38,38 @@ def write_names(points: DataFrame, path: str, index: str, name: str, description
     _write(points, [f"% {points.count()}"], path, F.concat_ws("\t", _text(F.col(index)), _text(F.col(name)), *([_text(F.col(description))] if description else [])))
 
 
+def write_training_pair(points: DataFrame, path: str, index: str, v: str, name: str, names: list[str]) -> None:
+    """``<path>.lrn`` and ``<path>.names`` of the same points."""
+    write_training(points, f"{path}.lrn", index, v, names)
+    write_names(points, f"{path}.names", index, name)
+
+
+def write_map(neurons: DataFrame, matches: DataFrame, path: str, rows: int, columns: int, dimensions: int) -> None:
+    """What a training leaves behind: ``<path>.wts``, ``<path>.bm`` and ``<path>.umx``."""
+    from sedimenta.operators.som import u_matrix
+
+    write_weights(neurons, f"{path}.wts", rows, columns, dimensions)
+    write_best_matches(matches, f"{path}.bm", rows, columns)
+    write_u_matrix(u_matrix(neurons, rows, columns), f"{path}.umx", rows, columns)
+
+
+def write_gene_finder(features: DataFrame, sequences: DataFrame, path: str) -> None:
+    """A gene finder's GFF: each sequence's two comment lines, then its features by their start.
+
+    ``features``: seqid, source, type, start, end, score, strand, frame, attributes, order. ``sequences``: seqid, seqnum,
+    seqlen, transl_table. Lines are put in one distributed order; no sequence is gathered.
+    """
+    columns = ("seqid", "source", "type", "start", "end", "score", "strand", "frame", "attributes")
+    said = sequences.select(
+        "seqid", "seqnum", F.posexplode(F.array(
+            F.concat(F.lit("# Sequence Data: seqnum="), "seqnum", F.lit(";seqlen="), "seqlen", F.lit(';seqhdr="'), "seqid", F.lit(' a sequence"')),
+            F.concat(F.lit("# Model Data: version=1;run_type=Single;transl_table="), "transl_table"))).alias("k", "value"), F.lit(None).cast("long").alias("order"))
+    body = features.join(sequences.select("seqid", "seqnum"), "seqid").select("seqid", "seqnum", F.lit(2).alias("k"), F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in columns]).alias("value"), F.col("order").cast("long").alias("order"))
+    keys = ["seqnum", "k", "order"]
+    ordered = said.select("seqid", "seqnum", "k", "value", "order").unionByName(body).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    _write(ordered, ["##gff-version 3"], path, F.col("value"))
+
+
 def write_weights(neurons: DataFrame, path: str, rows: int, columns: int, dimensions: int) -> None:
     """``.wts``: neurons in order, a range of them in each part; a neuron that is missing is written as NaN to keep the places."""
     from sedimenta.operators.som import cells
