@@ -7,13 +7,14 @@ window, so that a scope of any size, the whole matrix included, is summed in par
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.functions.stats import beside, exact_quantiles
+from sedimenta.session import cut
+
 METHODS = ("by_sum", "by_norm", "zero_to_one", "zero_to_half", "logtrans", "boxcox", "ztrans", "rztrans")
 
 
@@ -57,13 +58,15 @@ def normalize(df: DataFrame, method: str, keys: list[str], value: str = "value",
 def _robust(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """(x - trimmed mean) / min(IQR / 1.349, stdev)."""
     x = F.col(value)
-    q = F.percentile(x, F.array(*map(F.lit, (0.1, 0.25, 0.75, 0.9))))
-    first = df.groupBy(*keys).agg(q.alias("__q"), F.stddev_samp(x).alias("__sd"))
-    held = df.join(first, keys) if keys else df.crossJoin(F.broadcast(first))
-    mean = held.groupBy(*keys).agg(F.avg(F.when((x > F.col("__q")[0]) & (x < F.col("__q")[3]), x)).alias("__tm"))
-    both = held.join(mean, keys) if keys else held.crossJoin(F.broadcast(mean))
-    spread = F.least((F.col("__q")[2] - F.col("__q")[1]) / 1.349, F.col("__sd"))
-    return both.withColumn(out, F.when(spread > 0, (x - F.col("__tm")) / spread).otherwise(x)).drop("__q", "__sd", "__tm")
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+    q = exact_quantiles(df, keys, value, {"__p10": 0.1, "__q1": 0.25, "__q3": 0.75, "__p90": 0.9})
+    scope = cut(beside(df.groupBy(*keys).agg(F.stddev_samp(x).alias("__sd")), q, keys, "left"))
+    inner = beside(df.select(*keys, value), scope, keys).groupBy(*keys).agg(F.avg(F.when((x > F.col("__p10")) & (x < F.col("__p90")), x)).alias("__tm"))
+    spread = F.least((F.col("__q3") - F.col("__q1")) / 1.349, F.col("__sd"))
+    centre = beside(scope, inner, keys).select(*keys, spread.alias("__spread"), "__tm")
+    both = beside(df, centre, keys)
+    return both.withColumn(out, F.when(F.col("__spread") > 0, (x - F.col("__tm")) / F.col("__spread")).otherwise(x)).drop("__spread", "__tm")
 
 
 def golden_section(f, lo: float, hi: float, tolerance: float = 1e-6, rounds: int = 100) -> float:
@@ -94,24 +97,35 @@ def profile_likelihood(x: np.ndarray, l1: float) -> float:
         return float(-(n - 1) / 2 * np.log(v) + (l1 - 1) * (n - 1) / n * np.log(x).sum()) if v > 0 and np.isfinite(v) else -np.inf
 
 
+#: Exponents that a pass over the data tries in each scope; the next pass lies between the neighbours of the best.
+TRIALS = 20
+
+
 def boxcox_exponents(df: DataFrame, keys: list[str], value: str = "value", tolerance: float = 1e-3) -> DataFrame:
     """The Box-Cox exponent of each scope (``keys``), between -10 and 10; null for constant scopes.
 
-    The likelihood is evaluated on each scope in one task, so scopes must be rows or columns of bounded length.
+    A pass takes the likelihoods of TRIALS + 1 evenly spaced exponents by aggregates, in every scope at once, and the next
+    one narrows each scope's range to the neighbours of its best; the likelihood has one maximum. A scope of any size is
+    only aggregated.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", exponent double"
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value].dropna().to_numpy(float)
-        out = pdf[keys].head(1).copy()
-        if len(x) > 1 and x.max() > x.min():
-            low = x.min()
-            out["exponent"] = golden_section(lambda l1: profile_likelihood(x + (0 if low > 0 else 1 + abs(low)), l1), -10.0, 10.0, tolerance)
-        else:
-            out["exponent"] = np.nan
-        return out
-
-    return df.select(*keys, value).groupBy(*keys).applyInPandas(best, schema).withColumn("exponent", F.when(~F.isnan("exponent"), F.col("exponent")))
+    x = F.col("__x")
+    rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL")
+    scope = rows.groupBy(*keys).agg(F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.count("*").alias("__n"))
+    scope = cut(scope.withColumns({"__shift": _shift(F.col("__min")), "__a": F.lit(-10.0), "__b": F.lit(10.0)}))
+    width = 20.0
+    while width > tolerance:
+        held = beside(rows, scope, keys).withColumn("__x", F.col("__v") + F.col("__shift"))
+        at = lambda k: F.col("__a") + (F.col("__b") - F.col("__a")) * (k / TRIALS)
+        bent = lambda k: F.when(F.abs(at(k)) < 1e-12, F.log(x)).otherwise((F.pow(x, at(k)) - 1) / at(k))
+        tried = held.groupBy(*keys).agg(F.first("__a").alias("__a"), F.first("__b").alias("__b"), F.first("__n").alias("__n"), F.first("__shift").alias("__shift"), F.first("__min").alias("__min"), F.first("__max").alias("__max"), F.sum(F.log(x)).alias("__logs"), *[F.var_samp(bent(k)).alias(f"__v{k}") for k in range(TRIALS + 1)])
+        m = F.col("__n") - 1
+        like = lambda k: F.when((F.col(f"__v{k}") > 0) & (F.col(f"__v{k}") < float("inf")), -m / 2 * F.log(f"__v{k}") + (at(k) - 1) * m / F.col("__n") * F.col("__logs")).otherwise(F.lit(float("-inf")))
+        best = F.array_max(F.array(*[F.struct(like(k).alias("l"), F.lit(-k).alias("k")) for k in range(TRIALS + 1)]))["k"]
+        step = (F.col("__b") - F.col("__a")) / TRIALS
+        scope = cut(tried.withColumn("__best", F.col("__a") - step * best).select(*keys, "__n", "__shift", "__min", "__max", F.greatest(F.col("__a"), F.col("__best") - step).alias("__a"), F.least(F.col("__b"), F.col("__best") + step).alias("__b")))
+        width = width * 2 / TRIALS
+    found = scope.select(*keys, F.when((F.col("__n") > 1) & (F.col("__max") > F.col("__min")), (F.col("__a") + F.col("__b")) / 2).alias("exponent"))
+    return beside(df.select(*keys).distinct(), found, keys, "left") if keys else found
 
 
 def normalize_counts(df: DataFrame, rows: str | None = "by_sum", columns: str | None = None, matrix: str | None = None) -> DataFrame:

@@ -1,15 +1,20 @@
 """Descriptive statistics as aggregate expressions, in four grades: quick, lite, full, robust.
 
 Nulls are ignored. One value has no spread: lite and beyond are null for it. A value counts as non-zero for ``nz_min``
-if it is above 0; without one it is infinite. Moments come from Spark's single-pass aggregates and keep partial sums;
-quantiles interpolate linearly (exact ``percentile``).
+if it is above 0; without one it is infinite. Moments come from Spark's single-pass aggregates and keep partial sums.
+Quantiles are exact and interpolate linearly; they are read off one distributed order of each group's different values,
+so that no task holds a group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimenta.session import cut
+
 GRADES = ("quick", "lite", "full", "robust")
 
 
@@ -34,22 +39,48 @@ def moments(x: Column) -> dict[str, Column]:
     }
 
 
-def quartiles(x: Column) -> dict[str, Column]:
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return {"q1": q[0], "median": q[1], "q3": q[2], "iqr": q[2] - q[0]}
-
-
 def quantile(x: Column, phi: float) -> Column:
-    """Linear interpolation at phi * (n - 1); null for fewer than two values."""
+    """Linear interpolation at phi * (n - 1) as an aggregate, for groups of bounded size; null for fewer than two values."""
     return F.when(F.count(x) > 1, F.percentile(x, F.lit(phi)))
 
 
+def beside(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Rows of ``left`` with the columns of ``right``, which has one row per key; null keys meet null keys."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # one row
+    other = right.select(F.struct(*keys).alias("__right"), *[c for c in right.columns if c not in keys])
+    return left.withColumn("__left", F.struct(*keys)).join(other, F.col("__left") == F.col("__right"), how).drop("__left", "__right")
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, phis: dict[str, float]) -> DataFrame:
+    """(keys, one column per name in ``phis``): linear interpolation at phi * (n - 1) of each group's values without nulls.
+
+    Equal values are counted first. The different ones are put in one distributed order of (keys, value); their ranks are
+    running counts within a range plus the counts of the ranges before it, so that a group of any size is spread out.
+    """
+    each = df.select(*keys, F.col(value).cast("double").alias("__x")).where("__x IS NOT NULL").groupBy(*keys, "__x").agg(F.count("*").alias("__n"))
+    order = [*keys, "__x"]
+    blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # ranges are drawn by sampling, so the placement is written once and all its uses read the same
+    placed = cut(each.repartitionByRange(blocks, *order).withColumn("__b", F.spark_partition_id()))
+    running = F.sum("__n").over(Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    before = placed.groupBy("__b").agg(F.sum("__n").alias("__s")).select("__b", (F.sum("__s").over(Window.orderBy("__b")) - F.col("__s")).alias("__o"))  # one row per range
+    ranked = placed.withColumn("__c", running).join(F.broadcast(before), "__b").select(*keys, "__x", (F.col("__c") + F.col("__o") - F.col("__n")).alias("__lo"), (F.col("__c") + F.col("__o")).alias("__hi"))
+    group = ranked.groupBy(*keys).agg(F.min("__lo").alias("__start"), (F.max("__hi") - F.min("__lo")).alias("__size"))
+    held = beside(ranked, group, keys)
+    lo, hi, out = F.col("__lo") - F.col("__start"), F.col("__hi") - F.col("__start"), {}
+    for name, phi in phis.items():
+        at = F.lit(float(phi)) * (F.col("__size") - 1)
+        low, high = (F.max(F.when((lo <= f(at)) & (f(at) < hi), F.col("__x"))) for f in (F.floor, F.ceil))
+        out[name] = low + (high - low) * F.first(at - F.floor(at))
+    return held.groupBy(*keys).agg(*[F.when(F.count("__x") > 0, c).alias(n) for n, c in out.items()])
+
+
 def describe(df: DataFrame, keys: list[str], value: str, grade: str = "full") -> DataFrame:
     """Statistics of ``value`` per ``keys`` (all rows together for no keys), one column for each.
 
-    The mean deviation needs the group's mean, and the robust grade its median and quantiles: both join a small table of
-    group centres back, which Spark broadcasts when it is small and shuffles on the same keys otherwise. A group of any
-    size is only ever aggregated.
+    Deviations need the group's mean or median, so that a small table of group centres is joined back. A group of any size
+    is only ever aggregated, or spread over ranges of its values.
     """
     if grade not in GRADES:
         raise ValueError(f"grade must be one of {GRADES}")
@@ -58,33 +89,21 @@ def describe(df: DataFrame, keys: list[str], value: str, grade: str = "full") ->
     if grade != "quick":
         first |= spread_of(x)
     if grade in ("full", "robust"):
-        first |= moments(x) | quartiles(x)
+        first |= moments(x)
+    out = df.groupBy(*keys).agg(*[c.alias(n) for n, c in first.items()])
+    if grade == "quick":
+        return out
+    if grade != "lite":
+        ends = {"__lo": 0.1, "__hi": 0.9} if grade == "robust" else {}
+        out = beside(out, exact_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75} | ends), keys, "left").withColumn("iqr", F.col("q3") - F.col("q1"))
+        out = cut(out)
+    centre = out.select(*keys, F.col("mean").alias("__mean"), *([F.col("median").alias("__median"), "__lo", "__hi"] if grade == "robust" else []))
+    held = beside(df.select(*keys, value), centre, keys)
+    more = {"avdev": F.when(F.count(x) > 1, F.avg(F.abs(x - F.col("__mean"))))}
     if grade == "robust":
-        first |= {"p10": F.percentile(x, F.lit(0.1)), "p90": F.percentile(x, F.lit(0.9))}
-    one = [F.lit(1).alias("__all")] if not keys else []
-    by = keys or ["__all"]
-    rows = df.select("*", *one) if one else df
-    out = rows.groupBy(*by).agg(*[c.alias(n) for n, c in first.items()])
-    if grade != "quick":
-        centre = out.select(*[F.col(k).alias(f"__{k}") for k in by], F.col("mean").alias("__mean"), *([F.col("median").alias("__median"), F.col("p10").alias("__lo"), F.col("p90").alias("__hi")] if grade == "robust" else []))
-        same = [rows[k].eqNullSafe(centre[f"__{k}"]) for k in by]
-        cond = same[0]
-        for c in same[1:]:
-            cond = cond & c
-        more = {"avdev": F.when(F.count(x) > 1, F.avg(F.abs(x - F.col("__mean"))))}
-        if grade == "robust":
-            more |= {
-                "mad": F.percentile(F.abs(x - F.col("__median")), F.lit(0.5)),
-                "trmean": F.coalesce(F.avg(F.when((x > F.col("__lo")) & (x < F.col("__hi")), x)), F.lit(float("nan"))),
-            }
-        second = rows.join(centre, cond).groupBy(*[F.col(f"__{k}") for k in by]).agg(*[c.alias(n) for n, c in more.items()])
-        cond = None
-        for k in by:
-            c = out[k].eqNullSafe(second[f"__{k}"])
-            cond = c if cond is None else cond & c
-        out = out.join(second, cond).drop(*[f"__{k}" for k in by if k != "__all"])
-        if not keys:
-            out = out.drop(second["____all"]) if "____all" in out.columns else out
+        more["trmean"] = F.coalesce(F.avg(F.when((x > F.col("__lo")) & (x < F.col("__hi")), x)), F.lit(float("nan")))
+    out = beside(out.drop("__lo", "__hi"), held.groupBy(*keys).agg(*[c.alias(n) for n, c in more.items()]), keys)
     if grade == "robust":
-        out = out.withColumn("rstdev", F.least(F.col("iqr") / 1.349, F.col("stdev"))).drop("p10", "p90")
-    return out.drop("__all", "____all")
+        mad = exact_quantiles(held.withColumn("__d", F.abs(x - F.col("__median"))), keys, "__d", {"mad": 0.5})
+        out = beside(out, mad, keys, "left").withColumn("rstdev", F.least(F.col("iqr") / 1.349, F.col("stdev")))
+    return out

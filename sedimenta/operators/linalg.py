@@ -73,7 +73,7 @@ def factory(spark: SparkSession, kind: str, rows: int, columns: int | None = Non
     at = spark.range(rows * columns).select((F.col("id") / columns).cast("long").alias("i"), (F.col("id") % columns).alias("j"))
     value = {
         "general": 1.0 / (F.col("i") + F.col("j") + 1), "hilbert": 1.0 / (F.col("i") + F.col("j") + 1),
-        "random": F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(rows), F.lit(columns), "id")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52)),
+        "random": F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(rows), F.lit(columns), "i", "j")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52)),
         "vandermonde": F.pow(F.col("i") + 1.0, F.lit(columns) - F.col("j") - 1), "identity": (F.col("i") == F.col("j")).cast("double"),
     }[kind]
     return at.select("i", "j", value.cast("double").alias("v"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions import normalize as nz
 from sedimenta.functions import scalars as sc
-from sedimenta.functions.stats import describe, quantile
+from sedimenta.functions.stats import describe, exact_quantiles
 from sedimenta.operators import counts as ct
 from sedimenta.operators import joins
 from sedimenta.session import table
@@ -51,8 +51,8 @@ def stats_all_ways(spark, sf_dir):
 
 def quantiles(spark, sf_dir):
     """Three quantiles of prices per return flag."""
-    x = F.col("l_extendedprice")
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*[F.round(quantile(x, p), 4).alias(n) for p, n in ((0.1, "p10"), (0.5, "p50"), (0.99, "p99"))])
+    q = exact_quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "p50": 0.5, "p99": 0.99})
+    return rounded(q, "p10", "p50", "p99", digits=4)
 
 
 _NORMS = {

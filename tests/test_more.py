@@ -71,3 +71,92 @@ def test_table_operators(spark):
     assert at(ct.add_column(cells, more.select("row_num", "value"), 4))[(4, 4)] == 0.5
     with pytest.raises(ValueError):
         ct.info_values(cells, "nothing")
+
+
+def test_qr_by_reflections():
+    from sedimenta.operators import linalg
+
+    rng = np.random.default_rng(3)
+    for m, n in ((5, 5), (7, 3), (4, 1)):
+        a = rng.normal(size=(m, n))
+        f = linalg.qr(a)
+        assert np.allclose(f.q @ f.r, a) and np.allclose(f.q.T @ f.q, np.eye(n)) and np.allclose(np.tril(f.r, -1), 0) and f.full_rank
+        x = a[:, 0]
+        v, beta = linalg.householder(x)
+        assert np.allclose(x - beta * v * (v @ x), [-np.sign(x[0]) * np.linalg.norm(x), *[0] * (m - 1)])
+    assert not linalg.qr(np.array([[1.0, 2], [2, 4], [3, 6]])).full_rank and linalg.householder(np.zeros(3))[1] == 0
+    s = rng.normal(size=(4, 4))
+    s = s + s.T
+    b = rng.normal(size=(4, 4))
+    assert np.allclose(linalg.symm(np.tril(s), b), s @ b) and np.allclose(linalg.symm(np.triu(s), b, left=False, lower=False, alpha=2, beta=1, c=b), 2 * b @ s + b)
+
+
+def test_matrix_orders_and_random_cells(spark):
+    from sedimenta.operators import linalg
+
+    m = linalg.factory(spark, "vandermonde", 3)
+    dense = lambda d: [[x[1] for x in sorted((r.j, r.v) for r in rows)] for _, rows in sorted({i: [r for r in d if r.i == i] for i in {r.i for r in d}}.items())]
+    a = np.array(dense(m.collect()))
+    assert np.allclose(dense(linalg.swap_columns(m, 0, 2).collect()), a[:, [2, 1, 0]])
+    assert np.allclose(dense(linalg.permuted(m, [2, 0, 1], [1, 2, 0]).collect()), a[[2, 0, 1]][:, [1, 2, 0]])
+    with pytest.raises(ValueError):
+        linalg.permuted(m, [0, 0, 1])
+    x = [r.v for r in linalg.factory(spark, "random", 20).collect()]
+    assert x == [r.v for r in linalg.factory(spark, "random", 20).collect()] and 0 <= min(x) and max(x) < 1 and 0.4 < np.mean(x) < 0.6
+
+
+def test_squares_around_a_cell():
+    from sedimenta.operators.som import square_around
+
+    assert square_around(4, 5, 0, 3) == [19, 15, 16, 4, 0, 1, 9, 5, 6]
+    with pytest.raises(ValueError):
+        square_around(4, 5, 0, 2)
+
+
+def test_watershed_from_markers():
+    from sedimenta.operators.density import watershed
+
+    h = np.ones((5, 9))
+    h[:, :3], h[:, 5:8] = 0.1, 0.2
+    h[2, 1], h[2, 6] = 0.0, 0.0
+    label, merges = watershed(h, [2 * 9 + 1, 2 * 9 + 6, 2 * 9 + 1])
+    assert label[2, 1] == 1 and label[2, 6] == 2 and (label > 0).all() and (label[:, :3] == 1).all() and (label[:, 5:8] == 2).all()
+    assert [m[:3] for m in merges] == [(3, 1, 2)]
+    wall = np.zeros((5, 9), bool)
+    wall[:, [3, 8]] = True
+    label, merges = watershed(h, [2 * 9 + 1], wall)
+    assert (label[:, :3] == 1).all() and (label[:, 3:] == 0).all() and merges == []
+    label, _ = watershed(h, None, wall)
+    assert (label[wall] == 0).all() and (label[~wall] > 0).all()
+
+
+def test_quantiles_of_any_group(spark):
+    from sedimenta.functions.stats import describe, exact_quantiles
+
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.integers(0, 9, 400).astype(float), None: rng.normal(size=101), "one": np.array([4.0]), "void": np.array([])}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("void", None), ("a", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "x", {"q": 0.3, "m": 0.5}).collect()}
+    assert set(got) == {"a", None, "one"}
+    for k in got:
+        assert got[k].q == pytest.approx(np.quantile(groups[k], 0.3)) and got[k].m == pytest.approx(np.median(groups[k]))
+    told = {r.k: r for r in describe(df, ["k"], "x", "robust").collect()}
+    assert set(told) == set(groups) and told["void"].n == 0 and told["void"].median is None and told["one"].mad == 0
+    assert told[None].mad == pytest.approx(np.median(np.abs(groups[None] - np.median(groups[None])))) and told["a"].iqr == pytest.approx(np.subtract(*np.quantile(groups["a"], [0.75, 0.25])))
+    whole = describe(df, [], "x", "full").collect()
+    assert len(whole) == 1 and whole[0].n == 502
+    assert exact_quantiles(df.limit(0), ["k"], "x", {"q": 0.3}).collect() == []
+
+
+def test_boxcox_exponents_follow_the_likelihood(spark):
+    from sedimenta.functions import normalize as nz
+
+    rng = np.random.default_rng(6)
+    data = {1: np.exp(rng.normal(size=80)), 2: rng.normal(5, 1, 60) ** 2, 3: rng.normal(size=50), 4: np.full(5, 2.0)}
+    df = spark.createDataFrame([(k, float(x)) for k, v in data.items() for x in v], "k long, value double").repartition(4)
+    got = {r.k: r.exponent for r in nz.boxcox_exponents(df, ["k"]).collect()}
+    assert got[4] is None
+    for k in (1, 2, 3):
+        x = data[k] + (0 if data[k].min() > 0 else 1 + abs(data[k].min()))
+        assert got[k] == pytest.approx(nz.golden_section(lambda e, x=x: nz.profile_likelihood(x, e), -10, 10, 1e-5), abs=2e-3)

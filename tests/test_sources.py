@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from sedimenta.sources import readers
 
@@ -78,3 +79,31 @@ def test_sequence_files(spark, tmp_path):
     assert [tuple(r) for r in readers.sample_counts(spark, put(tmp_path, "n", "s1 20\nbad\n")).collect()] == [("s1", 20)]
     assert readers.graph_nodes(spark, put(tmp_path, "gn", "a\ts\t10\t2.5\t3\n")).first().coverage == 2.5
     assert readers.graph_edges(spark, put(tmp_path, "ge", "a\tb\tk\t3\t0.5\t1.5\n")).first().ratio == 0.5
+
+
+def test_key_values(spark):
+    cases = {"a=1;b=\"x;y=2\";;a=3; c = d e ;flag": {"a": "1", "b": "x;y=2", "c": "d e", "flag": None}, "": {}, ";ID=10;": {"ID": "10"}, 'q="open;r=1': {"q": '"open', "r": "1"}}
+    df = spark.createDataFrame([(k,) for k in cases], "s string")
+    assert {r.s: r.m for r in df.select("s", readers.key_values(F.col("s")).alias("m")).collect()} == cases
+
+
+def test_gene_finder_files(spark, tmp_path):
+    text = [
+        "##gff-version 3", '# Sequence Data: seqnum=2;seqlen=900;seqhdr="s_2 second; one"', "# Model Data: version=1;transl_table=4",
+        "s_2\tfinder\tCDS\t1\t90\t5.5\t+\t0\t;ID=2_1;partial=00", "s_2\tfinder\tCDS\t100\t190\t.\t-\t0\t;ID=2_2;ID=again",
+        '# Sequence Data: seqnum=1;seqlen=50;seqhdr="s_1"', "# Model Data: version=1;transl_table=11",
+    ]
+    path = tmp_path / "genes.gff"
+    path.write_text("\n".join(text) + "\n")
+    got = sorted(readers.gene_finder(spark, str(path)).collect(), key=lambda r: r.gene)
+    assert [(r.gene, r.n, r.length, r.attributes["ID"], r["sequence"]["seqlen"], r["sequence"]["transl_table"]) for r in got] == [("s_2_1", 1, 90, "2_1", "900", "4"), ("s_2_2", 2, 91, "2_2", "900", "4")]
+    seqs = readers.gff_sequences(spark, str(path))
+    assert [(r.seqid, r["values"]["seqhdr"]) for r in seqs.orderBy("at").collect()] == [("s_2", "s_2 second; one"), ("s_1", "s_1")]
+    assert [tuple(r) for r in readers.other_code(seqs).collect()] == [(1, "s_2", "s_2 second; one")]
+
+
+def test_files_are_read_by_their_ending(spark, tmp_path):
+    (tmp_path / "x.bm").write_text("% 2 2\n% 1\n7\t0\t1\t0.5\n")
+    assert tuple(readers.typed(spark, str(tmp_path / "x.bm")).first()) == (7, 0, 1, 0.5)
+    with pytest.raises(ValueError):
+        readers.typed(spark, str(tmp_path / "x.doc"))
