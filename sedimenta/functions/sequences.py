@@ -160,30 +160,42 @@ _CODES = np.full(256, 4, np.uint8)
 _CODES[[65, 84, 67, 71]] = [0, 1, 2, 3]
 
 
-def _visited(legal: np.ndarray, ends: np.ndarray, entries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(marks, entries beyond) of the places that scans beginning at ``entries`` come to.
+def _entered(beg: np.ndarray, end: np.ndarray, text: np.ndarray, text_beg: np.ndarray, k: int) -> np.ndarray:
+    """Where the scan enters each run of legal letters (beg to end, at least k long), -1 where it jumps over its k-mers.
 
-    A scan moves on by one behind a legal k-mer and by k behind an illegal one, not beyond its text's end (``ends`` per
-    place). All scans run at once, by doubling their jumps. Entries beyond: where they leave this stretch of the text.
+    Behind a run that it counted the scan goes on one letter after its end, and from there in steps of k until it comes
+    to a run with k letters left. What matters of the past is thus one number, the last such place. Runs of 2 k - 1
+    letters are met whatever it was, and so are first runs of a text: all stretches between them are followed at once.
     """
-    n = len(legal)
-    hop = np.empty(n + k, np.int64)
-    hop[:n] = np.minimum(np.arange(n) + np.where(legal, 1, k), np.maximum(ends, np.arange(n) + 1))
-    hop[n:] = np.arange(n, n + k)  # places beyond stay where they are
-    hops = [hop]
-    while len(hops) < n.bit_length() + 1:
-        hops.append(hops[-1][hops[-1]])
-    out = hops[-1][entries]
-    seen = np.zeros(n + k, bool)
-    seen[entries] = True
-    front = entries
-    for jump in reversed(hops[:-1]):
-        front = np.r_[front, jump[front]]
-        front = front[front < n]
-        fresh = front[~seen[front]]
-        seen[fresh] = True
-        front = np.unique(front) if len(front) > n else front
-    return seen[:n], out
+    n, size = len(beg), end - beg
+    place, out = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    first = np.r_[True, text[1:] != text[:-1]] if n else np.zeros(0, bool)
+    sure = size >= 2 * k - 1
+    known = first.copy()
+    known[1:] |= sure[:-1]
+    place[first] = text_beg[text[first]]
+    after = ~first & known
+    place[after] = end[np.flatnonzero(after) - 1] + 1
+    open_ended = np.r_[~known[1:], False] if n else known  # runs whose successor waits for them
+    at = np.flatnonzero(known)
+    while len(at) > 32:
+        gap = (place[at] - beg[at]) % k
+        met = size[at] - gap >= k
+        out[at] = np.where(met, beg[at] + gap, -1)
+        goes = open_ended[at]
+        on = np.where(met, end[at] + 1, place[at])[goes]
+        at = at[goes] + 1
+        place[at] = on
+    for j in at.tolist():  # few stretches are left: one after the other
+        here = int(place[j])
+        while True:
+            gap = (here - int(beg[j])) % k
+            if int(size[j]) - gap >= k:
+                out[j], here = beg[j] + gap, int(end[j]) + 1
+            if not open_ended[j]:
+                break
+            j += 1
+    return out
 
 
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -203,45 +215,49 @@ def count_kmers(column: pa.Array, k: int, skip: bool) -> Iterator[tuple[np.ndarr
     if not lead.all():
         at = np.r_[0, np.cumsum(lead)][at]
         body = body[lead]
-    owner_end = at[1:]
-    entry = np.zeros(0, np.int64)
-    for lo in range(0, len(body), SCAN_LETTERS):
-        hi = min(lo + SCAN_LETTERS, len(body))
-        code = _CODES[body[lo : min(hi + k - 1, len(body))]].astype(np.int64)
-        n = hi - lo
-        text = np.searchsorted(owner_end, np.arange(lo, hi), side="right")
-        ends = owner_end[text] - lo
-        legal = np.arange(n) + k <= np.minimum(ends, len(code))
-        forward, back, bad = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+    n, owner_end = len(body), at[1:]
+    code = _CODES[body]
+    legal = code < 4
+    # runs of legal letters, cut at the ends of texts
+    edge = np.zeros(n + 1, bool)
+    edge[at] = True
+    beg = np.flatnonzero(legal & (edge[:-1] | ~np.r_[False, legal[:-1]]))
+    end = np.flatnonzero(legal & (edge[1:] | ~np.r_[legal[1:], False])) + 1
+    enough = end - beg >= k
+    beg, end = beg[enough], end[enough]
+    if skip:
+        enter = _entered(beg, end, np.searchsorted(owner_end, beg, side="right"), at[:-1], k)
+        beg, end = enter[enter >= 0], end[enter >= 0]
+    turn = np.zeros(n + 1, np.int8)
+    turn[beg] += 1
+    turn[end - k + 1] -= 1
+    kind = next(t for t, most in ((np.uint8, 4), (np.uint16, 8), (np.uint32, 16), (np.uint64, 31)) if k <= most)
+    inside = 0
+    for lo in range(0, n, SCAN_LETTERS):
+        hi = min(lo + SCAN_LETTERS, n)
+        marks = np.cumsum(turn[lo:hi], dtype=np.int8) + np.int8(inside)
+        inside = int(marks[-1])
+        hit = np.flatnonzero(marks)
+        if not len(hit):
+            continue
+        part = (code[lo : min(hi + k - 1, n)] & 3).astype(kind)
+        part = np.r_[part, np.zeros(hi - lo + k - 1 - len(part), kind)]
+        forward, back = np.zeros(hi - lo, kind), np.zeros(hi - lo, kind)
         for j in range(k):
-            c = np.full(n, 4, np.int64)
-            part = code[j : j + n]
-            c[: len(part)] = part
-            bad |= c > 3
-            forward = forward * 4 + (c & 3)
-            back += ((c & 3) ^ 1) << (2 * j)
-        legal &= ~bad
-        if skip:
-            begins = at[:-1][(at[:-1] >= lo) & (at[:-1] < hi) & (at[1:] > at[:-1])] - lo
-            marks, out = _visited(legal, ends, np.r_[entry, begins], k)
-            entry = np.unique(out[(out >= n) & (out + lo < len(body))]) - n
-            # a scan that left its own text has ended; the next text begins its own
-            if len(entry) and hi < len(body):
-                begun = at[:-1][np.searchsorted(owner_end, hi, side="right")]
-                entry = entry[:1] if begun < hi else entry[:0]
-            legal &= marks
-        hit = np.flatnonzero(legal)
-        canon = np.minimum(forward[hit], back[hit])
+            c = part[j : j + hi - lo]
+            forward = (forward << kind(2)) | c
+            back |= (c ^ kind(1)) << kind(2 * j)
+        canon = np.minimum(forward, back)[hit].astype(np.int64)
+        text = np.searchsorted(owner_end, hit + lo, side="right")
         if k <= 5:
-            size = 4**k
-            low = int(text[hit[0]]) if len(hit) else 0
-            n_of = np.bincount((text[hit] - low) * size + canon, minlength=0)
+            size, low = 4**k, int(text[0])
+            n_of = np.bincount((text - low) * size + canon)
             where = np.flatnonzero(n_of)
             yield where // size + low, where % size, n_of[where]
         else:
-            order = np.lexsort((canon, text[hit]))
-            t, c = text[hit][order], canon[order]
-            first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])]) if len(t) else np.zeros(0, np.int64)
+            order = np.lexsort((canon, text))
+            t, c = text[order], canon[order]
+            first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])])
             yield t[first], c[first], np.diff(np.r_[first, len(t)])
 
 

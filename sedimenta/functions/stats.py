@@ -55,25 +55,31 @@ def beside(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "i
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, phis: dict[str, float]) -> DataFrame:
     """(keys, one column per name in ``phis``): linear interpolation at phi * (n - 1) of each group's values without nulls.
 
-    Equal values are counted first. The different ones are put in one distributed order of (keys, value); their ranks are
-    running counts within a range plus the counts of the ranges before it, so that a group of any size is spread out.
+    Equal values are counted first and the different ones put in one distributed order of (keys, value). Counts per range
+    and group tell in which ranges a group's wanted ranks lie; only the values of these are ranked, by running counts. A
+    group of any size is spread over ranges, and no task holds it.
     """
     each = df.select(*keys, F.col(value).cast("double").alias("__x")).where("__x IS NOT NULL").groupBy(*keys, "__x").agg(F.count("*").alias("__n"))
-    order = [*keys, "__x"]
     blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # ranges are drawn by sampling, so the placement is written once and all its uses read the same
-    placed = cut(each.repartitionByRange(blocks, *order).withColumn("__b", F.spark_partition_id()))
-    running = F.sum("__n").over(Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    before = placed.groupBy("__b").agg(F.sum("__n").alias("__s")).select("__b", (F.sum("__s").over(Window.orderBy("__b")) - F.col("__s")).alias("__o"))  # one row per range
-    ranked = placed.withColumn("__c", running).join(F.broadcast(before), "__b").select(*keys, "__x", (F.col("__c") + F.col("__o") - F.col("__n")).alias("__lo"), (F.col("__c") + F.col("__o")).alias("__hi"))
-    group = ranked.groupBy(*keys).agg(F.min("__lo").alias("__start"), (F.max("__hi") - F.min("__lo")).alias("__size"))
-    held = beside(ranked, group, keys)
-    lo, hi, out = F.col("__lo") - F.col("__start"), F.col("__hi") - F.col("__start"), {}
-    for name, phi in phis.items():
-        at = F.lit(float(phi)) * (F.col("__size") - 1)
-        low, high = (F.max(F.when((lo <= f(at)) & (f(at) < hi), F.col("__x"))) for f in (F.floor, F.ceil))
-        out[name] = low + (high - low) * F.first(at - F.floor(at))
-    return held.groupBy(*keys).agg(*[F.when(F.count("__x") > 0, c).alias(n) for n, c in out.items()])
+    # ranges are drawn by sampling, so the placement is written once and both its uses read the same
+    placed = cut(each.repartitionByRange(blocks, *keys, "__x").withColumn("__b", F.spark_partition_id()))
+    mine = Window.partitionBy(*keys)  # a row per range that a group has values in
+    sizes = placed.groupBy("__b", *keys).agg(F.sum("__n").alias("__m"))
+    sizes = sizes.withColumns({"__o": F.coalesce(F.sum("__m").over(mine.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__size": F.sum("__m").over(mine)})
+    at = {name: F.lit(float(phi)) * (F.col("__size") - 1) for name, phi in phis.items()}
+    within = lambda rank, lo, hi: (lo <= rank) & (rank < hi)
+    wanted = F.lit(False)
+    for rank in at.values():
+        for f in (F.floor, F.ceil):
+            wanted = wanted | within(f(rank), F.col("__o"), F.col("__o") + F.col("__m"))
+    held = beside(placed, sizes.where(wanted), ["__b", *keys])
+    hi = F.col("__o") + F.sum("__n").over(Window.partitionBy("__b", *keys).orderBy("__x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = held.withColumn("__hi", hi).withColumn("__lo", F.col("__hi") - F.col("__n"))
+    out = {}
+    for name, rank in at.items():
+        low, high = (F.max(F.when(within(f(rank), F.col("__lo"), F.col("__hi")), F.col("__x"))) for f in (F.floor, F.ceil))
+        out[name] = low + (high - low) * F.first(rank - F.floor(rank))
+    return ranked.groupBy(*keys).agg(*[F.when(F.count("__x") > 0, c).alias(n) for n, c in out.items()])
 
 
 def describe(df: DataFrame, keys: list[str], value: str, grade: str = "full") -> DataFrame:
