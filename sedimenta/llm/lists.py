@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.session import cut
+from sedimenta.session import BROADCAST_MAX_BYTES, cut
 
 from .topn import fingerprints
 
@@ -26,6 +26,8 @@ LIST_ROWS, BLOCK_ROWS, MATRIX_NUMBERS = 1_000, 6_000, 4_000_000
 PER_CENTROID, ROUNDS, SEED = 10, 6, 20_011
 #: Lines into which the one line of a group of equal rows is multiplied, to spread its rows over tasks.
 SALTS = 16
+#: What a row of a group of equal rows takes in a broadcast table.
+TWIN_BYTES = 64
 
 
 def usable(vectors: DataFrame, index: str, vector: str) -> DataFrame:
@@ -56,8 +58,10 @@ def collapse(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame,
     later = twins.where("index != rep").select("index")
     # one join tells both: rows that stand for others have copies, the others of a group have 0 and go
     marks = twins.select("index", F.when(F.col("index") == F.col("rep"), F.col("copies")).otherwise(0).alias("copies"))
-    distinct = cut(rows.drop(*key).join(marks, "index", "left").withColumn("copies", F.coalesce("copies", F.lit(1))).where("copies > 0"))
-    return distinct, twins.select("index", "rep"), rows.count() - later.count()
+    n_twins = twins.count()
+    small = n_twins * TWIN_BYTES <= BROADCAST_MAX_BYTES  # then no vector moves; else both sides meet by their index
+    distinct = rows.drop(*key).join(F.broadcast(marks) if small else marks, "index", "left").withColumn("copies", F.coalesce("copies", F.lit(1))).where("copies > 0")
+    return distinct if small else cut(distinct), twins.select("index", "rep"), rows.count() - later.count()
 
 
 def matrix(column: pa.Array) -> np.ndarray:

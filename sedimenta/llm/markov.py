@@ -146,9 +146,13 @@ def similarity_graph(points: DataFrame, radius: float, window: int, rows: int, c
     later = twins.where("index != rep").withColumn("salt", F.pmod("index", F.lit(SALTS)).cast("int"))
     members = of.unionByName(later.join(of.select(F.col("index").alias("rep"), "node", "close", salt), ["rep", "salt"]).select("index", "node", "close"))
     # a node whose size is its degree has no link outward; only the others are searched for links
-    open_nodes = search.join(nodes.where(F.col("size") != F.col("degree")).select(F.col("node").alias("index")), "index", "left_semi")
+    own = nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    linked = nodes.where(F.col("size") != F.col("degree")).select(F.col("node").alias("index"))
+    if linked.isEmpty():  # every group of equal neighbourhoods stands alone
+        return members, nodes.select("node", "size", "degree"), own
+    open_nodes = search.join(linked, "index", "left_semi")
     outward = place(open_nodes, centroids, expected, radius, 1).select(*keep).groupBy("list", "block", "part").applyInArrow(_links(*spec), "a long, b long")
-    links = outward.where("a != b").unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    links = outward.where("a != b").unionByName(own)
     return members, nodes.select("node", "size", "degree"), links
 
 

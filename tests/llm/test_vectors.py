@@ -23,7 +23,9 @@ def clusters(rng, n, dim=16):
     return centres[rng.integers(20, size=n)] + rng.normal(size=(n, dim)) * 0.1
 
 
-def test_radius_search_is_exact_and_copies_are_whole(spark):
+@pytest.mark.parametrize("limit", [1 << 23, 0])
+def test_radius_search_is_exact_and_copies_are_whole(spark, monkeypatch, limit):
+    monkeypatch.setattr(lists, "BROADCAST_MAX_BYTES", limit)  # at 0 copies meet their vectors by a shuffle
     rng = np.random.default_rng(1)
     x = clusters(rng, 600)
     x[500:560] = x[3]  # a tenth of all rows are copies of one vector
