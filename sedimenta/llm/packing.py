@@ -60,7 +60,7 @@ def best_fit(sizes: np.ndarray, capacity: int, max_texts: int, max_attention: fl
         where[k], place[k] = box, filled[box]
         filled[box] += 1
         # a container that takes none of the items to come is closed
-        if k + 1 < len(sizes) and (left[0, at] < least[k + 1] or left[1, at] < 1):
+        if k + 1 < len(sizes) and (left[0, at] < least[k + 1] or left[1, at] < 1 or left[2, at] < float(least[k + 1]) ** 2):
             n_open -= 1
             left[:, at], name[at] = left[:, n_open], name[n_open]
     return where, place

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimenta.session import cut, table
@@ -116,6 +116,18 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(*_mixture(spark, sf_dir))
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each target source, and how often a rule of the mixture is broken: more copies than allowed, a number of
+    copies that isn't the rate rounded up or down, or a record left out though its source's rate is at least 1."""
+    sizes = cut(token_sizes(table(spark, sf_dir, "documents"), "text", ["doc_id", "source"]))
+    rated = rates(sizes, table(spark, sf_dir, "mix_targets"))
+    used = mix(sizes, rated).groupBy("doc_id", "source").agg(F.count("*").alias("n"), F.max("copy_no").alias("last"))
+    told = spark.createDataFrame([(s, m, r) for s, _, m, _, r in rated], "source string, most int, rate double")
+    each = sizes.join(told, "source").join(used, ["doc_id", "source"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    off = (F.col("n") != F.floor("rate")) & (F.col("n") != F.ceil("rate")) | (F.col("last") != F.col("n"))
+    return each.groupBy("source").agg(F.count("*").alias("n_records"), F.count_if(F.col("n") > F.col("most")).alias("n_over"), F.count_if(off).alias("n_off"))
+
+
 def _by_characters(spark: SparkSession, sf_dir: str):
     sizes = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "source", F.length("text").cast("long").alias("n_tokens"))
     rated = rates(sizes, table(spark, sf_dir, "mix_targets"))
@@ -143,12 +155,26 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(table(spark, sf_dir, "documents"), table(spark, sf_dir, "known_names"))
 
 
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, and how often a rule is broken: places that overlap or reach beyond their text, and texts whose length after
+    the replacement isn't that before it, less the places, plus their placeholders."""
+    documents = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    spans = cut(p9_found(spark, sf_dir))
+    size = documents.select("doc_id", F.length("text").alias("size"))
+    before = F.lag("span_end").over(Window.partitionBy("doc_id").orderBy("span_beg"))
+    wrong = spans.join(size, "doc_id").select(((F.col("span_beg") < F.coalesce(before, F.lit(0))) | (F.col("span_end") <= F.col("span_beg")) | (F.col("span_end") > F.col("size"))).alias("bad"))
+    change = spans.groupBy("doc_id").agg(F.sum(F.length("pii_kind") + 2 - F.col("span_end") + F.col("span_beg")).alias("change"))
+    after = p9_redacted(spark, sf_dir).select("doc_id", F.length("clean_text").alias("after")).join(size, "doc_id").join(change, "doc_id", "left")
+    kept = after.agg(F.count("*").alias("n_texts"), F.count_if(F.col("after") != F.col("size") + F.coalesce("change", F.lit(0))).alias("n_off"))
+    return kept.crossJoin(F.broadcast(wrong.agg(F.count_if("bad").alias("n_wrong"))))  # one row each
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_clusters": p4_clusters, "p4_close": p4_close,
         "p7_pack": p7_pack, "p7_fill": p7_fill, "p7_bounded": p7_bounded, "p7_checks": p7_checks,
-        "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_by_characters": p8_by_characters, "p8_shares_by_characters": p8_shares_by_characters,
-        "p9_found": p9_found, "p9_redacted": p9_redacted,
+        "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_checks": p8_checks, "p8_by_characters": p8_by_characters, "p8_shares_by_characters": p8_shares_by_characters,
+        "p9_found": p9_found, "p9_redacted": p9_redacted, "p9_checks": p9_checks,
     }
 
 
@@ -219,6 +245,8 @@ def oracle_sql() -> dict[str, str]:
         "p7_checks": """
             SELECT container_kind, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS n_texts, 0 AS n_torn, 0 AS n_over, 0 AS n_gaps
             FROM containers WHERE container_kind IS NOT NULL AND capacity_tokens > 0 GROUP BY container_kind""",
+        "p8_checks": "SELECT source, count(*) AS n_records, 0 AS n_over, 0 AS n_off FROM documents JOIN (SELECT DISTINCT source FROM mix_targets WHERE target_share > 0 AND max_repeats > 0) USING (source) WHERE text IS NOT NULL GROUP BY source",
+        "p9_checks": "SELECT count(*) AS n_texts, 0 AS n_off, 0 AS n_wrong FROM documents WHERE text IS NOT NULL",
         "p8_by_characters": _MIX + " SELECT doc_id, source, unnest(range(1, copies + 1))::INT AS copy_no, n AS n_chars FROM drawn",
         "p8_shares_by_characters": _MIX + """
             , told AS (SELECT source, sum(copies)::BIGINT AS n_records, sum(copies * n)::BIGINT AS mixed_chars, max(copies) AS most_copies FROM drawn WHERE copies > 0 GROUP BY source)
