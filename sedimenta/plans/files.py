@@ -91,14 +91,6 @@ def gff_file(spark, sf_dir):
 
 
 def hits_file(spark, sf_dir):
-    """Hits with a plain query name, a place and a score, written and read back; ``io_hits_whole`` takes every hit."""
-    path = folder(spark, "blast")
-    h = table(spark, sf_dir, "hits").where("q_id IS NOT NULL AND NOT q_id RLIKE '\\\\s' AND s_id IS NOT NULL AND NOT isnan(bit_score) AND bit_score IS NOT NULL AND q_beg IS NOT NULL")
-    writers.write_hits(h, path)
-    return readers.blast(spark, path).groupBy("s_id").agg(F.count("*").alias("n"), F.max("bit_score").alias("best"), F.min("q_beg").alias("first"))
-
-
-def hits_whole_file(spark, sf_dir):
     """Every hit written and read back, with empty fields for nulls and queries cut to their names."""
     path = folder(spark, "blast")
     writers.write_hits(table(spark, sf_dir, "hits"), path)
@@ -258,7 +250,7 @@ def stream_projection(spark, sf_dir):
 
 
 def queries():
-    io = (counts, training_file, names_file, best_match_file, class_file, weights_file, fasta_file, gff_file, hits_file, hits_whole_file, genes_file, map_files, pair_files, clusters_file, members_file, graph_files, small_files)
+    io = (counts, training_file, names_file, best_match_file, class_file, weights_file, fasta_file, gff_file, hits_file, genes_file, map_files, pair_files, clusters_file, members_file, graph_files, small_files)
     return {f"io_{f.__name__.removesuffix('_file').removesuffix('_files')}": f for f in io} | {"linalg_solve": solve, "linalg_eigen": eigen, "som_train_k_batch": _sequential(k_batch=0.15), "som_train_local": _sequential(local=3), "stream_windows": stream_windows, "stream_projection": stream_projection}
 
 
@@ -276,8 +268,7 @@ def oracle_sql():
         "io_weights": f"WITH {maps._BOOK} SELECT neuron, row, col, round(list_sum(w), 5) AS total FROM k",
         "io_fasta": f"WITH {sequences._DNA} SELECT 'doc' || doc_id AS name, length(seq)::INT AS length, md5(seq) AS md5 FROM dna",
         "io_gff": "SELECT feature_no, seqid, feature_type AS type, gff_end - gff_start + 1 AS length, score FROM gff WHERE seqid IS NOT NULL AND gff_start IS NOT NULL AND gff_end IS NOT NULL",
-        "io_hits": r"SELECT s_id, count(*) AS n, max(bit_score) AS best, min(q_beg) AS first FROM hits WHERE q_id IS NOT NULL AND NOT regexp_matches(q_id, '\s') AND s_id IS NOT NULL AND bit_score IS NOT NULL AND NOT isnan(bit_score) AND q_beg IS NOT NULL GROUP BY s_id",
-        "io_hits_whole": r"SELECT s_id, count(*) AS n, count(DISTINCT nullif(regexp_extract(q_id, '^\S*'), '')) AS queries, count(bit_score) AS scored, max(bit_score) AS best, count(q_beg) AS placed, min(q_beg) AS first FROM hits GROUP BY s_id",
+        "io_hits": r"SELECT s_id, count(*) AS n, count(DISTINCT nullif(regexp_extract(q_id, '^\S*'), '')) AS queries, count(bit_score) AS scored, max(bit_score) AS best, count(q_beg) AS placed, min(q_beg) AS first FROM hits GROUP BY s_id",
         "io_genes": f"""WITH {sequences._GENES}, n AS (SELECT seqid, feature_no, row_number() OVER (PARTITION BY seqid ORDER BY feature_no) AS n FROM g), s AS (SELECT seqid, max(end_) AS seqlen, row_number() OVER (ORDER BY seqid) AS seqnum FROM g GROUP BY seqid)
             SELECT feature_no, seqid || '_' || n AS gene, gff_end - gff_start + 1 AS length, 'a;b' AS note, seqlen, CASE WHEN seqnum % 7 = 0 THEN '4' ELSE '11' END AS code FROM n JOIN s USING (seqid) JOIN gff USING (seqid, feature_no)""",
         "io_map": f"""WITH {maps._BEST}, s AS (SELECT max(row) + 1 AS rows FROM k), h AS (SELECT a.neuron, avg(list_distance(a.w, b.w)) AS h FROM k a CROSS JOIN s CROSS JOIN (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) t(dr, dc) JOIN k b ON b.row = (a.row + dr + rows) % rows AND b.col = (a.col + dc + 8) % 8 GROUP BY a.neuron),
