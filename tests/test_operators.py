@@ -98,10 +98,12 @@ def test_windows_follow_the_definition(spark):
                 if b + c > length and length - b <= m:
                     break
                 want.append((n + 1, b + 1, min(b + c, length)))
-        seq = "".join("ACGT"[k % 4] for k in range(length))
-        rows = sq.subdivide(spark.createDataFrame([("s x", seq)], "name string, seq string"), "name", "seq", c, w, m).collect()
-        assert [(r.n, r.beg, r.end) for r in rows] == want
-        assert all(r.seq == seq[r.beg - 1 : r.end] and r.fragment == f"s_{r.n} {r.beg}-{r.end}" for r in rows)
+        beg, end = sq.spans(length, c, w, m)
+        assert [(k + 1, int(b) + 1, int(e)) for k, (b, e) in enumerate(zip(beg, end))] == want
+    seqs = ["".join("ACGT"[k % 4] for k in range(n)) for n in (0, 5, 12, 23, 40)]
+    rows = sq.subdivide(spark.createDataFrame([(f"s{k} x", s) for k, s in enumerate(seqs)], "name string, seq string"), "name", "seq", 10, 4, 2).collect()
+    assert len(rows) == sum(len(sq.spans(len(s), 10, 4, 2)[0]) for s in seqs)
+    assert all(r.seq == seqs[int(r.name[1:])][r.beg - 1 : r.end] and r.fragment == f"{r.name}_{r.n} {r.beg}-{r.end}" for r in rows)
     with pytest.raises(ValueError):
         sq.spans(10, 2, 1)
     wide = spark.createDataFrame([("ü", "äß€" * 7)], "name string, seq string")

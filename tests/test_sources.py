@@ -55,7 +55,7 @@ def test_every_hit_comes_back(spark, tmp_path):
     assert set(got) == {"a", "b", "c", "", "d", "e"} and got["b"] == hits[1][1:] and got["c"] == hits[2][1:] and got[""] == hits[3][1:]
     assert got["d"][:10] == hits[4][1:11] and got["d"][10] != got["d"][10] and got["e"] == ("", *rest, 1.0)
     df.write.parquet(f"{tmp_path}/hits.parquet")
-    told = {r.s_id: tuple(r)[1:] for r in files.hits_whole_file(spark, str(tmp_path)).collect()}
+    told = {r.s_id: tuple(r)[1:] for r in files.hits_file(spark, str(tmp_path)).collect()}
     assert told["x"] == (4, 3, 3, 70.0, 3, 3) and told[None] == (1, 1, 1, 1.0, 1, 3) and told["y"][0] == 1 and set(told) == {"x", "y", None}
 
 
