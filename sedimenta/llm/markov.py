@@ -236,7 +236,7 @@ def positioned(vectors: DataFrame, matches: DataFrame) -> DataFrame:
     return usable(vectors.select("data_index", "v"), "data_index", "v").join(at, "index")
 
 
-def similarity_clusters(points: DataFrame, radius: float, window: int, rows: int, columns: int, sample_rows: int | None = None, list_rows: int = LIST_ROWS, rounds: int = ROUNDS, close: bool = True) -> tuple[DataFrame, DataFrame]:
+def similarity_clusters(points: DataFrame, radius: float, window: int, rows: int, columns: int, sample_rows: int | None = None, list_rows: int = LIST_ROWS, rounds: int = ROUNDS, close: bool = True, prune: float = PRUNE) -> tuple[DataFrame, DataFrame]:
     """(members, clusters) of points ``(index, v, bm_row, bm_col)``.
 
     ``members``: index, cluster_first (lowest index of its cluster), size, flow, close, complete, settled. ``clusters``:
@@ -250,7 +250,7 @@ def similarity_clusters(points: DataFrame, radius: float, window: int, rows: int
     * a point that is like no other is a cluster of one.
     """
     members, nodes, links = similarity_graph(points, radius, window, rows, columns, sample_rows, list_rows, close)
-    found = cut(markov_clusters(nodes, links, rounds=rounds).join(nodes, "node"))
+    found = cut(markov_clusters(nodes, links, prune=prune, rounds=rounds).join(nodes, "node"))
     # the exact check: a cluster of one node, whose records have as many fellows as the cluster has members
     whole = found.groupBy("cluster").agg(F.sum("size").alias("cluster_size"), F.min("node").alias("cluster_first"), F.max("degree").alias("most"), F.count("*").alias("parts"), F.min("settled").alias("all_settled"))
     whole = whole.withColumn("complete", (F.col("parts") == 1) & (F.col("most") == F.col("cluster_size")))

@@ -58,8 +58,9 @@ def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters
 
 
-#: Tighter positions: groups of p4_found fall apart into overlapping ones, linked by chains.
-CLOSE = {**ALIKE, "window": 2}
+#: Tighter positions: groups of p4_found fall apart into overlapping ones, linked by chains. Columns are pruned harder, since
+#: every cell of the map is a node of its own here.
+CLOSE = {**ALIKE, "window": 2, "prune": 0.0937}
 
 
 def p4_close(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +190,7 @@ def _alike(window: int) -> str:
     return f"list_distance(a.v, b.v) <= 1.0 AND least(abs(a.r - b.r), 82 - abs(a.r - b.r)) <= {window} AND least(abs(a.c - b.c), 137 - abs(a.c - b.c)) <= {window}"
 
 
-def _markov(window: int, rounds: int = 24) -> str:
+def _markov(window: int, prune: float = 0.001, rounds: int = 24) -> str:
     """Markov clustering record by record, as so many rounds of a recursion; ``named`` has each record's cluster."""
     return f"""
             WITH RECURSIVE {_POINTS}, link AS (SELECT a.i AS a, b.i AS b, list_distance(a.v, b.v) AS d FROM u a JOIN u b ON {_alike(window)}),
@@ -199,7 +200,7 @@ def _markov(window: int, rounds: int = 24) -> str:
                 SELECT k + 1, r, c, round(m / sum(m) OVER (PARTITION BY k, c), 12) FROM (
                     SELECT *, max(m) OVER (PARTITION BY k, c) AS top FROM (
                         SELECT x.k AS k, x.r AS r, y.c AS c, pow(sum(x.m * y.m), 2) AS m FROM flow x JOIN flow y ON x.c = y.r WHERE x.k < {rounds} GROUP BY x.k, x.r, y.c))
-                WHERE m >= top * 0.001),
+                WHERE m >= top * {prune}),
             last AS (SELECT r, c, m FROM flow WHERE k = {rounds} AND m > 0),
             kept AS (SELECT r, c, round(m / max(m) OVER (PARTITION BY c), 6) AS share FROM last WHERE r IN (SELECT r FROM last WHERE r = c)),
             best AS (SELECT c, r FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY share DESC, r) AS n FROM kept) WHERE n = 1),
@@ -233,7 +234,7 @@ def oracle_sql() -> dict[str, str]:
             WITH {_POINTS}, n AS (SELECT a.i, list_sort(list(b.i)) AS around FROM u a JOIN u b ON {_alike(8)} GROUP BY a.i),
             whole AS (SELECT around FROM n GROUP BY around HAVING count(*) = len(around) AND count(*) >= 5)
             SELECT i AS data_index, around[1] AS cluster_first FROM n JOIN whole USING (around)""",
-        "p4_close": f"""{_markov(2)}
+        "p4_close": f"""{_markov(2, 0.0937)}
             SELECT i AS data_index, cluster_first, size, true AS settled FROM named""",
         "p4_clusters": f"""{_markov(8)},
             told AS (SELECT n.*, sum(1.0 - d) AS close, count(*) AS fellows, round(any_value(got), 9) AS got FROM named n JOIN link ON link.a = n.i JOIN (SELECT r, sum(m) AS got FROM last GROUP BY r) f ON f.r = n.i GROUP BY ALL)
